@@ -7,21 +7,17 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import clip_probability
-from .ranking import _edges_below, ascending_rank, quantile_edges, risk_group_of, score_ladder
+from .ranking import ascending_rank, edges_below, quantile_edges, risk_group_of, score_ladder
 
 ROWS = F.count(F.lit(1))
 
 
 def risk_group_table(scored: DataFrame, groups: int = 10) -> DataFrame:
     """Observed and expected late cases per equal-sized risk group (0 is the lowest risk)."""
-    return _group_totals(ascending_rank(scored), groups)
-
-
-def _group_totals(ranked: DataFrame, groups: int) -> DataFrame:
-    total = ranked.agg(ROWS).scalar()
     p = clip_probability(F.col("score"))
     return (
-        ranked.groupBy(risk_group_of(F.col("rank"), total, groups).alias("risk_group"))
+        ascending_rank(scored)
+        .groupBy(risk_group_of(groups).alias("risk_group"))
         .agg(
             ROWS.alias("cases"),
             F.sum("target").cast("bigint").alias("observed"),
@@ -62,9 +58,8 @@ def chi_square_tail(chi2: Column, dof: int) -> Column:
 def top_bin_calibration(scored: DataFrame, sizes: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
     """Mean score and observed rate in the top risk group, for several numbers of groups."""
     ranked = ascending_rank(scored)
-    total = ranked.agg(ROWS).scalar()
     # A top group is a suffix of the ranking, so one pass over the rows serves every size.
-    top = [risk_group_of(F.col("rank"), total, q) == q - 1 for q in sizes]
+    top = [risk_group_of(q) == q - 1 for q in sizes]
     p, y = F.col("score").cast("double"), F.col("target")
     row = ranked.agg(
         F.array(
@@ -87,10 +82,10 @@ def calibration_curve(scored: DataFrame, bins: int = 10) -> DataFrame:
 
     A score equal to an inner edge belongs to the lower bin.
     """
-    edges = quantile_edges(score_ladder(scored), bins, inner=True).scalar()
+    edges = quantile_edges(score_ladder(scored), bins, inner=True).first()[0]  # bins - 1 numbers
     p = F.col("score").cast("double")
     return (
-        scored.groupBy(_edges_below(edges, p, bins - 1).alias("bin"))
+        scored.groupBy(edges_below(edges, p).alias("bin"))
         .agg(
             ROWS.alias("n"),
             F.avg(p).alias("mean_score"),

@@ -31,11 +31,15 @@ def align_scores(labels: DataFrame, scores: DataFrame) -> DataFrame:
 
 def alignment_report(labels: DataFrame, scores: DataFrame) -> DataFrame:
     """Do labels and scores cover exactly the same complaints?"""
-    left = labels.select(KEY, F.lit(True).alias("labelled"))
-    right = scores.select(KEY, F.lit(True).alias("scored"))
-    pairs = left.join(right, KEY, "full")
-    return pairs.agg(
-        F.count_if(F.col("labelled") & F.col("scored")).alias("matched"),
-        F.count_if(F.col("scored").isNull()).alias("labels_only"),
-        F.count_if(F.col("labelled").isNull()).alias("scores_only"),
+    # Counting copies per key instead of joining: a repeated or null key stays one row per task.
+    sides = labels.select(KEY, F.lit(1).alias("l"), F.lit(0).alias("s")).unionAll(
+        scores.select(KEY, F.lit(0).alias("l"), F.lit(1).alias("s"))
+    )
+    keys = sides.groupBy(KEY).agg(F.sum("l").alias("l"), F.sum("s").alias("s"))
+    both = F.col(KEY).isNotNull() & (F.col("l") > 0) & (F.col("s") > 0)
+    total = lambda column: F.coalesce(F.sum(column), F.lit(0)).cast("bigint")
+    return keys.agg(
+        total(F.when(both, F.col("l"))).alias("matched"),
+        total(F.when(~both, F.col("l"))).alias("labels_only"),
+        total(F.when(~both, F.col("s"))).alias("scores_only"),
     ).withColumn("complete", (F.col("labels_only") == 0) & (F.col("scores_only") == 0))

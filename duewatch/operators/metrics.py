@@ -152,18 +152,26 @@ def ranking_metrics(
 
 
 def ladder_metrics(ladder: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return _ranking_columns(ladder.groupBy(*by).agg(*_ranking_sums()), by)
+
+
+def _ranking_sums() -> list[Column]:
+    """Aggregates over a ladder that ranking metrics derive from."""
     pos, n = F.col("pos"), F.col("n")
     precision = safe_ratio(F.col("pos_above") + pos, F.col("n_above") + n)
     negatives = n - pos
     neg_total = F.col("n_total") - F.col("pos_total")
     neg_below = neg_total - (F.col("n_above") - F.col("pos_above")) - negatives
     concordant = pos * (neg_below.cast("double") + negatives.cast("double") / 2)
-    sums = ladder.groupBy(*by).agg(
+    return [
         F.sum(pos * precision).alias("ap"),
         F.sum(concordant).alias("wins"),
         F.max("n_total").alias("n"),
         F.max("pos_total").alias("n_positive"),
-    )
+    ]
+
+
+def _ranking_columns(sums: DataFrame, by: Sequence[str], *also: str) -> DataFrame:
     positives = F.col("n_positive").cast("double")
     prevalence = safe_ratio(F.col("n_positive"), F.col("n"))
     return sums.select(
@@ -174,9 +182,45 @@ def ladder_metrics(ladder: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         prevalence.alias("positive_prevalence"),
         "n",
         "n_positive",
+        *also,
     )
 
 
+def evaluate(
+    scored: DataFrame,
+    threshold: float,
+    by: Sequence[str] = (),
+    score: str = "score",
+    cut: Column | None = None,
+) -> DataFrame:
+    """Ranking metrics, metrics at one threshold and the mean score, all from one score ladder.
+
+    ``cut`` overrides the compared value, for groups whose scores differ in precision.
+    """
+    if cut is None:
+        cut = F.lit(threshold).cast(scored.schema[score].dataType)
+    flagged = F.col("score") >= cut
+    pos, neg = F.col("pos"), F.col("n") - F.col("pos")
+    sums = (
+        score_ladder(scored, by, score)
+        .groupBy(*by)
+        .agg(
+            *_ranking_sums(),
+            _total(F.when(flagged, pos)).alias("tp"),
+            _total(F.when(flagged, neg)).alias("fp"),
+            _total(F.when(~flagged, neg)).alias("tn"),
+            _total(F.when(~flagged, pos)).alias("fn"),
+            (F.sum(F.col("score").cast("double") * F.col("n")) / F.sum("n")).alias("mean_score"),
+            F.lit(float(threshold)).alias("threshold"),
+        )
+    )
+    ranked = _ranking_columns(sums, by, "mean_score", "threshold", "tp", "fp", "tn", "fn")
+    return _with_rates(ranked, [c for c in ranked.columns if c not in _RATE_INPUTS])
+
+
+_RATE_INPUTS = ("threshold", "tp", "fp", "tn", "fn")
+
+
 def pr_curve(ladder: DataFrame) -> DataFrame:
     """Precision and recall at every distinct score, and the end point (recall 0, precision 1)."""
     caught = F.col("pos_above") + F.col("pos")
@@ -298,24 +342,24 @@ def baseline_metrics(scored: DataFrame, target: str = "target") -> DataFrame:
     )
 
 
-def unpivot_scores(scored: DataFrame, models: dict[str, str]) -> DataFrame:
-    """One row per complaint and model; ``models`` maps a score column to a model name."""
-    stacked = F.explode(
+def evaluate_models(scored: DataFrame, models: dict[str, str], threshold: float) -> DataFrame:
+    """Metrics per score column; ``models`` maps columns to model names. One pass over the rows."""
+    stacked = F.inline(
         F.array(
             *[
-                F.struct(F.lit(label).alias("model"), F.col(column).alias("score"))
+                F.struct(
+                    F.lit(label).alias("model"),
+                    # Each score meets the threshold in its own precision.
+                    F.lit(threshold).cast(scored.schema[column].dataType).cast("double").alias("cut"),
+                    F.col(column).cast("double").alias("score"),
+                )
                 for column, label in models.items()
             ]
         )
     )
-    return scored.select("target", stacked.alias("m")).select("m.model", "target", "m.score")
-
-
-def evaluate_models(long_scores: DataFrame, threshold: float) -> DataFrame:
-    """Ranking and threshold metrics per ``model`` of a (model, target, score) table."""
-    ranked = ranking_metrics(long_scores, by=["model"])
-    cut = metrics_at_threshold(long_scores, threshold, by=["model"])
-    return ranked.join(cut, "model")
+    long_scores = scored.select("target", stacked)
+    measured = evaluate(long_scores, threshold, by=["model", "cut"], cut=F.col("cut"))
+    return measured.drop("cut", "mean_score")
 
 
 def model_comparison(
@@ -323,7 +367,7 @@ def model_comparison(
 ) -> DataFrame:
     """The never-late baseline and every model; measures a row does not have are null."""
     rows = baseline_metrics(scored).unionByName(
-        evaluate_models(unpivot_scores(scored, models), threshold), allowMissingColumns=True
+        evaluate_models(scored, models, threshold), allowMissingColumns=True
     )
     return rows.select(*COMPARISON_COLUMNS)
 
@@ -338,28 +382,17 @@ def narrative_model_comparison(
     scored: DataFrame, structured: str, text: str, threshold: float
 ) -> DataFrame:
     """Structured, text and combined scores on the text-bearing rows."""
-    both = ensemble_score(scored, text, structured)
-    # Each score keeps its own precision, so the cut is taken before the columns are stacked.
-    parts = [
-        evaluate_models(
-            both.select(F.lit(label).alias("model"), "target", F.col(column).alias("score")), threshold
-        )
-        for column, label in (
-            (structured, "structured (subset)"),
-            (text, "tfidf text"),
-            ("combined", "combined"),
-        )
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return evaluate_models(
+        ensemble_score(scored, text, structured),
+        {structured: "structured (subset)", text: "tfidf text", "combined": "combined"},
+        threshold,
+    )
 
 
 def final_test_summary(scored: DataFrame, cfg: StudyConfig, score: str = "score") -> DataFrame:
     """Everything about the test year in one row."""
-    keyed = scored.select(F.lit(cfg.test_year).alias("period"), F.col(score).alias("score"), "target")
-    ranked = ranking_metrics(keyed, by=["period"])
-    cut = metrics_at_threshold(keyed, cfg.decision_threshold, by=["period"])
-    return ranked.join(cut, "period").select(
-        "period",
+    return evaluate(scored, cfg.decision_threshold, score=score).select(
+        F.lit(cfg.test_year).alias("period"),
         F.col("n").alias("records"),
         F.col("n_positive").alias("untimely"),
         F.col("positive_prevalence").alias("prevalence"),
@@ -385,9 +418,7 @@ COMPARED = (
 def period_comparison(scored: DataFrame, cfg: StudyConfig, score: str = "score") -> DataFrame:
     """Validation against test, one row per measure, with the change. ``scored`` carries ``year``."""
     years = scored.where(F.col("year").isin(cfg.validation_year, cfg.test_year))
-    measured = ranking_metrics(years, ["year"], score).join(
-        metrics_at_threshold(years, cfg.decision_threshold, ["year"], score), "year"
-    )
+    measured = evaluate(years, cfg.decision_threshold, ["year"], score)
     # Two rows from here on.
     value = lambda column, year: F.max(F.when(F.col("year") == year, F.col(column)))
     row = measured.agg(

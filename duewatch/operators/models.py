@@ -25,7 +25,7 @@ from ..config import StudyConfig
 from ..functions import fill_missing_levels
 from ..session import stage
 from .encoding import Encoder, fit_scaling, join_levels, scaled, stack_categories
-from .metrics import metrics_at_threshold, ranking_metrics, score_summary
+from .metrics import evaluate
 from .population import year_variant
 
 DIRECTIONS = ("increases untimely risk", "decreases untimely risk")
@@ -279,16 +279,7 @@ def year_ablation(
         period_rows = year_variant(evaluated.withColumn("period", F.col("year")), variant, cfg)
         scores = model.score(period_rows, "period", "target")
         parts.append(
-            score_summary(scores, cfg.decision_threshold, ["period"])
-            .select("period", "mean_score")
-            .join(ranking_metrics(scores, ["period"]).select("period", "pr_auc", "roc_auc"), "period")
-            .join(
-                metrics_at_threshold(scores, cfg.decision_threshold, ["period"]).select(
-                    "period", "recall", "precision", "flagged"
-                ),
-                "period",
-            )
-            .select(
+            evaluate(scores, cfg.decision_threshold, ["period"]).select(
                 F.lit(variant).alias("variant"),
                 "period", "recall", "precision", "flagged", "pr_auc", "roc_auc", "mean_score",
             )

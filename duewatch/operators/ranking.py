@@ -24,8 +24,9 @@ ROWS = F.count(F.lit(1))
 POSITION_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
-def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
-    """Add the 1-based position of every row under ``order``, without a single-task window.
+def global_rank(df: DataFrame, *order: Column) -> DataFrame:
+    """Add ``rank``, the 1-based position of every row under ``order``, and ``rank_rows``, their
+    number, without a single-task window.
 
     Rows are range-partitioned and sorted, written once with their (partition, row) numbers, and
     shifted by the sizes of the earlier partitions. The size table has one row per partition.
@@ -43,10 +44,14 @@ def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     earlier = F.sum("_n").over(
         Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = sizes.select("_part", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    offsets = sizes.select(
+        "_part",
+        F.coalesce(earlier, F.lit(0)).alias("_before"),
+        F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("rank_rows"),
+    )
     return (
         written.join(F.broadcast(offsets), "_part")  # bounded by the number of partitions
-        .withColumn(name, F.col("_before") + F.col("_row") + 1)
+        .withColumn("rank", F.col("_before") + F.col("_row") + 1)
         .drop("_part", "_row", "_before")
     )
 
@@ -144,10 +149,10 @@ def at_position(position: Column) -> Column:
     return F.max(F.when(inside, F.col("score").cast("double")))
 
 
-def _edges_below(edges: Column, value: Column, count: int) -> Column:
-    """How many distinct edges are below ``value`` (missing edges count as not below)."""
-    terms = [F.coalesce(F.get(edges, F.lit(i)) < value, F.lit(False)).cast("int") for i in range(count)]
-    return sum(terms[1:], terms[0])
+def edges_below(edges: Sequence[float] | None, column: Column) -> Column:
+    """How many of a handful of edges are below the value."""
+    value = column.cast("double")
+    return sum(((value > F.lit(e)).cast("int") for e in edges if e is not None), F.lit(0))
 
 
 # --------------------------------------------------------------------------- binning rules
@@ -163,9 +168,8 @@ def decile_lift(scored: DataFrame, score: str = "score", target: str = "target")
     """Records, late cases, rate, lift and cumulative share per decile; 1 is the highest scores."""
     rows = scored.select("complaint_id", F.col(score).alias("score"), F.col(target).alias("target"))
     ranked = global_rank(rows, F.desc("score"), F.asc("complaint_id"))
-    total = ranked.agg(ROWS).scalar()
     deciles = (
-        ranked.groupBy(_lift_decile(F.col("rank"), total).alias("decile"))
+        ranked.groupBy(_lift_decile(F.col("rank"), F.col("rank_rows")).alias("decile"))
         .agg(ROWS.alias("records"), F.sum("target").cast("bigint").alias("untimely"))
     )
     # Ten rows from here on.
@@ -200,9 +204,8 @@ def add_decile(df: DataFrame, score: str = "pred_proba") -> DataFrame:
     distinct value puts every row in decile 1.
     """
     ladder = score_ladder(df.withColumn("_none", F.lit(0)), score=score, target="_none")
-    edges = quantile_edges(ladder, 10).select(F.array_distinct("edges")).scalar()
-    below = _edges_below(edges, F.col(score).cast("double"), 11)
-    return df.withColumn("decile", F.greatest(below, F.lit(1)))
+    edges = quantile_edges(ladder, 10).select(F.array_distinct("edges")).first()[0]
+    return df.withColumn("decile", F.greatest(edges_below(edges, F.col(score)), F.lit(1)))
 
 
 def decile_summary(df: DataFrame) -> DataFrame:
@@ -216,10 +219,10 @@ def decile_summary(df: DataFrame) -> DataFrame:
     return df.groupBy("decile").agg(*measures).orderBy("decile")
 
 
-def risk_group_of(rank: Column, rows: Column, groups: int) -> Column:
-    """Equal-sized group (0-based, ascending) of a rank: quantile bins of the rank itself."""
-    scaled = (rank - 1) * groups
-    span = F.greatest(rows - 1, F.lit(1))
+def risk_group_of(groups: int) -> Column:
+    """Equal-sized group (0-based, ascending) of a ranked row: quantile bins of the rank itself."""
+    scaled = (F.col("rank") - 1) * groups
+    span = F.greatest(F.col("rank_rows") - 1, F.lit(1))
     ceiling = F.floor((scaled + span - 1) / span)
     return F.greatest(ceiling - 1, F.lit(0)).cast("int")
 
@@ -231,21 +234,18 @@ def ascending_rank(scored: DataFrame, score: str = "score", target: str = "targe
 
 def risk_groups(scored: DataFrame, groups: int = 10, score: str = "score") -> DataFrame:
     """Every row with its equal-sized risk group; ties are broken by id, so none collapses."""
-    ranked = ascending_rank(scored, score)
-    total = ranked.agg(ROWS).scalar()
-    return ranked.withColumn("risk_group", risk_group_of(F.col("rank"), total, groups))
+    return ascending_rank(scored, score).withColumn("risk_group", risk_group_of(groups))
 
 
 def triage_rank(scored: DataFrame, score: str = "score") -> DataFrame:
     """Every row with its falling rank, the rank's share of all rows, and the decile of that share."""
-    ranked = global_rank(scored, F.desc(score), F.asc("complaint_id"))
-    return _triage_columns(ranked, ranked.agg(ROWS).scalar())
+    return _triage_columns(global_rank(scored, F.desc(score), F.asc("complaint_id")))
 
 
-def _triage_columns(ranked: DataFrame, total: Column) -> DataFrame:
-    return ranked.withColumn("percentile", F.round(safe_ratio(F.col("rank"), total), 6)).withColumn(
-        "decile", F.least(F.floor(F.col("percentile") * 10) + 1, F.lit(10)).cast("int")
-    )
+def _triage_columns(ranked: DataFrame) -> DataFrame:
+    share = F.round(safe_ratio(F.col("rank"), F.col("rank_rows")), 6)
+    decile = F.least(F.floor(F.col("percentile") * 10) + 1, F.lit(10)).cast("int")
+    return ranked.withColumn("percentile", share).withColumn("decile", decile).drop("rank_rows")
 
 
 # Columns a work queue shows, where the input has them.
@@ -263,38 +263,36 @@ def triage_queue(
     Only the head of the ranking is needed, so nothing is sorted in full: band counts give a score
     that at least ``rows`` cases reach, and the top-k runs over the cases at or above it.
     """
-    banded = scored.withColumn("_band", _band(F.col(score)))
-    counts = banded.groupBy("_band").agg(ROWS.alias("n"))
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("_band"))
-    reached = F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, -1))
+    narrow = scored.select(
+        "complaint_id",
+        F.col(score).alias("score"),
+        passes(scored, score, threshold).cast("int").alias(f"flagged_at_{round(threshold * 100):03d}"),
+        F.col(target).alias("actually_untimely"),
+    ).withColumn("_band", _band(F.col("score")))
+    counts = narrow.groupBy("_band").agg(ROWS.alias("n"))
+    higher = Window.partitionBy(F.lit(0)).orderBy(F.desc("_band")).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
     lowest = (
-        counts.withColumn("above", F.coalesce(reached, F.lit(0)))
+        counts.withColumn("above", F.coalesce(F.sum("n").over(higher), F.lit(0)))
         .where(F.col("above") < rows)
         .agg(F.min("_band"))
         .scalar()
     )
-    best = (
-        banded.where(F.col("_band") >= lowest)
-        .orderBy(F.desc(score), F.asc("complaint_id"))
-        .limit(rows)
-    )
+    order = (F.desc("score"), F.asc("complaint_id"))
+    best = narrow.where(F.col("_band") >= lowest).orderBy(*order).limit(rows)
     # At most ``rows`` rows, the size of the report.
-    position = F.row_number().over(
-        Window.partitionBy(F.lit(0)).orderBy(F.desc(score), F.asc("complaint_id"))
-    )
-    ranked = _triage_columns(
-        best.withColumn("rank", position.cast("bigint")), counts.agg(F.sum("n")).scalar()
-    )
-    shown = [c for c in QUEUE_COLUMNS if c in scored.columns]
-    return ranked.select(
-        *shown,
-        F.col(score).alias("score"),
-        "rank",
-        "percentile",
-        "decile",
-        passes(scored, score, threshold).cast("int").alias(f"flagged_at_{round(threshold * 100):03d}"),
-        F.col(target).alias("actually_untimely"),
-    )
+    position = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
+    ranked = best.withColumn("rank", position.cast("bigint"))
+    return _triage_columns(ranked.withColumn("rank_rows", counts.agg(F.sum("n")).scalar())).drop("_band")
+
+
+def queue_details(queue: DataFrame, cases: DataFrame) -> DataFrame:
+    """A queue with the case columns that ``cases`` has. The queue is a bounded report, so it is
+    the broadcast side and the cases are only scanned."""
+    shown = [c for c in QUEUE_COLUMNS if c in cases.columns]
+    rest = [c for c in queue.columns if c not in shown]
+    return cases.select(*shown).join(F.broadcast(queue), "complaint_id").select(*shown, *rest)
 
 
 def queue_summary(queue: DataFrame) -> DataFrame:

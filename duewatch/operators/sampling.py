@@ -74,4 +74,4 @@ def undersample_negatives(pool: DataFrame, cfg: StudyConfig) -> DataFrame:
         keyed.where(negative & (F.col("_draw") == last._draw)), *[F.col(c) for c in pool.columns]
     ).where(F.col("rank") <= last.copies - surplus)
     whole = keyed.where(~negative | (F.col("_draw") < last._draw))
-    return whole.unionByName(copies.drop("rank")).drop("_draw")
+    return whole.unionByName(copies.drop("rank", "rank_rows")).drop("_draw")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -22,15 +22,16 @@ def term_statistics(docs: DataFrame, text: str = "narrative") -> DataFrame:
     """
     texts = docs.where(F.col(text).isNotNull())
     terms = with_terms(texts.select(text), text)
-    marked = F.concat(
-        F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d"))),
-        F.transform(
-            F.array_distinct("terms"),
-            lambda t: F.struct(t.alias("term"), F.lit(0).alias("c"), F.lit(1).alias("d")),
-        ),
+    uses = terms.select(
+        F.inline(
+            F.array(
+                F.struct(F.col("terms").alias("found"), F.lit(1).alias("c"), F.lit(0).alias("d")),
+                F.struct(F.array_distinct("terms").alias("found"), F.lit(0).alias("c"), F.lit(1).alias("d")),
+            )
+        )
     )
     counts = (
-        terms.select(F.inline(marked))
+        uses.select(F.explode("found").alias("term"), "c", "d")
         .groupBy("term")
         .agg(F.sum("c").cast("bigint").alias("count"), F.sum("d").cast("bigint").alias("df"))
     )
@@ -63,7 +64,10 @@ class TermIndex:
         return cls(docs.sparkSession, tuple(r.term for r in rows), tuple(r.idf for r in rows))
 
     def weigh(self, docs: DataFrame, text: str = "narrative") -> DataFrame:
-        """Add ``entries``: the (index, weight) pairs of each text, L2-normalised, all in the JVM."""
+        """Add ``entries``, the (index, weight) pairs of each text, and their L2 ``norm``; all JVM-side.
+
+        Dividing by the norm is left to the caller: inside a lambda it would be redone per entry.
+        """
         counted = CountVectorizerModel.from_vocabulary(
             list(self.terms), inputCol="_terms", outputCol="_tf"
         ).transform(with_terms(docs, text, "_terms"))
@@ -72,7 +76,7 @@ class TermIndex:
             counted.withColumn("_tf", F.unwrap_udt("_tf"))
             .withColumn("_idf", idf)
             .withColumn(
-                "_raw",
+                "entries",
                 F.zip_with(
                     "_tf.indices",
                     "_tf.values",
@@ -82,20 +86,8 @@ class TermIndex:
                 ),
             )
         )
-        norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda a, e: a + e["weight"] * e["weight"]))
-        return (
-            raw.withColumn("_norm", norm)
-            .withColumn(
-                "entries",
-                F.transform(
-                    "_raw",
-                    lambda e: F.struct(
-                        e["index"].alias("index"), (e["weight"] / F.col("_norm")).alias("weight")
-                    ),
-                ),
-            )
-            .drop("_terms", "_tf", "_idf", "_raw", "_norm")
-        )
+        norm = F.sqrt(F.aggregate("entries", F.lit(0.0), lambda a, e: a + e["weight"] * e["weight"]))
+        return raw.withColumn("norm", norm).drop("_terms", "_tf", "_idf")
 
     def _array(self, values) -> Column:
         return self.spark.createDataFrame([(list(values),)], "v array<double>").scalar()
@@ -105,9 +97,11 @@ def tfidf_weights(docs: DataFrame, cfg: StudyConfig) -> DataFrame:
     """TF-IDF in long form: one row per document and vocabulary term."""
     index = TermIndex.fit(docs, cfg)
     terms = index.spark.createDataFrame([(list(index.terms),)], "v array<string>").scalar()
-    entries = index.weigh(docs).select("complaint_id", F.inline("entries"))
+    entries = index.weigh(docs).select("complaint_id", "norm", F.inline("entries"))
     return entries.withColumn("_terms", terms).select(
-        "complaint_id", F.get("_terms", F.col("index")).alias("term"), "weight"
+        "complaint_id",
+        F.get("_terms", F.col("index")).alias("term"),
+        (F.col("weight") / F.col("norm")).alias("weight"),
     )
 
 
@@ -122,11 +116,11 @@ class TextModel:
     def score(self, docs: DataFrame, *keep: str, text: str = "narrative") -> DataFrame:
         """P(late) as double for every text."""
         weighed = self.index.weigh(docs, text).withColumn("_coef", self.index._array(self.coefficients))
-        margin = F.aggregate(
-            "entries",
-            F.lit(self.intercept),
-            lambda a, e: a + e["weight"] * F.get("_coef", e["index"]),
+        dot = F.aggregate(
+            "entries", F.lit(0.0), lambda a, e: a + e["weight"] * F.get("_coef", e["index"])
         )
+        # A text without vocabulary terms has norm 0 and scores the intercept alone.
+        margin = F.coalesce(F.try_divide(dot, F.col("norm")), F.lit(0.0)) + F.lit(self.intercept)
         return weighed.select(*keep, sigmoid(margin).alias("score"))
 
     def term_coefficients(self) -> DataFrame:
@@ -160,7 +154,8 @@ def train_text(sample: DataFrame, cfg: StudyConfig) -> TextModel | None:
         if docs.count() < cfg.text_min_train_rows:
             return None
         index = TermIndex.fit(docs, cfg)
-        vectors = index.weigh(docs).select("target", _sparse(len(index.terms)))
+        raw = index.weigh(docs).select("target", _sparse(len(index.terms)).alias("raw"))
+        vectors = Normalizer(inputCol="raw", outputCol="features").transform(raw)
         fitted = fit_logistic(vectors.persist(), cfg)
         vectors.unpersist()
     finally:
@@ -176,7 +171,7 @@ def _sparse(size: int) -> Column:
         kind = pd.Series([0] * len(indices), dtype="int8")
         return pd.DataFrame({"type": kind, "size": size, "indices": indices, "values": values})
 
-    return wrap(F.col("entries.index"), F.col("entries.weight")).alias("features")
+    return wrap(F.col("entries.index"), F.col("entries.weight"))
 
 
 def top_terms(coefficients: DataFrame, rows: int = 15) -> DataFrame:

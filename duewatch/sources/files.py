@@ -68,5 +68,11 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """Publish a result table."""
     writer = df.write.mode("overwrite")
     if fmt == "csv":
-        writer = writer.option("header", True).option("escape", '"')
+        # Padding is data: a blank is a value, not a missing one.
+        writer = (
+            writer.option("header", True)
+            .option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
+        )
     writer.format(fmt).save(path)
