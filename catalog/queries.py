@@ -620,7 +620,9 @@ MODELS = {"score": "logistic regression", "score_b": "boosted trees"}
 
 @query("model_comparison")
 def model_comparison(spark, sf):
-    return metrics.model_comparison(validation_scores(spark, sf), MODELS, STUDY.decision_threshold)
+    scored = validation_scores(spark, sf)
+    stacked = metrics.stack_scores(scored, MODELS, STUDY.decision_threshold)
+    return metrics.model_comparison(stacked, scored, STUDY.decision_threshold)
 
 
 def _text_scored(spark, sf) -> DataFrame:

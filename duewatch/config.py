@@ -92,3 +92,19 @@ class StudyConfig:
     @property
     def last_train_year(self) -> int:
         return max(self.train_years)
+
+
+@dataclass(frozen=True)
+class Claims:
+    """Published numbers that the verification step checks. Fixed values."""
+
+    positives_above_threshold: int = 3_242
+    flagged_rows: int = 26_154
+    encoded_features: int = 971
+    text_rows: int = 53_452
+    text_pct: float = 41.72
+    text_rate_pct: float = 21.23
+    source_chunks: int = 35
+    # (period, recall, average precision) of the reported model, reproduced within five percent.
+    baseline: tuple[tuple[int, float, float], ...] = ((2024, 0.4362, 0.2403), (2025, 0.1320, 0.1156))
+    baseline_tolerance: float = 0.05

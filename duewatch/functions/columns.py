@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..config import MISSING_LEVEL, NA_TOKENS
 
 
+def row_count() -> Column:
+    return F.count(F.lit(1))
+
+
 def as_missing(column: Column) -> Column:
     """Null out the strings a CSV reader treats as missing; anything else is kept as is."""
     return F.when(~column.isin(*NA_TOKENS), column)

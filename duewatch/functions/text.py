@@ -6,6 +6,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from ..config import REDACTION_TOKENS
 
@@ -13,7 +14,7 @@ from ..config import REDACTION_TOKENS
 WORD = r"[\p{L}\p{N}_]{2,}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decompose(texts: pd.Series) -> pd.Series:
     def plain(text):
         if text is None:

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import StudyConfig
-from ..functions import safe_ratio
-
-ROWS = F.count(F.lit(1))
+from ..functions import row_count, safe_ratio
 
 
 def _percent(part: Column, whole: Column) -> Column:
@@ -16,7 +14,7 @@ def _percent(part: Column, whole: Column) -> Column:
 
 def _year_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("year").agg(
-        ROWS.alias("complaints"), F.sum("target").cast("bigint").alias("untimely")
+        row_count().alias("complaints"), F.sum("target").cast("bigint").alias("untimely")
     )
 
 
@@ -75,7 +73,7 @@ def missingness(df: DataFrame) -> DataFrame:
         for name, label in AUDITED
         if name in df.columns
     ]
-    counted = df.agg(ROWS.alias("n"), F.array(*absent).alias("fields"))
+    counted = df.agg(row_count().alias("n"), F.array(*absent).alias("fields"))
     return counted.select("n", F.inline("fields")).select(
         "field", "missing", _percent(F.col("missing"), F.col("n")).alias("missing_pct")
     )
@@ -84,14 +82,14 @@ def missingness(df: DataFrame) -> DataFrame:
 def narrative_availability_by_year(df: DataFrame) -> DataFrame:
     """How many complaints of each year carry a narrative."""
     counts = df.groupBy("year").agg(
-        F.count_if(F.col("has_narrative")).alias("sum"), ROWS.alias("size")
+        F.count_if(F.col("has_narrative")).alias("sum"), row_count().alias("size")
     )
     return counts.withColumn("availability_pct", _percent(F.col("sum"), F.col("size")))
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Rows per level, null included, largest first, with shares of the whole."""
-    counts = df.groupBy(column).agg(ROWS.alias("count"))
+    counts = df.groupBy(column).agg(row_count().alias("count"))
     # The total is a scalar subquery over the same small table of level counts.
     total = counts.agg(F.sum("count")).scalar()
     return counts.withColumn("share_pct", _percent(F.col("count"), total)).orderBy(
@@ -106,7 +104,7 @@ def head(table: DataFrame, rows: int) -> DataFrame:
 
 def duplicate_ids(df: DataFrame, key: str = "complaint_id") -> DataFrame:
     """Rows beyond the first of each key; a null key is a key like any other."""
-    copies = df.groupBy(key).agg(ROWS.alias("copies"))
+    copies = df.groupBy(key).agg(row_count().alias("copies"))
     return copies.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).cast("bigint").alias("records"),
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).cast("bigint").alias("duplicates"),
@@ -133,7 +131,7 @@ def split_design(sample: DataFrame, cfg: StudyConfig) -> DataFrame:
     return sample.agg(
         F.lit("train").alias("period"),
         F.lit(str(list(cfg.train_years))).alias("years"),
-        ROWS.alias("records"),
+        row_count().alias("records"),
         F.coalesce(F.sum("target"), F.lit(0)).cast("bigint").alias("untimely"),
         (100 * F.avg("target")).alias("untimely_rate_pct"),
         F.lit(f"all positives + {cfg.negatives_per_positive} negatives each").alias("sampling"),
@@ -145,7 +143,7 @@ def rate_table(df: DataFrame, key: str, min_rows: int = 1) -> DataFrame:
     return (
         df.where(F.col(key).isNotNull())
         .groupBy(key)
-        .agg(ROWS.alias("complaints"), F.sum("target").cast("bigint").alias("untimely"))
+        .agg(row_count().alias("complaints"), F.sum("target").cast("bigint").alias("untimely"))
         .where(F.col("complaints") >= min_rows)
         .withColumn("untimely_rate", F.round(safe_ratio(F.col("untimely"), F.col("complaints")), 6))
         .orderBy(F.desc("complaints"), F.asc(key))
@@ -174,8 +172,8 @@ def text_subset_stats(sample: DataFrame, flag: str = "has_narrative") -> DataFra
     with_text = F.count_if(F.col(flag))
     late = F.count_if(F.col(flag) & (F.col("target") == 1))
     return sample.agg(
-        ROWS.alias("records"),
+        row_count().alias("records"),
         with_text.alias("narrative_records"),
-        _percent(with_text, ROWS).alias("narrative_pct"),
+        _percent(with_text, row_count()).alias("narrative_pct"),
         _percent(late, with_text).alias("untimely_rate_pct"),
     )

@@ -6,11 +6,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import clip_probability
+from ..functions import clip_probability, row_count
 from .ranking import ascending_rank, edges_below, quantile_edges, risk_group_of, score_ladder
 
-ROWS = F.count(F.lit(1))
-
 
 def risk_group_table(scored: DataFrame, groups: int = 10) -> DataFrame:
     """Observed and expected late cases per equal-sized risk group (0 is the lowest risk)."""
@@ -19,7 +17,7 @@ def risk_group_table(scored: DataFrame, groups: int = 10) -> DataFrame:
         ascending_rank(scored)
         .groupBy(risk_group_of(groups).alias("risk_group"))
         .agg(
-            ROWS.alias("cases"),
+            row_count().alias("cases"),
             F.sum("target").cast("bigint").alias("observed"),
             F.sum(p).alias("expected"),
         )
@@ -87,7 +85,7 @@ def calibration_curve(scored: DataFrame, bins: int = 10) -> DataFrame:
     return (
         scored.groupBy(edges_below(edges, p).alias("bin"))
         .agg(
-            ROWS.alias("n"),
+            row_count().alias("n"),
             F.avg(p).alias("mean_score"),
             F.avg("target").alias("observed_fraction"),
         )
@@ -98,7 +96,7 @@ def brier_log_loss(scored: DataFrame) -> DataFrame:
     """Brier score, log loss, and mean prediction against the observed rate."""
     p, y = F.col("p"), F.col("target")
     measured = scored.select(clip_probability(F.col("score")).alias("p"), "target").agg(
-        ROWS.alias("n"),
+        row_count().alias("n"),
         F.avg(F.pow(p - y, F.lit(2))).alias("brier"),
         F.avg(-F.when(y == 1, F.ln(p)).otherwise(F.ln(1 - p))).alias("log_loss"),
         F.avg(p).alias("mean_predicted"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -120,8 +121,13 @@ def long_metrics(ablation: DataFrame, variant: str = "baseline") -> DataFrame:
     )
 
 
-def expected_metrics(spark: SparkSession, values: dict[int, dict[str, float]]) -> DataFrame:
-    rows = [(period, metric, float(v)) for period, ms in values.items() for metric, v in ms.items()]
+def expected_metrics(spark: SparkSession, values: Sequence[tuple[int, float, float]]) -> DataFrame:
+    """Expected (period, recall, PR-AUC) triples as (period, metric, value)."""
+    rows = [
+        (period, metric, float(value))
+        for period, recall, pr_auc in values
+        for metric, value in (("recall", recall), ("pr_auc", pr_auc))
+    ]
     return spark.createDataFrame(rows, "period int, metric string, value double")
 
 

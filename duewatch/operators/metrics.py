@@ -8,10 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import StudyConfig
-from ..functions import passes, safe_ratio
+from ..functions import passes, row_count, safe_ratio
 from .ranking import score_ladder
 
-ROWS = F.count(F.lit(1))
 
 # Report column order of a model comparison.
 COMPARISON_COLUMNS = (
@@ -39,7 +38,7 @@ def metrics_at_thresholds(
     cuts = sorted(thresholds)
     passed = reduce(lambda a, b: a + b, [passes(scored, score, t).cast("int") for t in cuts])
     levels = scored.groupBy(*by, passed.alias("passed")).agg(
-        ROWS.alias("n"), F.sum(target).cast("bigint").alias("pos")
+        row_count().alias("n"), F.sum(target).cast("bigint").alias("pos")
     )
     cut = F.explode(
         F.array(*[F.struct(F.lit(i + 1).alias("need"), F.lit(float(t)).alias("threshold"))
@@ -328,7 +327,7 @@ def _interpolate(name: str, at: float) -> Column:
 
 def baseline_metrics(scored: DataFrame, target: str = "target") -> DataFrame:
     """The classifier that never predicts a late response."""
-    n, pos = ROWS, F.coalesce(F.sum(target), F.lit(0)).cast("bigint")
+    n, pos = row_count(), F.coalesce(F.sum(target), F.lit(0)).cast("bigint")
     return scored.agg(
         F.lit("majority-class baseline").alias("model"),
         safe_ratio(n - pos, n).alias("accuracy"),
@@ -342,32 +341,50 @@ def baseline_metrics(scored: DataFrame, target: str = "target") -> DataFrame:
     )
 
 
-def evaluate_models(scored: DataFrame, models: dict[str, str], threshold: float) -> DataFrame:
-    """Metrics per score column; ``models`` maps columns to model names. One pass over the rows."""
-    stacked = F.inline(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(label).alias("model"),
-                    # Each score meets the threshold in its own precision.
-                    F.lit(threshold).cast(scored.schema[column].dataType).cast("double").alias("cut"),
-                    F.col(column).cast("double").alias("score"),
-                )
-                for column, label in models.items()
-            ]
-        )
+def stack_scores(scored: DataFrame, models: dict[str, str], threshold: float) -> DataFrame:
+    """(target, model, cut, score) rows; ``models`` maps score columns to model names."""
+    return scored.select(
+        "target",
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(label).alias("model"),
+                        _own_cut(scored, column, threshold).alias("cut"),
+                        F.col(column).cast("double").alias("score"),
+                    )
+                    for column, label in models.items()
+                ]
+            )
+        ),
+    )
+
+
+def label_scores(scored: DataFrame, model: str, threshold: float) -> DataFrame:
+    """The scores of one model in the layout of :func:`stack_scores`."""
+    return scored.select(
+        "target",
+        F.lit(model).alias("model"),
+        _own_cut(scored, "score", threshold).alias("cut"),
+        F.col("score").cast("double").alias("score"),
     )
-    long_scores = scored.select("target", stacked)
-    measured = evaluate(long_scores, threshold, by=["model", "cut"], cut=F.col("cut"))
+
+
+def _own_cut(scored: DataFrame, column: str, threshold: float) -> Column:
+    """The threshold in the score's own precision, so that a float score meets a float cut."""
+    return F.lit(threshold).cast(scored.schema[column].dataType).cast("double")
+
+
+def evaluate_models(stacked: DataFrame, threshold: float) -> DataFrame:
+    """Metrics per model of stacked scores, in one pass over the rows."""
+    measured = evaluate(stacked, threshold, by=["model", "cut"], cut=F.col("cut"))
     return measured.drop("cut", "mean_score")
 
 
-def model_comparison(
-    scored: DataFrame, models: dict[str, str], threshold: float
-) -> DataFrame:
+def model_comparison(stacked: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """The never-late baseline and every model; measures a row does not have are null."""
-    rows = baseline_metrics(scored).unionByName(
-        evaluate_models(scored, models, threshold), allowMissingColumns=True
+    rows = baseline_metrics(labels).unionByName(
+        evaluate_models(stacked, threshold), allowMissingColumns=True
     )
     return rows.select(*COMPARISON_COLUMNS)
 
@@ -382,11 +399,9 @@ def narrative_model_comparison(
     scored: DataFrame, structured: str, text: str, threshold: float
 ) -> DataFrame:
     """Structured, text and combined scores on the text-bearing rows."""
-    return evaluate_models(
-        ensemble_score(scored, text, structured),
-        {structured: "structured (subset)", text: "tfidf text", "combined": "combined"},
-        threshold,
-    )
+    names = {structured: "structured (subset)", text: "tfidf text", "combined": "combined"}
+    both = ensemble_score(scored, text, structured)
+    return evaluate_models(stack_scores(both, names, threshold), threshold)
 
 
 def final_test_summary(scored: DataFrame, cfg: StudyConfig, score: str = "score") -> DataFrame:
@@ -476,7 +491,7 @@ def score_summary(
     mean = F.avg(F.col(score).cast("double"))
     rate = F.avg("target")
     return scored.groupBy(*by).agg(
-        ROWS.alias("n"),
+        row_count().alias("n"),
         F.coalesce(F.sum("target"), F.lit(0)).cast("bigint").alias("positives"),
         F.count_if(passes(scored, score, threshold)).alias("flagged"),
         mean.alias("mean_score"),

@@ -17,10 +17,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import passes, safe_ratio, uniform_bin
+from ..functions import passes, row_count, safe_ratio, uniform_bin
 from ..session import stage
 
-ROWS = F.count(F.lit(1))
 POSITION_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
@@ -40,7 +39,7 @@ def global_rank(df: DataFrame, *order: Column) -> DataFrame:
         .drop("_at")
     )
     written = stage(numbered, "ranked")
-    sizes = written.groupBy("_part").agg(ROWS.alias("_n"))
+    sizes = written.groupBy("_part").agg(row_count().alias("_n"))
     earlier = F.sum("_n").over(
         Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -77,7 +76,7 @@ def score_ladder(
     """
     steps = (
         scored.groupBy(*by, F.col(score).alias("score"))
-        .agg(ROWS.alias("n"), F.sum(target).cast("bigint").alias("pos"))
+        .agg(row_count().alias("n"), F.sum(target).cast("bigint").alias("pos"))
         .withColumn("_band", _band(F.col("score")))
     )
     group = [F.col(c) for c in by] or [F.lit(0)]
@@ -170,7 +169,7 @@ def decile_lift(scored: DataFrame, score: str = "score", target: str = "target")
     ranked = global_rank(rows, F.desc("score"), F.asc("complaint_id"))
     deciles = (
         ranked.groupBy(_lift_decile(F.col("rank"), F.col("rank_rows")).alias("decile"))
-        .agg(ROWS.alias("records"), F.sum("target").cast("bigint").alias("untimely"))
+        .agg(row_count().alias("records"), F.sum("target").cast("bigint").alias("untimely"))
     )
     # Ten rows from here on.
     whole = Window.partitionBy(F.lit(0))
@@ -210,7 +209,7 @@ def add_decile(df: DataFrame, score: str = "pred_proba") -> DataFrame:
 
 def decile_summary(df: DataFrame) -> DataFrame:
     """Rows per decile, and labelled rows with their mean label when labels are present."""
-    measures = [ROWS.alias("records")]
+    measures = [row_count().alias("records")]
     if "actually_untimely" in df.columns:
         measures += [
             F.count("actually_untimely").alias("count"),
@@ -269,7 +268,7 @@ def triage_queue(
         passes(scored, score, threshold).cast("int").alias(f"flagged_at_{round(threshold * 100):03d}"),
         F.col(target).alias("actually_untimely"),
     ).withColumn("_band", _band(F.col("score")))
-    counts = narrow.groupBy("_band").agg(ROWS.alias("n"))
+    counts = narrow.groupBy("_band").agg(row_count().alias("n"))
     higher = Window.partitionBy(F.lit(0)).orderBy(F.desc("_band")).rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -298,7 +297,7 @@ def queue_details(queue: DataFrame, cases: DataFrame) -> DataFrame:
 def queue_summary(queue: DataFrame) -> DataFrame:
     """Size of a queue, the late cases in it and their share."""
     return queue.agg(
-        ROWS.alias("queue_rows"),
+        row_count().alias("queue_rows"),
         F.coalesce(F.sum("actually_untimely"), F.lit(0)).cast("bigint").alias("untimely"),
         F.avg("actually_untimely").alias("untimely_share"),
     )
@@ -309,7 +308,7 @@ def uniform_bins(scored: DataFrame, bins: int = 10, score: str = "score") -> Dat
     return (
         scored.groupBy(uniform_bin(F.col(score), bins).alias("bin"))
         .agg(
-            ROWS.alias("n"),
+            row_count().alias("n"),
             F.avg(F.col(score).cast("double")).alias("mean_score"),
             F.avg("target").alias("observed_rate"),
         )
@@ -319,7 +318,7 @@ def uniform_bins(scored: DataFrame, bins: int = 10, score: str = "score") -> Dat
 def score_histogram(scored: DataFrame, bins: int = 50, score: str = "score") -> DataFrame:
     """Density of the score per class on [0, 1], empty bins included."""
     inside = scored.where(F.col(score).between(0, 1))
-    counts = inside.groupBy("target", uniform_bin(F.col(score), bins).alias("bin")).agg(ROWS.alias("n"))
+    counts = inside.groupBy("target", uniform_bin(F.col(score), bins).alias("bin")).agg(row_count().alias("n"))
     # From here on at most two classes times ``bins`` rows.
     filled = (
         counts.groupBy("target")

@@ -42,9 +42,10 @@ class Workspace:
         return self._read("train_sample")
 
     def write_scores(self, scores: DataFrame, model: str, year: int) -> None:
-        """Scores keyed by complaint; one folder per model and year, replaced as a whole."""
+        """Scores keyed by complaint, label beside them so that metrics need no join; one folder per
+        model and year, replaced as a whole."""
         (
-            scores.select("complaint_id", F.col("score").cast("float").alias("score"))
+            scores.select("complaint_id", "target", F.col("score").cast("float").alias("score"))
             .write.mode("overwrite")
             .parquet(self.path(f"scores/model={model}/year={year}"))
         )
