@@ -16,12 +16,11 @@ WORD = r"[\p{L}\p{N}_]{2,}"
 
 @F.pandas_udf(StringType())
 def _decompose(texts: pd.Series) -> pd.Series:
-    def plain(text):
-        if text is None:
-            return None
-        return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    def plain(run):
+        return "".join(c for c in unicodedata.normalize("NFKD", run[0]) if not unicodedata.combining(c))
 
-    return texts.map(plain)
+    # Only the non-ASCII runs of a text are touched; ASCII neighbours never change under NFKD.
+    return texts.str.replace(r"[^\x00-\x7F]+", plain, regex=True)
 
 
 def strip_accents(column: Column) -> Column:
