@@ -261,7 +261,7 @@ def feature_projection(spark, sf):
 
 @query("period_class_filter")
 def period_class_filter(spark, sf):
-    rows = pop.in_years(adapter.scored(spark, sf), STUDY.train_years)
+    rows = pop.in_years(adapter.scored(spark, sf, min(STUDY.train_years), max(STUDY.train_years)), STUDY.train_years)
     return rows.where(F.col("target") == 1).select("complaint_id", "year")
 
 
@@ -310,7 +310,7 @@ def flag_at_threshold(spark, sf):
 
 @query("temporal_split")
 def temporal_split(spark, sf):
-    split = pop.temporal_split(adapter.scored(spark, sf), STUDY)
+    split = pop.temporal_split(adapter.scored(spark, sf, STUDY.start_year, STUDY.end_year), STUDY)
     return split.groupBy("period", "year").agg(
         F.count(F.lit(1)).alias("records"), F.sum("target").alias("untimely")
     )
@@ -412,7 +412,7 @@ def period_stats(spark, sf):
 @query("natural_prevalence")
 def natural_prevalence(spark, sf):
     """Evaluation periods of the split keep every row of their year."""
-    split = pop.temporal_split(adapter.scored(spark, sf), STUDY)
+    split = pop.temporal_split(adapter.scored(spark, sf, STUDY.start_year, STUDY.end_year), STUDY)
     return audit.period_stats(split.where(F.col("period") != "train"), STUDY)
 
 
@@ -564,7 +564,7 @@ def confusion_matrix(spark, sf):
 
 @query("positive_score_bands")
 def positive_score_bands(spark, sf):
-    return metrics.positive_score_bands(test_scores(spark, sf))
+    return metrics.positive_score_bands(ranking.score_ladder(test_scores(spark, sf)))
 
 
 @query("score_summary")
@@ -652,7 +652,7 @@ def final_test_summary(spark, sf):
 
 @query("hosmer_lemeshow", digits=6)
 def hosmer_lemeshow(spark, sf):
-    return calibration.hosmer_lemeshow(test_scores(spark, sf))
+    return calibration.hosmer_lemeshow(calibration.risk_group_table(test_scores(spark, sf)))
 
 
 @query("risk_group_table")
@@ -678,8 +678,8 @@ def fig_threshold(spark, sf):
 
 @query("fig_pr")
 def fig_pr(spark, sf):
-    ladder = ranking.score_ladder(test_scores(spark, sf))
-    return metrics.with_no_skill(metrics.pr_curve(ladder), ladder)
+    scored = test_scores(spark, sf)
+    return metrics.with_no_skill(metrics.pr_curve(ranking.score_ladder(scored)), scored)
 
 
 @query("fig_roc")
@@ -829,7 +829,7 @@ def check_roc_shape(spark, sf):
 
 @query("check_score_bands")
 def check_score_bands(spark, sf):
-    return checks.check_score_bands(metrics.positive_score_bands(test_scores(spark, sf)), 91)
+    return checks.check_score_bands(metrics.positive_score_bands(ranking.score_ladder(test_scores(spark, sf))), 91)
 
 
 @query("check_feature_count")

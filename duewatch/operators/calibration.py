@@ -30,11 +30,11 @@ def risk_group_table(scored: DataFrame, groups: int = 10) -> DataFrame:
     )
 
 
-def hosmer_lemeshow(scored: DataFrame, groups: int = 10) -> DataFrame:
-    """Chi-square goodness of fit over risk groups, with degrees of freedom and p-value."""
+def hosmer_lemeshow(risk_table: DataFrame, groups: int = 10) -> DataFrame:
+    """Chi-square goodness of fit over a :func:`risk_group_table`, with degrees of freedom and p-value."""
     gap = F.pow(F.col("observed") - F.col("expected"), F.lit(2))
     spread = F.col("expected") * (1 - F.col("expected") / F.col("cases"))
-    statistic = risk_group_table(scored, groups).agg(F.sum(F.try_divide(gap, spread)).alias("chi2"))
+    statistic = risk_table.agg(F.sum(F.try_divide(gap, spread)).alias("chi2"))
     return statistic.select(
         "chi2",
         F.lit(groups - 2).alias("dof"),

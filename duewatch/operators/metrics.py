@@ -228,18 +228,18 @@ def pr_curve(ladder: DataFrame) -> DataFrame:
         safe_ratio(caught, F.col("n_above") + F.col("n")).alias("precision"),
         safe_ratio(caught, F.col("pos_total")).alias("recall"),
     )
-    end = ladder.agg(
-        F.lit(None).cast("double").alias("threshold"),
-        F.lit(1.0).alias("precision"),
-        F.lit(0.0).alias("recall"),
+    return points.unionAll(_end_point(ladder, 1.0, 0.0))
+
+
+def _end_point(ladder: DataFrame, first: float, second: float) -> DataFrame:
+    return ladder.sparkSession.range(1).select(
+        F.lit(None).cast("double"), F.lit(first), F.lit(second)
     )
-    return points.unionAll(end)
 
 
-def with_no_skill(curve: DataFrame, ladder: DataFrame) -> DataFrame:
+def with_no_skill(curve: DataFrame, scored: DataFrame) -> DataFrame:
     """A precision-recall curve with the prevalence line beside it."""
-    prevalence = ladder.agg(safe_ratio(F.max("pos_total"), F.max("n_total"))).scalar()
-    return curve.withColumn("no_skill", prevalence)
+    return curve.withColumn("no_skill", scored.agg(F.avg("target")).scalar())
 
 
 def roc_curve(ladder: DataFrame) -> DataFrame:
@@ -251,12 +251,7 @@ def roc_curve(ladder: DataFrame) -> DataFrame:
         safe_ratio(alarms, F.col("n_total") - F.col("pos_total")).alias("fpr"),
         safe_ratio(caught, F.col("pos_total")).alias("tpr"),
     )
-    start = ladder.agg(
-        F.lit(None).cast("double").alias("threshold"),
-        F.lit(0.0).alias("fpr"),
-        F.lit(0.0).alias("tpr"),
-    )
-    return points.unionAll(start)
+    return points.unionAll(_end_point(ladder, 0.0, 0.0))
 
 
 def precision_at_recall(
@@ -454,34 +449,24 @@ def period_comparison(scored: DataFrame, cfg: StudyConfig, score: str = "score")
 # --------------------------------------------------------------------------- score profiles
 
 
-def positive_score_bands(scored: DataFrame, ladder: DataFrame | None = None) -> DataFrame:
+def positive_score_bands(ladder: DataFrame) -> DataFrame:
     """Where the late cases score (below 0.1, up to 0.6, above) and the median score of the rest."""
-    low, high = passes(scored, "score", 0.1), passes(scored, "score", 0.6)
-    late = F.col("target") == 1
-    bands = scored.agg(
-        F.count_if(late).alias("untimely_total"),
-        F.count_if(late & ~low).alias("below"),
-        F.count_if(late & low & ~high).alias("between"),
-        F.count_if(late & high).alias("above"),
-    )
-    ladder = ladder if ladder is not None else score_ladder(scored)
-    own = F.col("n") - F.col("pos")
+    low, high = passes(ladder, "score", 0.1), passes(ladder, "score", 0.6)
+    pos, own = F.col("pos"), F.col("n") - F.col("pos")
     total = F.col("n_total") - F.col("pos_total")
     below = total - (F.col("n_above") - F.col("pos_above")) - own
     holds = lambda at: F.max(
         F.when((below <= at) & (at < below + own), F.col("score").cast("double"))
     )
-    median = ladder.agg(
-        ((holds(F.floor((total - 1) / 2)) + holds(F.floor(total / 2))) / 2).alias("median")
-    ).scalar()
-    share = lambda name: safe_ratio(F.col(name), F.col("untimely_total"))
-    return bands.select(
-        "*",
-        share("below").alias("below_share"),
-        share("between").alias("between_share"),
-        share("above").alias("above_share"),
-        median.alias("timely_median_score"),
+    counts = ladder.agg(
+        _total(pos).alias("untimely_total"),
+        _total(F.when(~low, pos)).alias("below"),
+        _total(F.when(low & ~high, pos)).alias("between"),
+        _total(F.when(high, pos)).alias("above"),
+        ((holds(F.floor((total - 1) / 2)) + holds(F.floor(total / 2))) / 2).alias("timely_median_score"),
     )
+    share = lambda name: safe_ratio(F.col(name), F.col("untimely_total"))
+    return counts.withColumns({f"{c}_share": share(c) for c in ("below", "between", "above")})
 
 
 def score_summary(

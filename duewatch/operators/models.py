@@ -114,9 +114,12 @@ def train_logreg(
 ) -> LinearModel:
     """Fit on the sample. A given encoder keeps its levels; the scaling is always refitted."""
     spark = train.sparkSession
-    encoder = encoder or Encoder.fit(train, cfg)
     numeric = tuple(cfg.numeric if numeric is None else numeric)
-    scaling = fit_scaling(train, numeric)
+    if encoder is None:
+        encoder = Encoder.fit(train, cfg)
+        scaling = {n: encoder.scaling[n] for n in numeric}
+    else:
+        scaling = fit_scaling(train, numeric)
     vectors = encoder.transform(train, scaling).select("target", "features").persist()
     fitted = fit_logistic(vectors, cfg)
     vectors.unpersist()

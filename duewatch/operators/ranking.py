@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import FloatType
 
 from ..functions import passes, row_count, safe_ratio, uniform_bin
 from ..session import stage
@@ -55,15 +56,18 @@ def global_rank(df: DataFrame, *order: Column) -> DataFrame:
     )
 
 
-def _band(score: Column) -> Column:
-    """An order-preserving bucket: 128 per power of two.
+# Bands per power of two, coarse first. A float has 2**23 values per power of two, so one of the 128
+# bands holds under 2**17 distinct floats whatever the data. Doubles get a second, finer level.
+COARSE, FINE = 128, 1 << 20
 
-    A float has 2**23 values per power of two, so a band holds under 2**17 distinct floats, and
-    there are under 20,000 bands between 0 and 1 -- bounds that do not grow with the data.
+
+def _band(score: Column, per_octave: int = COARSE) -> Column:
+    """An order-preserving bucket of a score: finer near zero, computed without looking at the data.
+
+    Between 0 and 1 there are under 20,000 coarse bands for floats.
     """
-    steps = 128
-    floor = 1100 * steps  # below the smallest positive double
-    size = F.floor(F.log2(F.abs(score.cast("double"))) * steps) + floor
+    offset = 1100 * per_octave  # below the smallest positive double
+    size = F.floor(F.log2(F.abs(score.cast("double"))) * per_octave) + offset
     return F.when(score == 0, F.lit(0)).when(score > 0, size).otherwise(-size).cast("bigint")
 
 
@@ -73,49 +77,66 @@ def score_ladder(
     """One row per distinct score with counts, counts of all higher scores, and totals.
 
     Columns: ``*by, score, n, pos, n_above, pos_above, n_total, pos_total``.
+
+    Running totals go level by level: bands are few, so their running totals are cheap; inside a
+    band the window holds only that band's distinct scores.
     """
+    is_float = scored.schema[score].dataType == FloatType()
+    resolutions = (COARSE,) if is_float else (COARSE, FINE)
+    bands = [f"_band{i}" for i in range(len(resolutions))]
     steps = (
         scored.groupBy(*by, F.col(score).alias("score"))
         .agg(row_count().alias("n"), F.sum(target).cast("bigint").alias("pos"))
-        .withColumn("_band", _band(F.col("score")))
+        .withColumns({b: _band(F.col("score"), r) for b, r in zip(bands, resolutions)})
     )
-    group = [F.col(c) for c in by] or [F.lit(0)]
-    higher_bands = (
-        Window.partitionBy(*group).orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    whole = Window.partitionBy(*group)
-    bands = (
-        steps.groupBy(*by, "_band")
-        .agg(F.sum("n").alias("bn"), F.sum("pos").alias("bp"))
-        .select(
-            *by,
-            "_band",
-            F.coalesce(F.sum("bn").over(higher_bands), F.lit(0)).alias("_n_above"),
-            F.coalesce(F.sum("bp").over(higher_bands), F.lit(0)).alias("_pos_above"),
-            F.sum("bn").over(whole).alias("n_total"),
-            F.sum("bp").over(whole).alias("pos_total"),
-        )
+
+    def sums(table: DataFrame, keys: list[str]) -> DataFrame:
+        return table.groupBy(*by, *keys).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+
+    levels = [sums(steps, bands)]
+    for depth in range(len(bands) - 1, 0, -1):
+        levels.insert(0, sums(levels[0], bands[:depth]))
+
+    whole = Window.partitionBy(*[F.col(c) for c in by] or [F.lit(0)])
+    above = levels[0].select(
+        *by,
+        bands[0],
+        *_sums_above([*by], bands[0]),
+        F.sum("n").over(whole).alias("n_total"),
+        F.sum("pos").over(whole).alias("pos_total"),
     )
-    higher_scores = (
-        Window.partitionBy(*[F.col(c) for c in by], "_band")
-        .orderBy(F.desc("score"))
-        .rowsBetween(Window.unboundedPreceding, -1)
+    for depth, level in enumerate(levels[1:], start=1):
+        own = level.select(*by, *bands[: depth + 1], *_sums_above([*by, *bands[:depth]], bands[depth]))
+        above = _shifted(own, above, [*by, *bands[:depth]])
+    own = steps.select(
+        *by, *bands, "score", "n", "pos", *_sums_above([*by, *bands], "score")
     )
-    within = steps.withColumns(
-        {
-            "_n_in": F.coalesce(F.sum("n").over(higher_scores), F.lit(0)),
-            "_pos_in": F.coalesce(F.sum("pos").over(higher_scores), F.lit(0)),
-        }
+    return _shifted(own, above, [*by, *bands]).drop(*bands)
+
+
+def _sums_above(group: list[str], order: str) -> list[Column]:
+    """Counts of the rows that come earlier in falling order within the group."""
+    keys = [F.col(c) for c in group] or [F.lit(0)]
+    earlier = (
+        Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
     )
-    return within.join(bands, [*by, "_band"]).select(
-        *by,
-        "score",
-        "n",
-        "pos",
-        (F.col("_n_above") + F.col("_n_in")).alias("n_above"),
-        (F.col("_pos_above") + F.col("_pos_in")).alias("pos_above"),
-        "n_total",
-        "pos_total",
+    return [
+        F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_above") for c in ("n", "pos")
+    ]
+
+
+def _shifted(own: DataFrame, outer: DataFrame, keys: list[str]) -> DataFrame:
+    """Add the counts above the enclosing band to the counts above within it."""
+    base = outer.withColumnsRenamed({"n_above": "_n_base", "pos_above": "_pos_base"})
+    return (
+        own.join(base, keys)
+        .withColumns(
+            {
+                "n_above": F.col("n_above") + F.col("_n_base"),
+                "pos_above": F.col("pos_above") + F.col("_pos_base"),
+            }
+        )
+        .drop("_n_base", "_pos_base")
     )
 
 

@@ -143,7 +143,7 @@ def figure_tables(space: Workspace, cfg: StudyConfig) -> None:
         return
     ladder = ranking.score_ladder(test)
     space.write_result(calibration.calibration_curve(test), "fig_calibration")
-    space.write_result(metrics.with_no_skill(metrics.pr_curve(ladder), ladder), "fig_precision_recall")
+    space.write_result(metrics.with_no_skill(metrics.pr_curve(ladder), test), "fig_precision_recall")
     space.write_result(metrics.roc_curve(ladder), "fig_roc")
     space.write_result(ranking.score_histogram(test), "fig_score_distribution")
     space.write_result(ranking.cumulative_gains(space.result("decile_lift_test")), "fig_cumulative_gains")
@@ -174,8 +174,9 @@ def diagnose(space: Workspace, cfg: StudyConfig) -> None:
     for year in (cfg.validation_year, cfg.test_year):
         scores = space.scores(LOGISTIC, year)
         if scores is not None:
-            space.write_result(calibration.hosmer_lemeshow(scores), f"hosmer_lemeshow_{year}")
             space.write_result(calibration.risk_group_table(scores), f"risk_groups_{year}")
+            groups = space.result(f"risk_groups_{year}")
+            space.write_result(calibration.hosmer_lemeshow(groups), f"hosmer_lemeshow_{year}")
             space.write_result(calibration.brier_log_loss(scores), f"brier_log_loss_{year}")
 
 
@@ -203,7 +204,7 @@ def verify_claims(space: Workspace, csv_path, cfg: StudyConfig, claims: Claims =
         checks.check_pr_midrange(metrics.precision_at_recall(metrics.pr_curve(ladder))),
         checks.check_roc_shape(metrics.roc_operating_points(metrics.roc_curve(ladder))),
         checks.check_score_bands(
-            metrics.positive_score_bands(test, ladder), claims.positives_above_threshold
+            metrics.positive_score_bands(ladder), claims.positives_above_threshold
         ),
         checks.check_feature_count(
             encoding.encoded_feature_count(levels, cfg.numeric), claims.encoded_features

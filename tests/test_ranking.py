@@ -222,3 +222,18 @@ def test_sweep_follows_the_config(spark):
     cfg = StudyConfig(sweep=(0.2, 0.8))
     got = metrics.threshold_sweep(frame(spark, tied_rows(300)), cfg).collect()
     assert [r.threshold for r in got] == [0.2, 0.8]
+
+
+def test_crowded_double_scores(spark):
+    """Many distinct doubles in a sliver of the range: the second band level separates them."""
+    rng = random.Random(9)
+    rows = [(i, i % 3 == 0, 0.16 + 1e-4 * rng.random()) for i in range(3_000)]
+    rows = [(i, int(y), s) for i, y, s in rows]
+    doubles = spark.createDataFrame(rows, "complaint_id long, target int, score double")
+    order = sorted(rows, key=lambda r: -r[2])
+    ladder = {r.score: r for r in ranking.score_ladder(doubles).collect()}
+    assert [ladder[s].n_above for _, _, s in order] == list(range(3_000))
+    caught = 0
+    for _, y, s in order:
+        assert ladder[s].pos_above == caught
+        caught += y
