@@ -6,6 +6,7 @@ inside one generated stage without building vectors.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -22,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import StudyConfig
-from ..functions import fill_missing_levels
+from ..functions import fill_missing_levels, row_count
 from ..session import stage
 from .encoding import Encoder, fit_scaling, join_levels, scaled, stack_categories
 from .metrics import evaluate
@@ -42,9 +43,19 @@ def model_exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
-def fit_logistic(vectors: DataFrame, cfg: StudyConfig) -> LogisticRegressionModel:
+ROWS_PER_TASK = 50_000
+
+
+def compact(vectors: DataFrame, rows: int) -> DataFrame:
+    """Give each training task enough rows to outweigh launching it again every iteration.
+
+    MLlib caches its own blocked copy of the input, so the input itself is not persisted.
+    """
+    return vectors.coalesce(max(1, math.ceil(rows / ROWS_PER_TASK)))
+
+
+def fit_logistic(vectors: DataFrame, rows: int, cfg: StudyConfig) -> LogisticRegressionModel:
     """L2 logistic regression whose objective is ``C * sum(loss) + |w|^2 / 2``, intercept free."""
-    rows = vectors.count()
     return LogisticRegression(
         featuresCol="features",
         labelCol="target",
@@ -52,7 +63,7 @@ def fit_logistic(vectors: DataFrame, cfg: StudyConfig) -> LogisticRegressionMode
         elasticNetParam=0.0,
         standardization=False,
         maxIter=cfg.logistic_iterations,
-    ).fit(vectors)
+    ).fit(compact(vectors, rows))
 
 
 def sigmoid(margin: Column) -> Column:
@@ -120,9 +131,8 @@ def train_logreg(
         scaling = {n: encoder.scaling[n] for n in numeric}
     else:
         scaling = fit_scaling(train, numeric)
-    vectors = encoder.transform(train, scaling).select("target", "features").persist()
-    fitted = fit_logistic(vectors, cfg)
-    vectors.unpersist()
+    vectors = encoder.transform(train, scaling).select("target", "features")
+    fitted = fit_logistic(vectors, train.count(), cfg)
 
     values = [float(v) for v in fitted.coefficients.toArray()]
     split = len(encoder.tokens)
@@ -247,12 +257,10 @@ def _tree_features(df, rates, prior, columns, numeric) -> DataFrame:
 def train_gbt(train: DataFrame, cfg: StudyConfig) -> TreeModel:
     columns, numeric = tuple(cfg.categorical), tuple(cfg.numeric)
     rates = stage(target_encoding(train, columns), "rates", partition_by=("feature",))
-    prior = train.agg(F.avg("target")).first()[0]
-    vectors = (
-        _tree_features(train.withColumn("fold", _fold()), rates, prior, columns, numeric)
-        .select("target", "features")
-        .persist()
-    )
+    rows, prior = train.agg(row_count(), F.avg("target")).first()
+    vectors = _tree_features(
+        train.withColumn("fold", _fold()), rates, prior, columns, numeric
+    ).select("target", "features")
     trees = GBTClassifier(
         featuresCol="features",
         labelCol="target",
@@ -260,8 +268,7 @@ def train_gbt(train: DataFrame, cfg: StudyConfig) -> TreeModel:
         maxDepth=cfg.tree_depth,
         stepSize=cfg.tree_step,
         seed=cfg.seed,
-    ).fit(vectors)
-    vectors.unpersist()
+    ).fit(compact(vectors, rows))
     return TreeModel(columns, numeric, rates, prior, trees)
 
 

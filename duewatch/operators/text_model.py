@@ -149,17 +149,14 @@ class TextModel:
 
 def train_text(sample: DataFrame, cfg: StudyConfig) -> TextModel | None:
     """Fit on the sampled rows that have text; None when there are too few of them."""
-    docs = sample.where(F.col("narrative").isNotNull()).select("target", "narrative").persist()
-    try:
-        if docs.count() < cfg.text_min_train_rows:
-            return None
-        index = TermIndex.fit(docs, cfg)
-        raw = index.weigh(docs).select("target", _sparse(len(index.terms)).alias("raw"))
-        vectors = Normalizer(inputCol="raw", outputCol="features").transform(raw)
-        fitted = fit_logistic(vectors.persist(), cfg)
-        vectors.unpersist()
-    finally:
-        docs.unpersist()
+    docs = sample.where(F.col("narrative").isNotNull()).select("target", "narrative")
+    rows = docs.count()
+    if rows < cfg.text_min_train_rows:
+        return None
+    index = TermIndex.fit(docs, cfg)
+    raw = index.weigh(docs).select("target", _sparse(len(index.terms)).alias("raw"))
+    vectors = Normalizer(inputCol="raw", outputCol="features").transform(raw)
+    fitted = fit_logistic(vectors, rows, cfg)
     return TextModel(index, tuple(float(v) for v in fitted.coefficients.toArray()), float(fitted.intercept))
 
 

@@ -80,7 +80,7 @@ def test_relational_scoring_equals_vector_scoring(train):
     """Joins and arithmetic give what MLlib gives on the encoded vectors."""
     encoder = encoding.Encoder.fit(train, CFG)
     vectors = encoder.transform(train, encoder.scaling)
-    fitted = models.fit_logistic(vectors, CFG)
+    fitted = models.fit_logistic(vectors, train.count(), CFG)
     p = vector_to_array(F.col("probability"))[1]
     mllib = fitted.transform(vectors).select("complaint_id", p.alias("p"))
     ours = models.train_logreg(train, CFG, encoder).score(train, "complaint_id")
