@@ -46,24 +46,26 @@ def model_exists(spark: SparkSession, path: str) -> bool:
 ROWS_PER_TASK = 50_000
 
 
-def compact(vectors: DataFrame, rows: int) -> DataFrame:
-    """Give each training task enough rows to outweigh launching it again every iteration.
-
-    MLlib caches its own blocked copy of the input, so the input itself is not persisted.
-    """
-    return vectors.coalesce(max(1, math.ceil(rows / ROWS_PER_TASK)))
+def fit_on(estimator, vectors: DataFrame, rows: int):
+    """Fit on cached vectors, with enough rows per task to outweigh launching it every iteration."""
+    cached = vectors.repartition(max(1, math.ceil(rows / ROWS_PER_TASK))).persist()
+    try:
+        return estimator.fit(cached)
+    finally:
+        cached.unpersist()
 
 
 def fit_logistic(vectors: DataFrame, rows: int, cfg: StudyConfig) -> LogisticRegressionModel:
     """L2 logistic regression whose objective is ``C * sum(loss) + |w|^2 / 2``, intercept free."""
-    return LogisticRegression(
+    estimator = LogisticRegression(
         featuresCol="features",
         labelCol="target",
         regParam=1.0 / (cfg.logistic_c * rows),
         elasticNetParam=0.0,
         standardization=False,
         maxIter=cfg.logistic_iterations,
-    ).fit(compact(vectors, rows))
+    )
+    return fit_on(estimator, vectors, rows)
 
 
 def sigmoid(margin: Column) -> Column:
@@ -261,15 +263,15 @@ def train_gbt(train: DataFrame, cfg: StudyConfig) -> TreeModel:
     vectors = _tree_features(
         train.withColumn("fold", _fold()), rates, prior, columns, numeric
     ).select("target", "features")
-    trees = GBTClassifier(
+    estimator = GBTClassifier(
         featuresCol="features",
         labelCol="target",
         maxIter=cfg.tree_count,
         maxDepth=cfg.tree_depth,
         stepSize=cfg.tree_step,
         seed=cfg.seed,
-    ).fit(compact(vectors, rows))
-    return TreeModel(columns, numeric, rates, prior, trees)
+    )
+    return TreeModel(columns, numeric, rates, prior, fit_on(estimator, vectors, rows))
 
 
 # --------------------------------------------------------------------------- year ablation
