@@ -221,11 +221,21 @@ def add_decile(df: DataFrame, score: str = "pred_proba") -> DataFrame:
     """Ascending quantile bin of the raw value: 1 is the lowest scores.
 
     Edges are interpolated deciles, repeated edges are merged, bins are right-closed. A single
-    distinct value puts every row in decile 1.
+    distinct value puts every row in decile 1. If some scores are missing, the others are binned by
+    rank instead and the missing ones get no decile.
     """
-    ladder = score_ladder(df.withColumn("_none", F.lit(0)), score=score, target="_none")
+    known = F.col(score).isNotNull()
+    ladder = score_ladder(df.where(known).withColumn("_none", F.lit(0)), score=score, target="_none")
     edges = quantile_edges(ladder, 10).select(F.array_distinct("edges")).first()[0]
-    return df.withColumn("decile", F.greatest(edges_below(edges, F.col(score)), F.lit(1)))
+    if edges[0] == edges[-1]:
+        return df.withColumn("decile", F.lit(1))
+    if df.where(~known).isEmpty():
+        return df.withColumn("decile", F.greatest(edges_below(edges, F.col(score)), F.lit(1)))
+    order = [F.asc(score), *[F.asc(c) for c in df.columns if c != score]]
+    ranked = global_rank(df.where(known), *order).withColumn("decile", risk_group_of(10) + 1)
+    return ranked.select(*df.columns, "decile").unionByName(
+        df.where(~known).withColumn("decile", F.lit(None).cast("int"))
+    )
 
 
 def decile_summary(df: DataFrame) -> DataFrame:
@@ -236,7 +246,7 @@ def decile_summary(df: DataFrame) -> DataFrame:
             F.count("actually_untimely").alias("count"),
             F.avg("actually_untimely").alias("mean"),
         ]
-    return df.groupBy("decile").agg(*measures).orderBy("decile")
+    return df.where(F.col("decile").isNotNull()).groupBy("decile").agg(*measures).orderBy("decile")
 
 
 def risk_group_of(groups: int) -> Column:

@@ -237,3 +237,13 @@ def test_crowded_double_scores(spark):
     for _, y, s in order:
         assert ladder[s].pos_above == caught
         caught += y
+
+
+def test_missing_scores_fall_back_to_rank_bins(spark):
+    rows = [(i, 0.5 if i < 12 else i / 100) for i in range(20)] + [(98, None), (99, None)]
+    df = spark.createDataFrame(rows, "complaint_id int, pred_proba double")
+    got = {r.complaint_id: r.decile for r in ranking.add_decile(df).collect()}
+    assert got[98] is None and got[99] is None
+    order = sorted((p, i) for i, p in rows if p is not None)
+    assert [got[i] for _, i in order] == [k // 2 + 1 for k in range(20)]
+    assert sum(r.records for r in ranking.decile_summary(ranking.add_decile(df)).collect()) == 20
