@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Claims, StudyConfig
@@ -86,6 +88,18 @@ def _score(space: Workspace, name: str, year: int, cfg: StudyConfig) -> DataFram
     return space.scores(name, year)
 
 
+def _aligned_scores(space: Workspace, year: int) -> DataFrame | None:
+    """Stored scores of a year, or None when there are none or they cover other complaints."""
+    scores = space.scores(LOGISTIC, year)
+    if scores is None:
+        return None
+    report = linking.alignment_report(space.population(year), scores).first()
+    if not report.complete:
+        warnings.warn(f"scores of {year} do not match its population ({report}); skipped")
+        return None
+    return scores
+
+
 def choose_threshold(space: Workspace, cfg: StudyConfig) -> None:
     """Model comparison and threshold sweep on the validation year."""
     year, cut = cfg.validation_year, cfg.decision_threshold
@@ -138,7 +152,7 @@ def figure_tables(space: Workspace, cfg: StudyConfig) -> None:
     space.write_result(
         space.result("table14_threshold_sweep").select("threshold", "precision", "recall"), "fig_threshold"
     )
-    test = space.scores(LOGISTIC, cfg.test_year)
+    test = _aligned_scores(space, cfg.test_year)
     if test is None:
         return
     ladder = ranking.score_ladder(test)
@@ -159,20 +173,18 @@ def export_dashboard(space: Workspace, cfg: StudyConfig) -> None:
         result = space.result(source)
         if result is not None:
             space.publish(result, fact)
-    test = space.scores(LOGISTIC, cfg.test_year)
+    test = _aligned_scores(space, cfg.test_year)
     if test is None:
         return
-    year = space.population(cfg.test_year)
-    if not linking.alignment_report(year, test).first().complete:
-        return  # scores of another population: no queue
     queue = ranking.triage_queue(test, cfg.queue_rows, cfg.decision_threshold)
-    space.publish(ranking.queue_details(queue, year).orderBy("rank"), "fact_queue")
+    details = ranking.queue_details(queue, space.population(cfg.test_year))
+    space.publish(details.orderBy("rank"), "fact_queue")
 
 
 def diagnose(space: Workspace, cfg: StudyConfig) -> None:
     """Goodness of fit, Brier score, log loss and risk groups for both evaluation years."""
     for year in (cfg.validation_year, cfg.test_year):
-        scores = space.scores(LOGISTIC, year)
+        scores = _aligned_scores(space, year)
         if scores is not None:
             space.write_result(calibration.risk_group_table(scores), f"risk_groups_{year}")
             groups = space.result(f"risk_groups_{year}")
@@ -195,7 +207,9 @@ def ablate(space: Workspace, cfg: StudyConfig, claims: Claims | None = None) ->
 
 def verify_claims(space: Workspace, csv_path, cfg: StudyConfig, claims: Claims = Claims()) -> DataFrame:
     """Every published claim against the stored tables."""
-    test, sample = space.scores(LOGISTIC, cfg.test_year), space.sample()
+    test, sample = _aligned_scores(space, cfg.test_year), space.sample()
+    if test is None:
+        raise RuntimeError("no scores that match the test year: run evaluate_test first")
     ladder = ranking.score_ladder(test)
     levels = encoding.category_levels(sample, cfg.categorical, cfg.min_level_count)
     source = source_row_count(read_complaints(space.spark, csv_path), cfg.read_chunk_rows)

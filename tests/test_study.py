@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from duewatch.config import RAW_TO_SHORT, Claims
 from duewatch.operators import metrics
 from duewatch.plans import add_decile_file, run_study
-from duewatch.plans.study import ablate
+from duewatch.plans.study import _aligned_scores, ablate
 from duewatch.sources import adapter, write_table
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -103,3 +103,16 @@ def test_scored_file_to_deciles(spark, space, tmp_path):
     back = spark.read.option("header", True).csv(str(tmp_path / "out"))
     assert {"complaint_id", "pred_proba", "decile"} <= set(back.columns)
     assert metrics.ranking_metrics(space.scores("logistic", CFG.test_year)).first().n == scored.count()
+
+
+def test_scores_of_another_population_are_skipped(spark, space):
+    year = CFG.validation_year
+    scores = space.scores("logistic", year)
+    kept = spark.createDataFrame(scores.collect(), scores.schema)
+    try:
+        space.write_scores(kept.where("complaint_id % 2 = 0"), "logistic", year)
+        with pytest.warns(UserWarning, match="do not match"):
+            assert _aligned_scores(space, year) is None
+    finally:
+        space.write_scores(kept, "logistic", year)
+    assert _aligned_scores(space, year) is not None
