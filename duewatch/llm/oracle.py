@@ -6,11 +6,11 @@ from __future__ import annotations
 JACCARD = r"""
 with recursive words as (
   select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as w
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
   from documents),
 sets as (
   select doc_id, case when len(w) >= 5
-    then list_distinct(list_transform(generate_series(1, len(w) - 4), i -> array_to_string(w[i:i+4], ' ')))
+    then list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' ')))
     when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s
   from words),
 tokens as (select doc_id, unnest(s) as token from sets),
