@@ -9,10 +9,11 @@ Documents are sets of distinct five-word shingles (tokens). Two of them link whe
 2. A pair shares at most ``min(frequent_a, frequent_b)`` frequent tokens, so the count decides most pairs: certain,
    impossible, or open. Truncated tokens are used here; their width follows the corpus size.
 3. A pair that shares no rare token can link only if both documents consist of frequent tokens to four fifths or more.
-   Those documents index *pairs* of tokens: tokens are dealt into classes by hash, as many as the document's size level
-   asks for, and the prefix in hash order is extended until it holds ``n // 5 + 1`` tokens beyond the first of each
-   class. A partner misses at most ``n // 5`` tokens, so within one class two tokens of the prefix must be shared.
-4. In each list of a combination all members are verified with its most frequent-worded member first. Only members
+   Those documents count their tokens among themselves and order them by frequency level, then hash. The rarer ones
+   are indexed alone. The others are dealt into classes by hash, as many as the document's size level asks for, and
+   *pairs* of tokens of a class are indexed; the prefix is extended until it holds ``n // 5 + 1`` tokens beyond the
+   first of each class. A partner misses at most ``n // 5`` tokens, so it shares a single token or a pair of one class.
+4. In each list all members are verified with the member that has the fewest tokens of its own first. Only members
    whose components still differ after that are paired with the rest of the list. Nothing but the expansion of pairs
    inside a component is saved: the components are exact.
 
@@ -42,11 +43,14 @@ FREQUENT = 16
 BUCKET_TOKENS = 3_000_000
 #: Documents of one posting block: their place fits 14 bits.
 BLOCK_DOCUMENTS = 1 << 14
+#: Among documents of frequent tokens: tokens of fewer than 2 ** SINGLE_LEVEL of these are indexed alone.
+SINGLE_LEVEL = 6
 #: A token class of a size level holds about so many tokens of a document.
 CLASS_TOKENS = 16
 
 SETS = "key long, doc_id long, n long, node binary"
 BLOCKS = "bucket int, docs binary, low binary, high binary, place binary, over binary"
+PARTS = "home int, kind int, block binary"
 FOUND = "a long, b long, c long"
 
 
@@ -124,8 +128,11 @@ def posting_blocks(buckets: int, bits: int) -> Callable[[Iterator[pa.RecordBatch
     return run
 
 
-def posting_lists(blocks: pa.Table) -> pa.Table:
-    """All postings of one bucket to pairs that share rare tokens (a, b, how many), and (a, null, frequent tokens)."""
+def posting_lists(blocks: pa.Table, homes: int) -> pa.Table:
+    """All postings of one bucket to the pairs that share rare tokens, and the number of each document's frequent ones.
+
+    Both go on in packed blocks, dealt by the first document.
+    """
     keys, sizes, tokens, owners, over = [], [], [], [], []
     for row in blocks.to_pylist():
         head = zlib.decompress(row["docs"])
@@ -159,13 +166,35 @@ def posting_lists(blocks: pa.Table) -> pa.Table:
         pairs.append(np.where(swap, b, a) << 32 | np.where(swap, a, b))
     pair, shared = np.unique(np.concatenate(pairs), return_counts=True)
     some = np.flatnonzero(frequent)
-    return pa.table(
-        {
-            "a": np.concatenate([key[pair >> 32], key[some]]),
-            "b": pa.concat_arrays([pa.array(key[pair & 0xFFFFFFFF]), pa.nulls(len(some), pa.int64())]),
-            "c": np.concatenate([shared.astype(np.int64), frequent[some]]),
-        }
-    )
+    out = []
+    for kind, columns in enumerate(
+        ((key[some], frequent[some]), (key[pair >> 32], key[pair & 0xFFFFFFFF], shared))
+    ):
+        home = (mix(columns[0].astype(np.uint64)) % np.uint64(homes)).astype(np.int32)
+        order = np.argsort(home, kind="stable")
+        cuts = np.searchsorted(home[order], np.arange(homes + 1))
+        for k in np.unique(home).tolist():
+            part = order[cuts[k] : cuts[k + 1]]
+            out.append((k, kind, zlib.compress(np.stack([x[part] for x in columns]).astype("<i8").tobytes(), 1)))
+    home, kind, block = zip(*out, strict=True) if out else ((), (), ())
+    return pa.table([pa.array(home, pa.int32()), pa.array(kind, pa.int32()), pa.array(block, pa.binary())], ["home", "kind", "block"])
+
+
+def summed(parts: pa.Table) -> pa.Table:
+    """Adds up what the buckets found: (a, null, frequent tokens) of a document, (a, b, shared rare tokens) of a pair."""
+    out = []
+    for kind in (0, 1):
+        blocks = [np.frombuffer(zlib.decompress(x["block"]), "<i8") for x in parts.to_pylist() if x["kind"] == kind]
+        rows = np.concatenate([x.reshape(kind + 2, -1) for x in blocks], axis=1) if blocks else np.zeros((kind + 2, 0), np.int64)
+        order = np.lexsort(rows[:-1])
+        rows = rows[:, order]
+        begins = np.ones(len(order), bool)
+        begins[1:] = (rows[:-1, 1:] != rows[:-1, :-1]).any(axis=0)
+        starts = np.flatnonzero(begins)
+        c = np.add.reduceat(rows[-1], starts) if len(starts) else rows[-1]
+        b = pa.array(rows[1, starts]) if kind else pa.nulls(len(starts), pa.int64())
+        out.append(pa.table([pa.array(rows[0, starts]), b, pa.array(c)], ["a", "b", "c"]))
+    return pa.concat_tables(out)
 
 
 def token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,37 +211,61 @@ def token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(out, ["node", "n", "frequent", "tokens"]).filter(right)
 
 
-def combinations(tokens: np.ndarray) -> np.ndarray:
-    """Hashes of all two-token combinations of each class in the extended prefix, for both size levels it may meet."""
-    n = len(tokens)
-    out = []
-    for level in {n.bit_length(), (-(-4 * n // 5)).bit_length()}:
-        classes = max(1, (1 << (level - 1)) // CLASS_TOKENS)
-        kind = (mix(tokens + np.uint64(level)) % np.uint64(classes)).astype(np.int64)
+def exploded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for uid, tokens in zip(batch.column("uid"), batch.column("tokens"), strict=True):
+            found = pa.array(np.frombuffer(tokens.as_buffer(), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.repeat(uid, len(found)), found], ["uid", "token"])
+
+
+def signatures(level: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of what a document indexes, and whether each is a combination.
+
+    ``level`` and ``token`` are in the common order: the tokens' frequency level, then their hash. For both size levels
+    that a partner may share, the prefix is extended until it holds ``n // 5 + 1`` tokens beyond the first of each
+    frequent class; its single tokens below ``SINGLE_LEVEL`` and all pairs within a class are indexed.
+    """
+    n = len(token)
+    out, single = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for size in {n.bit_length(), (-(-4 * n // 5)).bit_length()}:
+        classes = max(1, (1 << (size - 1)) // CLASS_TOKENS)
+        kind = (mix(token + np.uint64(size)) % np.uint64(classes)).astype(np.int64)
+        kind[level < SINGLE_LEVEL] = -1
         first = np.zeros(n, bool)
         first[np.unique(kind, return_index=True)[1]] = True
-        beyond = np.cumsum(~first)
-        stop = int(np.searchsorted(beyond, n // 5 + 1)) + 1
-        kind, prefix = kind[:stop], tokens[:stop]
-        order = np.argsort(kind, kind="stable")
-        kind, prefix = kind[order], prefix[order]
-        for step in range(1, stop):
-            same = kind[:-step] == kind[step:]
+        first &= kind >= 0
+        stop = int(np.searchsorted(np.cumsum(~first), n // 5 + 1)) + 1
+        part, prefix = kind[:stop], token[:stop]
+        single.append(mix(prefix[part < 0]))
+        order = np.argsort(part, kind="stable")
+        order = order[part[order] >= 0]
+        part, prefix = part[order], prefix[order]
+        for step in range(1, len(part)):
+            same = part[:-step] == part[step:]
             if not same.any():
                 break
-            out.append(mix(mix(prefix[:-step][same] + np.uint64(level)) + np.uint64(3) * prefix[step:][same]))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+            one, two = prefix[:-step][same], prefix[step:][same]
+            low, high = np.minimum(one, two), np.maximum(one, two)
+            out.append(mix(mix(low + np.uint64(size)) + np.uint64(3) * high))
+    pairs, singles = np.unique(np.concatenate(out)), np.unique(np.concatenate(single))
+    return np.concatenate([singles, pairs]), np.arange(len(singles) + len(pairs)) >= len(singles)
 
 
-def combination_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, n, frequent, items) to (sig, uid, n, bound); bound: how many tokens the partners in this list may share."""
     for batch in batches:
+        items = batch.column("items")
         for row in range(batch.num_rows):
-            found = combinations(np.frombuffer(batch.column("tokens")[row].as_buffer(), np.uint64)).view(np.int64)
-            rest = [
-                pa.repeat(batch.column(name)[row], len(found)) for name in ("uid", "n", "frequent")
-            ]
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found), *rest], ["sig", "uid", "n", "frequent"])
+            found = items[row].values
+            level = found.field("level").to_numpy(zero_copy_only=False)
+            token = found.field("token").to_numpy(zero_copy_only=False).view(np.uint64)
+            sig, combined = signatures(level, token)
+            bound = np.where(combined, (level >= SINGLE_LEVEL).sum(), batch.column("frequent")[row].as_py())
+            rest = [pa.repeat(batch.column(name)[row], len(sig)) for name in ("uid", "n")]
+            if len(sig):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sig.view(np.int64)), *rest, pa.array(bound, pa.int64())], ["sig", "uid", "n", "bound"]
+                )
 
 
 def verified_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +302,8 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     buckets = max(8, -(-total // BUCKET_TOKENS))
     bits = min(48, 17 + max(15, total.bit_length()))
     blocks = texts.select("key", "text").mapInArrow(posting_blocks(buckets, bits), BLOCKS)
-    found = staged(blocks.groupBy("bucket").applyInArrow(posting_lists, FOUND), "found")
+    parts = blocks.groupBy("bucket").applyInArrow(lambda found: posting_lists(found, buckets), PARTS)
+    found = staged(parts.groupBy("home").applyInArrow(summed, FOUND), "found")
 
     nodes = docs.where("n > 0").join(
         found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("c").alias("frequent")), "key", "left"
@@ -281,15 +335,19 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     )
     sets = staged(sets.withColumn("uid", F.monotonically_increasing_id()), "tokens")
 
-    lists = sets.where("n > 1 and 5 * frequent >= 4 * n").select("uid", "n", "frequent", "tokens")
-    lists = staged(lists.mapInArrow(combination_rows, "sig long, uid long, n long, frequent long"), "lists")
+    common = sets.where("n > 1 and 5 * frequent >= 4 * n").select("uid", "n", "frequent", "tokens")
+    owned = common.mapInArrow(exploded_rows, "uid long, token long")
+    level = owned.groupBy("token").agg(F.floor(F.log2(F.count("*"))).cast("int").alias("level"))
+    items = owned.join(level, "token").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("level", "token"))).alias("items"))
+    lists = common.drop("tokens").join(items, "uid").mapInArrow(signature_rows, "sig long, uid long, n long, bound long")
+    lists = staged(lists, "lists")
     # The member with the fewest words of its own leads a list.
     lead = lists.groupBy("sig").agg(
-        F.max(F.struct((F.col("frequent") / F.col("n")).alias("share"), "n", "uid", "frequent")).alias("lead"),
+        F.max(F.struct((F.col("bound") / F.col("n")).alias("share"), "n", "uid", "bound")).alias("lead"),
         F.count("*").alias("members"),
     )
     led = lists.join(lead.where("members > 1"), "sig").where(
-        "uid <> lead.uid and 9 * least(frequent, lead.frequent) >= 4 * (n + lead.n)"
+        "uid <> lead.uid and 9 * least(bound, lead.bound) >= 4 * (n + lead.n)"
     )
     led = staged(led.select(F.least("uid", "lead.uid").alias("x"), F.greatest("uid", "lead.uid").alias("y")).distinct(), "led")
     named = pairs.where("not sure").select(F.col("a").alias("x"), F.col("b").alias("y"))
@@ -312,11 +370,12 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     apart = staged(
         labelled.join(mixed.where("labels > 1").drop("labels"), "sig"), "apart"
     )
-    few = apart.where("label <> most").select("sig", *(F.col(x).alias(f"{x}_") for x in ("uid", "n", "frequent", "label")))
+    few = apart.where("label <> most").select("sig", *(F.col(x).alias(f"{x}_") for x in ("uid", "n", "bound", "label")))
     rest = few.join(apart, "sig").where(
-        "label <> label_ and 9 * least(frequent, frequent_) >= 4 * (n + n_) and (label = most or uid < uid_)"
+        "label <> label_ and 9 * least(bound, bound_) >= 4 * (n + n_) and (label = most or uid < uid_)"
     )
     rest = rest.select(F.least("uid", "uid_").alias("x"), F.greatest("uid", "uid_").alias("y")).distinct()
+    rest = staged(rest, "rest")
     more = staged(verified(rest.join(led, ["x", "y"], "left_anti"), sets, "uid"), "links")
     if more.limit(1).count():
         groups = components(links.unionByName(more))
