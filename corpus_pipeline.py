@@ -1,10 +1,68 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread by the next.
+
+Quality rules and toxicity drop the documents they reject, the Jaccard join keeps one document of each group,
+decontamination drops documents into which a benchmark item leaked, and packing places the ids of the rest.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from duewatch.llm.common import table, work_folder
+from duewatch.llm.decontamination import without_leaks
+from duewatch.llm.jaccard_join import jaccard_components
+from duewatch.llm.packing import packed
+from duewatch.llm.quality import kept_rows
+from duewatch.llm.queries import TOXIC_FROM
+from duewatch.llm.toxicity import below_score
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return kept_rows(docs, "source")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return below_score(docs, table(spark, sf_dir, "labels"), TOXIC_FROM)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component stays, once; rows without an id stay."""
+    named = docs.where("doc_id is not null")
+    chosen = jaccard_components(named).where("doc_id = component_id").select("doc_id").distinct()
+    first = named.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return first.unionByName(docs.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality),
+    ("toxicity", toxicity),
+    ("jaccard_join", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+#: Neither the trained network nor the tokenizer can be expressed in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = work_folder(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -28,6 +28,48 @@ select s.doc_id, len(s.s) as n_shingles, min(r.other) as component_id
 from sets s join reach r on r.doc_id = s.doc_id group by s.doc_id, s.s
 """
 
+#: The rules and the host verdicts; the host of a document is its source.
+QUALITY = r"""
+with texts as (
+  select row_number() over () as row, doc_id, source, coalesce(text, '') as text from documents),
+words as (
+  select row, doc_id, source, text,
+    list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+  from texts),
+windows as (
+  select row, i, array_to_string(w[i:i+2], ' ') as three
+  from words, unnest(case when len(w) >= 3 then generate_series(1, len(w) - 2) else [] end) as t(i)),
+inside as (
+  select distinct row, unnest([i, i + 1, i + 2]) as place
+  from (select row, i, count(*) over (partition by row, three) as found from windows) where found >= 2),
+repeats as (select row, count(*) as n from inside group by row),
+measures as (
+  select words.row, doc_id, source, len(w) as n_words,
+    coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+    (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+    coalesce(repeats.n, 0) as n_repeat_words
+  from words left join repeats on repeats.row = words.row),
+judged as (
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from measures),
+hosts as (
+  select source, count(*) as n, count(*) filter (base_failed) as f from judged group by source),
+sums as (
+  select count(*) as h, sum(n) as n, sum(f) / sum(n) as mean, sum(f * f / n) / sum(n) as square from hosts),
+spread as (
+  select mean, mean * (1 - mean) as noise, square - mean * mean - mean * (1 - mean) * h / n as between_hosts from sums),
+prior as (
+  select mean, case when between_hosts > 0 then least(greatest(noise / between_hosts - 1, 1.0), 1e6)
+    when noise > 0 then 1e6 else 1.0 end as strength from spread),
+rates as (
+  select source, (f + mean * strength) / (n + strength) as rate from hosts, prior)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and rate <= 0.5 as kept
+from judged join rates on judged.source is not distinct from rates.source
+"""
+
 ORACLE: dict[str, str] = {
+    "op6_quality_rules": QUALITY,
     "op8_jaccard_join": JACCARD,
 }

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontamination import found_leaks
 from .jaccard_join import jaccard_components
 from .packing import packed
+from .quality import judged
 from .toxicity import toxicity_scores
 
 #: A document counts as toxic from this score.
@@ -26,6 +28,15 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The host of a document is its source."""
+    return judged(table(spark, sf_dir, "documents"), "source").drop("host")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -33,5 +44,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
+    "op4_decontamination": op4_decontamination,
+    "op6_quality_rules": op6_quality_rules,
     "op8_jaccard_join": op8_jaccard_join,
 }

@@ -42,12 +42,17 @@ def powers(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word, and the number of words of each text; ``ends`` are the texts' ends in ``data``."""
+def word_hashes(
+    data: np.ndarray, ends: np.ndarray, letters: np.ndarray = LOWER, gaps: np.ndarray = SPACE
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word, and the number of words of each text; ``ends`` are the texts' ends in ``data``.
+
+    ``letters`` maps bytes before hashing, ``gaps`` marks the bytes between words.
+    """
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
-    solid = ~SPACE[data]
+    solid = ~gaps[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     begins = ends[:-1][ends[:-1] < n]
@@ -59,7 +64,7 @@ def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     up, down = powers(n)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
+    np.cumsum((letters[data].astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
     words = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
     at = np.searchsorted(start, ends)
     return words, np.diff(at, prepend=0)

@@ -399,3 +399,19 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     rows = documents.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     kind = documents.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(scorer(model), f"doc_id {kind}, held_out boolean, score double")
+
+
+def below_score(documents: DataFrame, labels: DataFrame, limit: float) -> DataFrame:
+    """The whole rows that score below ``limit``."""
+    usable = labels.where(~held_out() & F.col("toxic").isNotNull())
+    model = fit_on(documents, usable.select("doc_id", F.col("toxic").cast("int").alias("label")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inputs = Inputs(model) if model is not None else None
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                found = scores(model, inputs, part.column("text").to_pylist())
+                yield part.filter(pa.array(found < limit))
+
+    return documents.mapInArrow(run, documents.schema)
