@@ -1,10 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds join training passages to test items, then Smith-Waterman alignment.
 
-Words are runs of letters and digits, A-Z lower-cased. A test item's seeds are its three-word windows whose words are
+Words are runs of letters and digits, lower-cased. A test item's seeds are its three-word windows whose words are
 rare together: the product of their shares of all corpus words is at most ``SEED_SHARE``; an item always keeps its
 ``LEAST_SEEDS`` rarest. Rarity comes from single words, so a passage that leaked into many documents stays a seed.
 Where a seed occurs in a document, the passage around it, an item long on either side, is aligned with the item word by
-word. The score is the best local alignment over that of a verbatim copy. A pair is a leak from ``LEAK_SCORE``.
+word. The score is the best local alignment over that of a verbatim copy. A pair is a leak from ``LEAK_SCORE`` if the
+alignment is worth ``LEAK_WORDS`` equal words too, or all words of a shorter item.
 
 Test items are taken in blocks of ``ITEMS_AT_ONCE``, so what goes to each task is bounded; each block reads the corpus.
 Items with fewer than three words have no seeds and no leaks; null texts are empty. Repeated rows give repeated
@@ -18,6 +19,7 @@ from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ SEED_WORDS = 3
 SEED_SHARE = 1e-8
 LEAST_SEEDS = 8
 LEAK_SCORE = 0.5
+LEAK_WORDS = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 ITEMS_AT_ONCE = 20_000
 #: Words of passages that are aligned at a time; only bounds memory.
@@ -37,13 +40,12 @@ FILTER_BITS = 22
 GAPS = np.ones(256, bool)
 GAPS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 LETTERS = np.arange(256, dtype=np.uint8)
-LETTERS[0x41:0x5B] += 0x20
 
 LEAKS = "item_id long, score double, first_word long, last_word long"
 
 
 def hashed_words(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for data, ends, _, _ in text_chunks(texts):
+    for data, ends, _, _ in text_chunks(pc.utf8_lower(texts.cast(pa.large_string()))):
         yield word_hashes(data, ends, LETTERS, GAPS)
 
 
@@ -181,8 +183,9 @@ def leaks(items: Items, column: pa.Array, maybe: np.ndarray) -> Iterator[tuple[i
             a = [items.words[item] for _, item, _, _ in part]
             b = [words[begin:stop] for _, _, begin, stop in part]
             score, end = align(a, b)
-            share = score / (MATCH * items.size[[item for _, item, _, _ in part]])
-            good = np.flatnonzero(share >= LEAK_SCORE)
+            size = items.size[[item for _, item, _, _ in part]]
+            share = score / (MATCH * size)
+            good = np.flatnonzero((share >= LEAK_SCORE) & (score >= MATCH * np.minimum(size, LEAK_WORDS)))
             if not len(good):
                 continue
             _, back = align([a[k][::-1] for k in good], [b[k][: end[k] + 1][::-1] for k in good])

@@ -69,7 +69,26 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from judged join rates on judged.source is not distinct from rates.source
 """
 
+#: What is read back equals what went in; the formatted length follows from the marks and the escapes.
+CHAT = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+sized as (
+  select *, length(regexp_replace(replace(text, '\', '\\'),
+    '(<s>|</s>|\[INST\]|\[/INST\]|\[TURN:|\[/TURN\])', '_\1', 'g')) as chars
+  from turns)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+  3 + sum(chars + case role when 'user' then 15 when 'assistant' then 5 else 16 + length(role) end)::bigint
+    as formatted_chars
+from sized group by conv_id
+"""
+
 ORACLE: dict[str, str] = {
+    "op3_chat_formatting": CHAT,
     "op6_quality_rules": QUALITY,
     "op8_jaccard_join": JACCARD,
 }
