@@ -87,8 +87,69 @@ select conv_id, count(*) as n_turns,
 from sized group by conv_id
 """
 
+#: The drawn list history, its intervals, and for each capture the entries that cover it and were active.
+URL_FILTERS = r"""
+with captures as (
+  select page_id, url, date '2024-01-01' + (('0x' || substr(md5(url), 1, 6))::int % 366)::int as fetched,
+    lower(regexp_replace(regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)', 1), '^.*@', ''),
+      ':[0-9]*$', '')) as host,
+    regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)([^?#]*)', 2) as bare_path
+  from pages),
+hosts as (
+  select host, ('0x' || substr(md5(host), 1, 6))::int as draw from (select distinct host from captures where host <> '')),
+entries as (
+  select 'block' as list, 'domain' as kind, host as value, 'add' as action, draw % 200 as moment from hosts where draw % 3 = 0
+  union select 'block', 'domain', host, 'remove', draw % 200 + 30 + draw % 50 from hosts where draw % 3 = 0
+  union select 'block', 'domain', host, 'add', draw % 200 + 120 from hosts where draw % 6 = 0
+  union select 'block', 'path', host || '/en/', 'add', draw % 300 from hosts where draw % 4 = 1
+  union select 'allow', 'domain', host, 'add', draw % 100 + 60 from hosts where draw % 5 = 0
+  union select 'allow', 'domain', host, 'remove', draw % 100 + 150 from hosts where draw % 5 = 0),
+dated as (
+  select *, lead(moment) over (partition by list, kind, value order by moment, action) as until from entries),
+intervals as (
+  select list, kind, value, date '2024-01-01' + moment::int as since, date '2024-01-01' + until::int as until
+  from dated where action = 'add' and (until is null or until > moment)),
+active as (
+  select c.page_id, c.url, c.fetched, i.list, i.value
+  from captures c join intervals i
+    on (i.kind = 'domain' and (c.host = i.value or ends_with(c.host, '.' || i.value))
+      or i.kind = 'path' and c.host <> '' and (
+        c.host || case when c.bare_path = '' then '/' else c.bare_path end = i.value
+        or ends_with(i.value, '/') and starts_with(c.host || c.bare_path, i.value)))
+    and i.since <= c.fetched and (i.until is null or c.fetched < i.until)),
+found as (
+  select page_id, url, fetched, count(*) filter (list = 'block') as n_block, count(*) filter (list = 'allow') as n_allow,
+    max({'allow': list = 'allow', 'size': length(value), 'value': value}).value as rule
+  from active group by all)
+select c.page_id, c.url, c.fetched::timestamp as fetched, count(*) as captures,
+  coalesce(any_value(n_block), 0) as n_block, coalesce(any_value(n_allow), 0) as n_allow, any_value(rule) as rule,
+  coalesce(any_value(n_block), 0) > 0 and coalesce(any_value(n_allow), 0) = 0 as blocked
+from captures c left join found f on f.page_id = c.page_id and f.url = c.url and f.fetched = c.fetched
+group by c.page_id, c.url, c.fetched
+"""
+
+#: Digests as base 32 are spelled from the hex digest, five bits a letter.
+WARC = r"""
+with hashed as (
+  select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages),
+bits as (
+  select page_id, html, hex, array_to_string(list_transform(range(1, 41),
+    lambda i: right(bin(('0x' || hex[i])::int + 16), 4)), '') as bits from hashed),
+digests as (
+  select page_id, strlen(html) as payload_bytes, array_to_string(list_transform(range(0, 32),
+    lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0b' || substr(bits, (5 * i + 1)::int, 5))::int + 1)::int, 1)), '')
+    as payload_digest from bits),
+first as (select payload_digest, min(page_id) as page_id from digests group by all)
+select d.page_id, payload_bytes, d.payload_digest,
+  case when d.page_id = f.page_id then 'response' else 'revisit' end as record_type,
+  case when d.page_id <> f.page_id then f.page_id end as refers_to
+from digests d join first f on f.payload_digest = d.payload_digest
+"""
+
 ORACLE: dict[str, str] = {
     "op3_chat_formatting": CHAT,
     "op6_quality_rules": QUALITY,
+    "op5_url_filters": URL_FILTERS,
     "op8_jaccard_join": JACCARD,
+    "op10_warc": WARC,
 }

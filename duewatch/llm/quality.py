@@ -153,5 +153,5 @@ def kept_rows(documents: DataFrame, host: str) -> DataFrame:
     """The whole rows that the rules and the host verdicts keep."""
     hosts = host_rates(measures(documents, host))
     refused = hosts.where(~good_host()).select(F.col("host").alias("judged_host"))
-    stay = documents.join(refused, F.col(host).eqNullSafe(F.col("judged_host")), "left_anti")
+    stay = documents.join(refused, documents[host].eqNullSafe(refused["judged_host"]), "left_anti")
     return stay.mapInArrow(passing_rows, documents.schema)
