@@ -120,7 +120,7 @@ def cuts(groups: DataFrame, shards: int) -> list[int]:
             found, met = evenly(bounds, capacity, shards)
             chosen.update(k for k in met if not single[k])
         if not chosen:
-            if bounds[-1] - found[-1] > capacity:
+            if bounds[-1] - (found or [0])[-1] > capacity:
                 found = pessimist(bounds, capacity, shards)[:-1]
             return [atoms[bisect_left(bounds, at)][0] if at < bounds[-1] else 1 << 64 for at in found]
         atoms = split(groups, atoms, chosen)
