@@ -690,9 +690,15 @@ sql("scaler_stats", "sample", " union all ".join(
     f"select '{c}' as feature, {r(f'avg({c})')} as mean, {r(f'stddev_pop({c})')} as std from sample"
     for c in ("year", "month", "quarter")))
 
-sql("one_hot_vectors", "sample", LEVELS + "select complaint_id, " + " + ".join(
-    f"cast(coalesce({c}, 'MISSING') in (select level from levels where feature = '{c}') as bigint)"
-    for c in FEATURES) + " as active_categories from cases where year = 1999")
+sql("one_hot_vectors", "sample", LEVELS + ", rows as (" + " union all ".join(
+    f"select complaint_id, '{c}' as feature, coalesce({c}, 'MISSING') as level from cases where year = 1999"
+    for c in FEATURES) + "), scaled as (" + " union all ".join(
+    f"select complaint_id, 'num__{c}' as feature, "
+    f"{r(f'({c} - (select avg({c}) from sample)) / (select stddev_pop({c}) from sample)')} as value "
+    "from cases where year = 1999" for c in ("year", "month", "quarter")) + """)
+select complaint_id, 'cat__' || feature || '_' || encoded as feature, cast(1 as double) as value
+from rows join levels using (feature, level)
+union all select * from scaled where value <> 0""")
 
 
 def tokenised(source: str) -> str:

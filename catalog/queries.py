@@ -678,8 +678,8 @@ def fig_threshold(spark, sf):
 
 @query("fig_pr")
 def fig_pr(spark, sf):
-    scored = test_scores(spark, sf)
-    return metrics.with_no_skill(metrics.pr_curve(ranking.score_ladder(scored)), scored)
+    ladder = ranking.score_ladder(test_scores(spark, sf))
+    return metrics.with_no_skill(metrics.pr_curve(ladder), ladder)
 
 
 @query("fig_roc")
@@ -713,13 +713,16 @@ def scaler_stats(spark, sf):
 
 @query("one_hot_vectors")
 def one_hot_vectors(spark, sf):
-    """Encoded validation rows, as active category columns per case; unseen levels have none."""
+    """Encoded validation rows, as (case, column, value); unseen levels have no column."""
     train = stored_sample(spark, sf)
     encoder = encoding.Encoder.fit(train, STUDY)
     cases = adapter.population(spark, sf, STUDY.validation_year)
     vectors = encoder.transform(cases, encoder.scaling).withColumn("v", F.unwrap_udt("features"))
-    categories = F.size(F.filter("v.indices", lambda i: i < len(encoder.tokens)))
-    return vectors.select("complaint_id", categories.alias("active_categories"))
+    # Cases whose vector is mostly non-zero are stored densely.
+    places = F.coalesce("v.indices", F.sequence(F.lit(0), F.size("v.values") - 1))
+    cells = vectors.select("complaint_id", F.inline(F.arrays_zip(places.alias("position"), F.col("v.values").alias("value"))))
+    named = encoder.names(STUDY.numeric)
+    return cells.where("value <> 0").join(named, "position").select("complaint_id", "feature", "value")
 
 
 @query("tfidf_terms", digits=6)

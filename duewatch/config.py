@@ -42,13 +42,14 @@ NA_TOKENS = (
 # Redaction markers that carry no meaning in a narrative.
 REDACTION_TOKENS = ("xxxx", "xx", "xxxxxxxx", "xxxxxxxxxxxx")
 
+# Names of levels in encoded columns.
 MISSING_LEVEL = "MISSING"
 INFREQUENT_LEVEL = "infrequent_sklearn"
 
 
 @dataclass(frozen=True)
 class StudyConfig:
-    """Parameters of one study. Defaults are the published design."""
+    """Parameters of one study. Defaults are the published design. Fixed values."""
 
     start_year: int = 2020
     end_year: int = 2025
@@ -74,6 +75,7 @@ class StudyConfig:
     tree_count: int = 500
     tree_depth: int = 6
     tree_step: float = 0.1
+    fit_rows_per_task: int = 50_000  # ours: the partitioning of a fit
 
     text_min_df: int = 5
     text_max_terms: int = 50_000

@@ -3,23 +3,30 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import clip_probability, row_count
-from .ranking import ascending_rank, edges_below, quantile_edges, risk_group_of, score_ladder
+from .ranking import edges_below, quantile_edges, ranked_runs, risk_group_of, score_ladder
+
+
+def _risk_group(groups: int, rank: Column, rows: Column) -> Column:
+    return risk_group_of(groups, rank, rows)
 
 
 def risk_group_table(scored: DataFrame, groups: int = 10) -> DataFrame:
     """Observed and expected late cases per equal-sized risk group (0 is the lowest risk)."""
     p = clip_probability(F.col("score"))
     return (
-        ascending_rank(scored)
+        ranked_runs(scored, [partial(_risk_group, groups)])
         .groupBy(risk_group_of(groups).alias("risk_group"))
         .agg(
-            row_count().alias("cases"),
-            F.sum("target").cast("bigint").alias("observed"),
-            F.sum(p).alias("expected"),
+            F.sum("n").alias("cases"),
+            F.sum("pos").alias("observed"),
+            F.sum(p * F.col("n")).alias("expected"),
         )
         .withColumns(
             {
@@ -43,30 +50,39 @@ def hosmer_lemeshow(risk_table: DataFrame, groups: int = 10) -> DataFrame:
 
 
 def chi_square_tail(chi2: Column, dof: int) -> Column:
-    """Upper tail of the chi-square distribution for an even number of degrees of freedom."""
-    if dof <= 0 or dof % 2:
-        raise ValueError("the closed form needs an even, positive number of degrees of freedom")
+    """Upper tail of the chi-square distribution, in closed form."""
+    if dof <= 0:
+        raise ValueError("the number of degrees of freedom must be positive")
     half = chi2 / 2
-    series = F.lit(1.0)
-    for k in range(1, dof // 2):
-        series = series + F.pow(half, F.lit(k)) / F.lit(float(math.factorial(k)))
-    return F.exp(-half) * series
+    odd = dof % 2
+    series = F.lit(0.0)
+    for k in range(dof // 2):
+        power = k + odd / 2
+        series = series + F.pow(half, F.lit(power)) / F.lit(math.gamma(power + 1))
+    tail = F.exp(-half) * series
+    return tail + _erfc(F.sqrt(half)) if odd else tail
+
+
+@F.pandas_udf(DoubleType())
+def _erfc(x: pd.Series) -> pd.Series:
+    """Complementary error function; only ever sees the one row of a test's result."""
+    return x.map(math.erfc, na_action="ignore")
 
 
 def top_bin_calibration(scored: DataFrame, sizes: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
     """Mean score and observed rate in the top risk group, for several numbers of groups."""
-    ranked = ascending_rank(scored)
-    # A top group is a suffix of the ranking, so one pass over the rows serves every size.
+    runs = ranked_runs(scored, [partial(_risk_group, q) for q in sizes])
+    # A top group is a suffix of the ranking, so one pass over the runs serves every size.
     top = [risk_group_of(q) == q - 1 for q in sizes]
-    p, y = F.col("score").cast("double"), F.col("target")
-    row = ranked.agg(
+    p, n = F.col("score").cast("double"), F.col("n")
+    row = runs.agg(
         F.array(
             *[
                 F.struct(
                     F.lit(q).alias("bins"),
-                    F.count_if(t).alias("cases"),
-                    F.avg(F.when(t, p)).alias("mean_score"),
-                    F.avg(F.when(t, y)).alias("observed_rate"),
+                    F.coalesce(F.sum(F.when(t, n)), F.lit(0)).alias("cases"),
+                    F.try_divide(F.sum(F.when(t, p * n)), F.sum(F.when(t, n))).alias("mean_score"),
+                    F.try_divide(F.sum(F.when(t, F.col("pos"))), F.sum(F.when(t, n))).alias("observed_rate"),
                 )
                 for q, t in zip(sizes, top)
             ]

@@ -5,15 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import INFREQUENT_LEVEL, StudyConfig
 from ..functions import fill_missing_levels
 from ..session import stage
-
-# The fit keeps one coefficient per encoded column on the driver; this is the most it may hold.
-MAX_ENCODED_COLUMNS = 1 << 22
+from .ranking import global_rank
 
 
 def stack_categories(df: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
@@ -83,56 +81,78 @@ def join_levels(
 
 @dataclass(frozen=True)
 class Encoder:
-    """One-hot levels and scaling of one training sample."""
+    """One-hot levels and scaling of one training sample.
+
+    ``levels`` is a table ``(feature, level, encoded, position, place)``: the column of the encoded
+    vector that a level sets, and its place within its feature's block. ``sizes`` has the length of
+    each block. No level names reach the driver.
+    """
 
     columns: tuple[str, ...]
     levels: DataFrame
-    tokens: tuple[str, ...]
+    sizes: dict[str, int]
     scaling: dict[str, tuple[float, float]]
 
     @classmethod
     def fit(cls, train: DataFrame, cfg: StudyConfig) -> Encoder:
-        levels = stage(
-            category_levels(train, cfg.categorical, cfg.min_level_count).withColumn(
-                "token", F.concat("feature", F.lit("="), "encoded")
-            ),
-            "levels",
-            partition_by=("feature",),
+        counted = stage(category_levels(train, cfg.categorical, cfg.min_level_count), "counted")
+        order = F.array_position(F.array(*[F.lit(c) for c in cfg.categorical]), F.col("feature"))
+        encoded = counted.select(
+            "feature", "encoded", order.alias("_block"), (F.col("encoded") == INFREQUENT_LEVEL).alias("_rare")
+        ).distinct()
+        ranked = global_rank(encoded, F.asc("_block"), F.asc("_rare"), F.asc("encoded")).select(
+            "feature", "encoded", (F.col("rank") - 1).alias("position")
+        )
+        blocks = {
+            r.feature: (r.first, r.size)
+            for r in ranked.groupBy("feature").agg(F.min("position").alias("first"), F.count(F.lit(1)).alias("size")).collect()
+        }
+        first = F.create_map(*[F.lit(x) for f, (at, _) in blocks.items() for x in (f, at)])[F.col("feature")]
+        levels = counted.join(ranked, ["feature", "encoded"]).withColumn(
+            "place", (F.col("position") - first).cast("double")
         )
-        found = levels.select("feature", "encoded", "token").distinct().limit(MAX_ENCODED_COLUMNS + 1)
-        rows = found.collect()
-        if len(rows) > MAX_ENCODED_COLUMNS:
-            raise ValueError(f"more than {MAX_ENCODED_COLUMNS} encoded columns; raise min_level_count")
-        order = {name: i for i, name in enumerate(cfg.categorical)}
-        rows.sort(key=lambda r: (order[r.feature], r.encoded == INFREQUENT_LEVEL, r.encoded))
         return cls(
             tuple(cfg.categorical),
-            levels,
-            tuple(r.token for r in rows),
+            stage(levels, "levels", partition_by=("feature",)),
+            {c: blocks[c][1] for c in cfg.categorical},
             fit_scaling(train, cfg.numeric),
         )
 
-    def names(self, numeric: Sequence[str]) -> list[str]:
-        """Encoded column names in vector order."""
-        return [f"cat__{t.replace('=', '_', 1)}" for t in self.tokens] + [f"num__{n}" for n in numeric]
+    @property
+    def width(self) -> int:
+        """Encoded category columns; the numeric ones follow."""
+        return sum(self.sizes.values())
+
+    def names(self, numeric: Sequence[str]) -> DataFrame:
+        """``(position, feature)``: the name of every encoded column."""
+        spark = self.levels.sparkSession
+        named = F.concat(F.lit("cat__"), "feature", F.lit("_"), "encoded")
+        categories = self.levels.select("position", named.alias("feature")).distinct()
+        numbers = [(self.width + i, f"num__{n}") for i, n in enumerate(numeric)]
+        return categories.unionByName(spark.createDataFrame(numbers, "position bigint, feature string"))
 
     def transform(self, df: DataFrame, scaling: dict[str, tuple[float, float]]) -> DataFrame:
         """Add the sparse ``features`` vector. A level unseen in training leaves its block empty."""
         filled = fill_missing_levels(df, self.columns)
-        looked_up = join_levels(filled, self.levels, self.columns, "token", "_token")
-        tokens = F.array_compact(F.array(*[F.col(f"{c}_token") for c in self.columns]))
-        ready = looked_up.withColumn("_tokens", tokens).withColumns(
-            {f"_{n}": scaled(n, *scaling[n]) for n in scaling}
+        looked_up = join_levels(filled, self.levels, self.columns, "place", "_place")
+        # An unseen level takes the place behind the block's last, which the encoder drops.
+        ready = looked_up.withColumns(
+            {f"{c}_place": F.coalesce(F.col(f"{c}_place"), F.lit(float(self.sizes[c]))) for c in self.columns}
+            | {f"_{n}": scaled(n, *scaling[n]) for n in scaling}
         )
-        one_hot = CountVectorizerModel.from_vocabulary(
-            list(self.tokens), inputCol="_tokens", outputCol="_cat"
-        ).setBinary(True)
+        one_hot = OneHotEncoder(
+            inputCols=[f"{c}_place" for c in self.columns], outputCols=[f"{c}_block" for c in self.columns], dropLast=True
+        ).fit(self._longest())
         assembler = VectorAssembler(
-            inputCols=["_cat", *[f"_{n}" for n in scaling]], outputCol="features"
+            inputCols=[*[f"{c}_block" for c in self.columns], *[f"_{n}" for n in scaling]], outputCol="features"
         )
         encoded = assembler.transform(one_hot.transform(ready))
-        return encoded.drop("_tokens", "_cat", *[f"_{n}" for n in scaling],
-                            *[f"{c}_token" for c in self.columns])
+        return encoded.drop(*[f"_{n}" for n in scaling], *[f"{c}_{x}" for c in self.columns for x in ("place", "block")])
+
+    def _longest(self) -> DataFrame:
+        """One row with the place behind each block's last, from which the encoder takes the sizes."""
+        row = tuple(float(self.sizes[c]) for c in self.columns)
+        return self.levels.sparkSession.createDataFrame([row], ", ".join(f"{c}_place double" for c in self.columns))
 
 
 def fit_scaling(train: DataFrame, numeric: Sequence[str]) -> dict[str, tuple[float, float]]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import StudyConfig
 from ..functions import passes, row_count, safe_ratio
-from .ranking import score_ladder
+from .ranking import known_score, score_ladder
 
 
 # Report column order of a model comparison.
@@ -36,6 +36,7 @@ def metrics_at_thresholds(
     per group and the thresholds never multiply the rows.
     """
     cuts = sorted(thresholds)
+    scored = scored.withColumn(score, known_score(F.col(score)))
     passed = reduce(lambda a, b: a + b, [passes(scored, score, t).cast("int") for t in cuts])
     levels = scored.groupBy(*by, passed.alias("passed")).agg(
         row_count().alias("n"), F.sum(target).cast("bigint").alias("pos")
@@ -237,9 +238,10 @@ def _end_point(ladder: DataFrame, first: float, second: float) -> DataFrame:
     )
 
 
-def with_no_skill(curve: DataFrame, scored: DataFrame) -> DataFrame:
-    """A precision-recall curve with the prevalence line beside it."""
-    return curve.withColumn("no_skill", scored.agg(F.avg("target")).scalar())
+def with_no_skill(curve: DataFrame, ladder: DataFrame) -> DataFrame:
+    """The precision-recall curve of a ladder with the prevalence line beside it."""
+    prevalence = safe_ratio(F.max("pos_total"), F.max("n_total"))
+    return curve.withColumn("no_skill", ladder.agg(prevalence).scalar())
 
 
 def roc_curve(ladder: DataFrame) -> DataFrame:

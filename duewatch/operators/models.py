@@ -7,10 +7,11 @@ inside one generated stage without building vectors.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.ml.classification import (
     GBTClassificationModel,
@@ -43,12 +44,12 @@ def model_exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
-ROWS_PER_TASK = 50_000
+def fit_on(estimator, vectors: DataFrame, rows: int, cfg: StudyConfig):
+    """Fit on cached vectors. The cache lives on the executors; lost blocks are computed again.
 
-
-def fit_on(estimator, vectors: DataFrame, rows: int):
-    """Fit on cached vectors, with enough rows per task to outweigh launching it every iteration."""
-    cached = vectors.repartition(max(1, math.ceil(rows / ROWS_PER_TASK))).persist()
+    A task gets ``fit_rows_per_task`` rows, enough to outweigh launching it every iteration.
+    """
+    cached = vectors.repartition(max(1, math.ceil(rows / cfg.fit_rows_per_task))).persist()
     try:
         return estimator.fit(cached)
     finally:
@@ -65,7 +66,7 @@ def fit_logistic(vectors: DataFrame, rows: int, cfg: StudyConfig) -> LogisticReg
         standardization=False,
         maxIter=cfg.logistic_iterations,
     )
-    return fit_on(estimator, vectors, rows)
+    return fit_on(estimator, vectors, rows, cfg)
 
 
 def sigmoid(margin: Column) -> Column:
@@ -85,12 +86,17 @@ class LinearModel:
     intercept: float
     coefficients: DataFrame
 
+    def total(self, weight: Callable[[str], Column], renamed: dict[str, str] | None = None) -> Column:
+        """The margin of a row, given the weight of its level per category."""
+        terms = [F.coalesce(weight(c), F.lit(0.0)) for c in self.columns]
+        for name, (mean, std, w) in self.numbers.items():
+            terms.append(F.lit(w) * scaled((renamed or {}).get(name, name), mean, std))
+        return reduce(lambda a, b: a + b, terms, F.lit(self.intercept))
+
     def margin(self, df: DataFrame) -> DataFrame:
         filled = fill_missing_levels(df, self.columns)
         joined = join_levels(filled, self.weights, self.columns, "weight", "_weight")
-        terms = [F.coalesce(F.col(f"{c}_weight"), F.lit(0.0)) for c in self.columns]
-        terms += [F.lit(w) * scaled(n, mean, std) for n, (mean, std, w) in self.numbers.items()]
-        total = reduce(lambda a, b: a + b, terms, F.lit(self.intercept))
+        total = self.total(lambda c: F.col(f"{c}_weight"))
         return joined.withColumn("margin", total).drop(*[f"{c}_weight" for c in self.columns])
 
     def score(self, df: DataFrame, *keep: str) -> DataFrame:
@@ -136,23 +142,20 @@ def train_logreg(
     vectors = encoder.transform(train, scaling).select("target", "features")
     fitted = fit_logistic(vectors, train.count(), cfg)
 
-    values = [float(v) for v in fitted.coefficients.toArray()]
-    split = len(encoder.tokens)
-    by_token = spark.createDataFrame(
-        list(zip(encoder.tokens, values[:split])), "token string, weight double"
+    values = fitted.coefficients.toArray()
+    by_position = spark.createDataFrame(
+        pd.DataFrame({"position": range(len(values)), "coefficient": values}), "position bigint, coefficient double"
     )
     weights = stage(
-        encoder.levels.join(by_token, "token").select("feature", "level", "weight"),
+        encoder.levels.join(by_position, "position").select("feature", "level", F.col("coefficient").alias("weight")),
         "weights",
         partition_by=("feature",),
     )
-    named = spark.createDataFrame(
-        list(zip(encoder.names(numeric), values)), "feature string, coefficient double"
-    )
+    named = encoder.names(numeric).join(by_position, "position").select("feature", "coefficient")
     return LinearModel(
         encoder.columns,
         weights,
-        {n: (*scaling[n], w) for n, w in zip(numeric, values[split:])},
+        {n: (*scaling[n], float(w)) for n, w in zip(numeric, values[encoder.width :])},
         float(fitted.intercept),
         named,
     )
@@ -199,7 +202,9 @@ def target_encoding(train: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _fold() -> Column:
-    return F.pmod(F.xxhash64("complaint_id"), F.lit(FOLDS)).cast("int")
+    """By the first hex digits of the id's digest."""
+    digits = F.substring(F.md5(F.coalesce(F.col("complaint_id").cast("string"), F.lit(""))), 1, 8)
+    return F.pmod(F.conv(digits, 16, 10).cast("bigint"), F.lit(FOLDS)).cast("int")
 
 
 @dataclass(frozen=True)
@@ -230,10 +235,10 @@ class TreeModel:
 
     def save(self, path: str) -> None:
         self.rates.write.mode("overwrite").partitionBy("feature").parquet(f"{path}/rates")
+        self.trees.write().overwrite().save(f"{path}/trees")
         self.rates.sparkSession.createDataFrame([(self.prior,)], "prior double").write.mode(
             "overwrite"
         ).parquet(f"{path}/numbers")
-        self.trees.write().overwrite().save(f"{path}/trees")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, cfg: StudyConfig) -> TreeModel:
@@ -271,7 +276,7 @@ def train_gbt(train: DataFrame, cfg: StudyConfig) -> TreeModel:
         stepSize=cfg.tree_step,
         seed=cfg.seed,
     )
-    return TreeModel(columns, numeric, rates, prior, fit_on(estimator, vectors, rows))
+    return TreeModel(columns, numeric, rates, prior, fit_on(estimator, vectors, rows, cfg))
 
 
 # --------------------------------------------------------------------------- year ablation
@@ -282,21 +287,33 @@ VARIANTS = ("baseline", "dropped", "capped")
 def year_ablation(
     train: DataFrame, evaluated: DataFrame, cfg: StudyConfig, variants: Sequence[str] = VARIANTS
 ) -> DataFrame:
-    """Refit with the year kept, dropped and capped on one encoder; metrics per variant and period."""
+    """Refit with the year kept, dropped and capped on one encoder; metrics per variant and period.
+
+    The evaluated rows are scored by all variants in one pass: one weight table with a column per
+    variant, one join per category.
+    """
     encoder = Encoder.fit(train, cfg)
-    parts = []
+    weights, fitted = encoder.levels.select("feature", "level"), {}
     for variant in variants:
         numeric = [n for n in cfg.numeric if not (variant == "dropped" and n == "year")]
-        model = train_logreg(year_variant(train, variant, cfg), cfg, encoder, numeric)
-        period_rows = year_variant(evaluated.withColumn("period", F.col("year")), variant, cfg)
-        scores = model.score(period_rows, "period", "target")
-        parts.append(
-            evaluate(scores, cfg.decision_threshold, ["period"]).select(
-                F.lit(variant).alias("variant"),
-                "period", "recall", "precision", "flagged", "pr_auc", "roc_auc", "mean_score",
-            )
+        fitted[variant] = train_logreg(year_variant(train, variant, cfg), cfg, encoder, numeric)
+        own = fitted[variant].weights.select("feature", "level", F.col("weight").alias(variant))
+        weights = weights.join(own, ["feature", "level"])
+    weights = weights.select("feature", "level", F.struct(*variants).alias("weights"))
+    weights = stage(weights, "variant-weights", partition_by=("feature",))
+
+    rows = evaluated.select("*", F.col("year").alias("period"), F.least("year", F.lit(cfg.last_train_year)).alias("_capped"))
+    joined = join_levels(fill_missing_levels(rows, encoder.columns), weights, encoder.columns, "weights", "_weights")
+    scores = []
+    for variant, model in fitted.items():
+        total = model.total(
+            lambda c, v=variant: F.col(f"{c}_weights")[v], {"year": "_capped"} if variant == "capped" else None
         )
-    return reduce(DataFrame.unionByName, parts)
+        scores.append(F.struct(F.lit(variant).alias("variant"), sigmoid(total).cast("float").alias("score")))
+    scored = joined.select("period", "target", F.inline(F.array(*scores)))
+    return evaluate(scored, cfg.decision_threshold, ["variant", "period"]).select(
+        "variant", "period", "recall", "precision", "flagged", "pr_auc", "roc_auc", "mean_score"
+    )
 
 
 def ablation_shift(ablation: DataFrame, cfg: StudyConfig) -> DataFrame:

@@ -13,7 +13,8 @@ There are several binning rules and they differ on purpose; see each function.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import FloatType
@@ -61,14 +62,22 @@ def global_rank(df: DataFrame, *order: Column) -> DataFrame:
 COARSE, FINE = 128, 1 << 20
 
 
+def known_score(score: Column) -> Column:
+    """The score itself; a missing one (null or NaN) has no place in an order and fails the query."""
+    missing = score.isNull() | F.isnan(score.cast("double"))
+    return F.when(missing, F.raise_error(F.lit("a score is missing"))).otherwise(score)
+
+
 def _band(score: Column, per_octave: int = COARSE) -> Column:
     """An order-preserving bucket of a score: finer near zero, computed without looking at the data.
 
-    Between 0 and 1 there are under 20,000 coarse bands for floats.
+    Between 0 and 1 there are under 20,000 coarse bands for floats. Never null, so joins on it add
+    no filter that would tell one use of a table from another.
     """
     offset = 1100 * per_octave  # below the smallest positive double
     size = F.floor(F.log2(F.abs(score.cast("double"))) * per_octave) + offset
-    return F.when(score == 0, F.lit(0)).when(score > 0, size).otherwise(-size).cast("bigint")
+    band = F.when(score == 0, F.lit(0)).when(score > 0, size).otherwise(-size).cast("bigint")
+    return F.coalesce(band, F.lit(0).cast("bigint"))
 
 
 def score_ladder(
@@ -85,7 +94,7 @@ def score_ladder(
     resolutions = (COARSE,) if is_float else (COARSE, FINE)
     bands = [f"_band{i}" for i in range(len(resolutions))]
     steps = (
-        scored.groupBy(*by, F.col(score).alias("score"))
+        scored.groupBy(*by, known_score(F.col(score)).alias("score"))
         .agg(row_count().alias("n"), F.sum(target).cast("bigint").alias("pos"))
         .withColumns({b: _band(F.col("score"), r) for b, r in zip(bands, resolutions)})
     )
@@ -186,11 +195,10 @@ def _lift_decile(position: Column, rows: Column) -> Column:
 
 def decile_lift(scored: DataFrame, score: str = "score", target: str = "target") -> DataFrame:
     """Records, late cases, rate, lift and cumulative share per decile; 1 is the highest scores."""
-    rows = scored.select("complaint_id", F.col(score).alias("score"), F.col(target).alias("target"))
-    ranked = global_rank(rows, F.desc("score"), F.asc("complaint_id"))
+    runs = ranked_runs(scored, [_lift_decile], falling=True, score=score, target=target)
     deciles = (
-        ranked.groupBy(_lift_decile(F.col("rank"), F.col("rank_rows")).alias("decile"))
-        .agg(row_count().alias("records"), F.sum("target").cast("bigint").alias("untimely"))
+        runs.groupBy(_lift_decile(F.col("rank"), F.col("rank_rows")).alias("decile"))
+        .agg(F.sum("n").alias("records"), F.sum("pos").alias("untimely"))
     )
     # Ten rows from here on.
     whole = Window.partitionBy(F.lit(0))
@@ -249,10 +257,52 @@ def decile_summary(df: DataFrame) -> DataFrame:
     return df.where(F.col("decile").isNotNull()).groupBy("decile").agg(*measures).orderBy("decile")
 
 
-def risk_group_of(groups: int) -> Column:
+def ranked_runs(
+    scored: DataFrame,
+    rules: Sequence[Callable[[Column, Column], Column]],
+    falling: bool = False,
+    score: str = "score",
+    target: str = "target",
+) -> DataFrame:
+    """Runs of neighbouring rows ``(score, n, pos, rank, rank_rows)`` that no rule tells apart.
+
+    A rule maps (position, rows) to a group and never falls along the order. Rows of one score are
+    one run, read off the ladder, so nothing is sorted in full. Only the scores that hold a border
+    between groups, at most one per group and rule, are ranked row by row, ties broken by id.
+    """
+    rows = scored.select("complaint_id", F.col(score).alias("score"), F.col(target).alias("target"))
+    ladder = score_ladder(rows)
+    before = F.col("n_above") if falling else F.col("n_total") - F.col("n_above") - F.col("n")
+    first, last, total = F.col("rank"), F.col("rank") + F.col("n") - 1, F.col("rank_rows")
+    split = reduce(lambda a, b: a | b, [rule(first, total) != rule(last, total) for rule in rules])
+    runs = ladder.select("score", "n", "pos", (before + 1).alias("rank"), F.col("n_total").alias("rank_rows"))
+    runs = stage(runs.withColumn("_split", split), "runs")
+    whole = runs.where(~F.col("_split")).drop("_split")
+    borders = runs.where("_split").orderBy("rank").collect()
+    if not borders:
+        return whole
+    order = F.desc("score") if falling else F.asc("score")
+    own = rows.where(F.col("score").isin([b["score"] for b in borders]))
+    shift, passed = F.lit(None).cast("bigint"), 0
+    for b in borders:
+        shift = F.when(F.col("score") == F.lit(b["score"]), F.lit(b["rank"] - 1 - passed)).otherwise(shift)
+        passed += b["n"]
+    single = global_rank(own, order, F.asc("complaint_id")).select(
+        "score",
+        F.lit(1).cast("bigint").alias("n"),
+        F.col("target").cast("bigint").alias("pos"),
+        (F.col("rank") + shift).alias("rank"),
+        F.lit(borders[0]["rank_rows"]).cast("bigint").alias("rank_rows"),
+    )
+    return whole.unionByName(single)
+
+
+def risk_group_of(groups: int, rank: Column | None = None, rows: Column | None = None) -> Column:
     """Equal-sized group (0-based, ascending) of a ranked row: quantile bins of the rank itself."""
-    scaled = (F.col("rank") - 1) * groups
-    span = F.greatest(F.col("rank_rows") - 1, F.lit(1))
+    rank = F.col("rank") if rank is None else rank
+    rows = F.col("rank_rows") if rows is None else rows
+    scaled = (rank - 1) * groups
+    span = F.greatest(rows - 1, F.lit(1))
     ceiling = F.floor((scaled + span - 1) / span)
     return F.greatest(ceiling - 1, F.lit(0)).cast("int")
 
@@ -295,7 +345,7 @@ def triage_queue(
     """
     narrow = scored.select(
         "complaint_id",
-        F.col(score).alias("score"),
+        known_score(F.col(score)).alias("score"),
         passes(scored, score, threshold).cast("int").alias(f"flagged_at_{round(threshold * 100):03d}"),
         F.col(target).alias("actually_untimely"),
     ).withColumn("_band", _band(F.col("score")))
@@ -318,11 +368,10 @@ def triage_queue(
 
 
 def queue_details(queue: DataFrame, cases: DataFrame) -> DataFrame:
-    """A queue with the case columns that ``cases`` has. The queue is a bounded report, so it is
-    the broadcast side and the cases are only scanned."""
+    """A queue with the case columns that ``cases`` has."""
     shown = [c for c in QUEUE_COLUMNS if c in cases.columns]
     rest = [c for c in queue.columns if c not in shown]
-    return cases.select(*shown).join(F.broadcast(queue), "complaint_id").select(*shown, *rest)
+    return cases.select(*shown).join(queue, "complaint_id").select(*shown, *rest)
 
 
 def queue_summary(queue: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ PREFIX = 4  # hex digits: at most 65,536 prefixes whatever the number of rows
 
 
 def draw_key(cfg: StudyConfig, key: str = "complaint_id") -> Column:
-    """A fixed pseudo-random hex key per complaint; the smallest keys are drawn."""
-    return F.md5(F.concat(F.lit(f"{cfg.seed}-"), F.col(key).cast("string")))
+    """A fixed pseudo-random hex key per complaint; the smallest keys are drawn. Rows without an id share one."""
+    return F.md5(F.concat(F.lit(f"{cfg.seed}-"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
 
 
 def undersample_negatives(pool: DataFrame, cfg: StudyConfig) -> DataFrame:
@@ -24,7 +24,7 @@ def undersample_negatives(pool: DataFrame, cfg: StudyConfig) -> DataFrame:
     the one prefix that holds the cut, so the sample itself is a plain filter: no sort, no join.
     """
     keyed = pool.withColumn("_draw", draw_key(cfg))
-    negative = F.col("target") == 0
+    negative = F.coalesce(F.col("target"), F.lit(0)) == 0
     sizes = (
         keyed.groupBy(F.when(negative, F.substring("_draw", 1, PREFIX)).alias("prefix"))
         .agg(F.count(F.lit(1)).alias("n"))

@@ -97,8 +97,9 @@ def tfidf_weights(docs: DataFrame, cfg: StudyConfig) -> DataFrame:
     """TF-IDF in long form: one row per document and vocabulary term."""
     index = TermIndex.fit(docs, cfg)
     terms = index.spark.createDataFrame([(list(index.terms),)], "v array<string>").scalar()
-    entries = index.weigh(docs).select("complaint_id", "norm", F.inline("entries"))
-    return entries.withColumn("_terms", terms).select(
+    # The outer form adds no filter on the array, which would tokenise every text once more.
+    entries = index.weigh(docs).select("complaint_id", "norm", F.inline_outer("entries"))
+    return entries.where(F.col("index").isNotNull()).withColumn("_terms", terms).select(
         "complaint_id",
         F.get("_terms", F.col("index")).alias("term"),
         (F.col("weight") / F.col("norm")).alias("weight"),

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_private: dict[str, str] = {}
+
 
 def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
     """A single-machine session for tests and benchmarks. Clusters bring their own session."""
@@ -28,16 +30,17 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting gets a private temporary folder.
+    Only a local-mode session without that setting, as in tests, gets a private temporary folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="duewatch-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _private:
+        _private[application] = tempfile.mkdtemp(prefix="duewatch-")
+    return _private[application]
 
 
 def staged_path(spark: SparkSession, label: str) -> str:

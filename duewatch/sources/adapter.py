@@ -18,8 +18,6 @@ ORDER_STUDY = StudyConfig(
     test_year=2000,
     leakage_fields=("o_orderstatus", "o_orderpriority"),
     company_min_rows=10,
-    logistic_iterations=100,
-    tree_count=10,
 )
 
 LATE = "o_orderstatus = 'F' and o_orderpriority = '1-URGENT'"
@@ -118,10 +116,6 @@ def narratives(
 ) -> DataFrame:
     """Texts keyed by complaint, with the complaint's year."""
     texts = table(spark, sf_dir, "documents").where("n_chars > 0").select("doc_id", "text")
-    cores = spark.sparkContext.defaultParallelism
-    if texts.rdd.getNumPartitions() < cores:
-        # A small file is one unsplittable block: spread it, or one core does all text work.
-        texts = texts.repartition(cores, "doc_id")
     keys = orders(spark, sf_dir, first, last).selectExpr(
         "o_orderkey as complaint_id", "year(o_orderdate) as year"
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import RAW_TO_SHORT, StudyConfig
 from ..functions import as_missing
@@ -44,6 +44,12 @@ def source_row_count(df: DataFrame, chunk_rows: int = StudyConfig.read_chunk_row
     )
 
 
+def _number(name: str) -> Column:
+    """A numeric CSV cell; missing markers, NaN among them, are null."""
+    value = as_missing(F.col(name)).try_cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def read_scored_file(spark: SparkSession, path: str, alternate: str | None = None) -> DataFrame:
     """A scored CSV with a ``pred_proba`` column, from ``path`` or else from ``alternate``."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
@@ -56,10 +62,9 @@ def read_scored_file(spark: SparkSession, path: str, alternate: str | None = Non
             continue
         if "pred_proba" not in scored.columns:
             raise ValueError(f"missing required column pred_proba; found {scored.columns[:20]}")
-        typed = scored.withColumn("pred_proba", F.col("pred_proba").cast("double"))
+        typed = scored.withColumn("pred_proba", _number("pred_proba"))
         if "actually_untimely" in scored.columns:
-            label = F.col("actually_untimely").cast("double").cast("int")
-            typed = typed.withColumn("actually_untimely", label)
+            typed = typed.withColumn("actually_untimely", _number("actually_untimely").cast("int"))
         return typed
     raise FileNotFoundError(f"no scored file at {path} or {alternate}")
 

@@ -214,8 +214,14 @@ def test_chi_square_tail(spark):
     ).first()
     assert row.p8 == pytest.approx(0.050122, abs=1e-6)
     assert row.p2 == pytest.approx(0.05, abs=1e-12)
+    odd = spark.range(1).select(
+        calibration.chi_square_tail(F.lit(3.841458820694124), 1).alias("p1"),
+        calibration.chi_square_tail(F.lit(14.067140449340169), 7).alias("p7"),
+    ).first()
+    assert odd.p1 == pytest.approx(0.05, abs=1e-12)
+    assert odd.p7 == pytest.approx(0.05, abs=1e-12)
     with pytest.raises(ValueError):
-        calibration.chi_square_tail(F.lit(1.0), 3)
+        calibration.chi_square_tail(F.lit(1.0), 0)
 
 
 def test_sweep_follows_the_config(spark):
