@@ -8,7 +8,7 @@ no common state; a sequence's id is its partition's number and its place in the
 Windows still open when a stream ends are closed by cutting: the emptiest ones fill the fullest, and what remains is
 cut into powers of two, which need no padding. The ids of a text are those of its words, parted at white space, one
 after another: neither the vocabulary's rules nor its normal form reach across white space. So each task keeps the ids
-of words it has met and encodes a word once.
+of words it has met and encodes a word once. The vocabulary is a lower-case one.
 
 Null and empty texts are one end id. Repeated rows are packed each; the id column may hold nulls; extra columns are
 ignored.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -28,46 +29,73 @@ from pyspark.sql import functions as F
 WINDOW = 2048
 END_ID = 1
 #: Words whose ids a task keeps; only bounds its memory.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 1_000_000
 #: A special string of the vocabulary that parts words while many are encoded at once.
-MARK, MARK_ID = "<|startoftext|>", 49406
+PARTING, PARTING_ID = "<|startoftext|>", 49406
+#: Marks that end a word of letters; apostrophes are not among them, as some belong to the word.
+MARKS = b".,;:!?*#$%&|"
+#: Byte-level vocabularies write printable bytes as themselves and the others, in order, from code point 256 on.
+PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_LETTERS = {x: 256 + k for k, x in enumerate(x for x in range(256) if x not in PRINTABLE)}
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder(dict):
-    """Words (UTF-8) to their ids as little-endian 32-bit integers."""
+    """Words (UTF-8, ASCII letters in lower case) to their ids as little-endian 32-bit integers.
+
+    A word of letters is one piece to the tokenizer, so its model is asked directly; marks behind it are a piece of
+    their own. All other words go through the whole tokenizer, many in one call.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
 
-    def one(self, word: bytes) -> bytes:
+    def whole(self, word: bytes) -> bytes:
         ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
+    def letters(self, stem: bytes) -> bytes | None:
+        """Ids of a word of lower-case letters in normal form, else None."""
+        found = self.get(stem)
+        if found is None:
+            text = stem.decode("utf-8", "replace")
+            if not (text.isalpha() and (text.isascii() or text.lower() == text and is_normalized("NFC", text))):
+                return None
+            pieces = self.model.tokenize(stem.decode("latin-1").translate(BYTE_LETTERS))
+            found = self[stem] = b"".join([piece.id.to_bytes(4, "little") for piece in pieces])
+        return found
+
     def learn(self, words: list[bytes]) -> None:
-        """Encodes new words, many in one call."""
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        plain = [word for word in words if b"<|" not in word]
+        plain, odd = [], []
+        for word in words:
+            stem = word.rstrip(MARKS)
+            ids = self.letters(stem)
+            if ids is None:
+                (odd if b"<|" in word else plain).append(word)
+            elif stem != word:
+                tail = word[len(stem) :]
+                if tail not in self:
+                    self[tail] = self.whole(tail)
+                self[word] = ids + self[tail]
+        for word in odd:
+            self[word] = self.whole(word)
         for low in range(0, len(plain), 2000):
             part = plain[low : low + 2000]
-            text = MARK.join(word.decode("utf-8", "replace") for word in part)
+            text = PARTING.join(word.decode("utf-8", "replace") for word in part)
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == MARK_ID)
+            cuts = np.flatnonzero(ids == PARTING_ID)
             data, begin = ids.tobytes(), 0
             for word, end in zip(part, [*(4 * cuts).tolist(), len(data)], strict=True):
                 self[word] = data[begin:end]
                 begin = end + 4
-        for word in words:
-            if b"<|" in word:
-                self[word] = self.one(word)
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text."""
-        split = [text.encode("utf-8", "replace").split() if text else [] for text in texts]
+        split = [text.encode("utf-8", "replace").lower().split() if text else [] for text in texts]
         fresh = set().union(*split).difference(self)
         if len(self) + len(fresh) > KEPT_WORDS:
             fresh = set().union(*split)

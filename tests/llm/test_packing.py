@@ -13,7 +13,7 @@ from duewatch.llm.packing import Encoder, Levels, Stream, packed
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
     "a <|startoftext|> b<|endoftext|>c", "<|", "x y　z  w", "é ́a don't I'LL 12 3a\u0000b", "İstanbul ΣΑΣ Σ", "日本語です。 한",
-    "a\x1cb\x85c ​", "", " \n", None, "'s 's'", "ﬁ ½ ² x²", "word " * 9000, "z" * 30_000,
+    "a\x1cb\x85c ​", "", " \n", None, "'s 's'", "ﬁ ½ ² x²", "ÉTÉ été. Été, été!? ǅ ŒUVRE", "don't. it's, a-. (b) x.y... z.;, &amp;", "word " * 9000, "z" * 30_000,
 ]
 
 
