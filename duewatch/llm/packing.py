@@ -41,7 +41,7 @@ PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 _encoders: dict[str, Encoder] = {}
 
 
-class Encoder(dict):
+class Encoder:
     """Words (UTF-8, ASCII letters in lower case) to their ids as little-endian 32-bit integers.
 
     A word of letters is one piece to the tokenizer, so its model is asked directly; marks behind it are a piece of
@@ -53,6 +53,7 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.known: dict[bytes, bytes] = {}
 
     def whole(self, word: bytes) -> bytes:
         ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
@@ -60,13 +61,13 @@ class Encoder(dict):
 
     def letters(self, stem: bytes) -> bytes | None:
         """Ids of a word of lower-case letters in normal form, else None."""
-        found = self.get(stem)
+        found = self.known.get(stem)
         if found is None:
             text = stem.decode("utf-8", "replace")
             if not (text.isalpha() and (text.isascii() or text.lower() == text and is_normalized("NFC", text))):
                 return None
             pieces = self.model.tokenize(stem.decode("latin-1").translate(BYTE_LETTERS))
-            found = self[stem] = b"".join([piece.id.to_bytes(4, "little") for piece in pieces])
+            found = self.known[stem] = b"".join([piece.id.to_bytes(4, "little") for piece in pieces])
         return found
 
     def learn(self, words: list[bytes]) -> None:
@@ -78,11 +79,11 @@ class Encoder(dict):
                 (odd if b"<|" in word else plain).append(word)
             elif stem != word:
                 tail = word[len(stem) :]
-                if tail not in self:
-                    self[tail] = self.whole(tail)
-                self[word] = ids + self[tail]
+                if tail not in self.known:
+                    self.known[tail] = self.whole(tail)
+                self.known[word] = ids + self.known[tail]
         for word in odd:
-            self[word] = self.whole(word)
+            self.known[word] = self.whole(word)
         for low in range(0, len(plain), 2000):
             part = plain[low : low + 2000]
             text = PARTING.join(word.decode("utf-8", "replace") for word in part)
@@ -90,18 +91,18 @@ class Encoder(dict):
             cuts = np.flatnonzero(ids == PARTING_ID)
             data, begin = ids.tobytes(), 0
             for word, end in zip(part, [*(4 * cuts).tolist(), len(data)], strict=True):
-                self[word] = data[begin:end]
+                self.known[word] = data[begin:end]
                 begin = end + 4
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text."""
         split = [text.encode("utf-8", "replace").lower().split() if text else [] for text in texts]
-        fresh = set().union(*split).difference(self)
-        if len(self) + len(fresh) > KEPT_WORDS:
+        fresh = set().union(*split).difference(self.known)
+        if len(self.known) + len(fresh) > KEPT_WORDS:
             fresh = set().union(*split)
-            self.clear()
+            self.known.clear()
         self.learn(list(fresh))
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
 def encoder(path: str) -> Encoder:
