@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from duewatch.config import CATEGORICAL, RAW_TO_SHORT, StudyConfig
+from duewatch.config import CATEGORICAL, RAW_TO_SHORT, Claims, StudyConfig
 from duewatch.functions import as_missing, clip_probability, fill_missing_levels, passes
 from duewatch.operators import (
     audit,
@@ -74,7 +74,10 @@ def train_pool(spark, sf) -> DataFrame:
 
 
 def train_sample(spark, sf) -> DataFrame:
-    return sampling.undersample_negatives(train_pool(spark, sf), STUDY)
+    """Drawn on ids and labels alone; the five-table join then runs once, for the drawn rows."""
+    labels = adapter.scored(spark, sf, min(STUDY.train_years), max(STUDY.train_years)).select("complaint_id", "target")
+    drawn = sampling.undersample_negatives(labels, STUDY).select("complaint_id")
+    return train_pool(spark, sf).join(drawn, "complaint_id", "left_semi")
 
 
 def validation_scores(spark, sf) -> DataFrame:
@@ -194,6 +197,21 @@ def scored_file_decile(spark, sf):
     return ranking.decile_summary(ranking.add_decile(_scored_file(spark, sf)))
 
 
+@query("scored_file_missing")
+def scored_file_missing(spark, sf):
+    """A scored CSV with missing scores in several spellings: the rest is binned by rank."""
+    path = staged_path(spark, "scored-csv")
+    key = F.col("complaint_id")
+    score = F.round(F.col("score").cast("double"), 3).cast("string")
+    rows = test_scores(spark, sf).select(
+        "complaint_id",
+        F.when(key % 10 == 0, "NA").when(key % 10 == 1, "nan").when(key % 10 == 2, "").otherwise(score).alias("pred_proba"),
+        F.when(key % 9 == 0, "NA").otherwise(F.col("target").cast("string")).alias("actually_untimely"),
+    )
+    write_table(rows, path)
+    return ranking.decile_summary(ranking.add_decile(read_scored_file(spark, path)))
+
+
 @query("fact_threshold")
 def fact_threshold(spark, sf):
     """The sweep as stored by the threshold step and re-exported unchanged."""
@@ -535,6 +553,13 @@ def triage_queue(spark, sf):
     return ranking.queue_details(queue, adapter.population(spark, sf, STUDY.test_year))
 
 
+@query("triage_queue_head")
+def triage_queue_head(spark, sf):
+    """A queue shorter than the population, so that it cuts."""
+    queue = ranking.triage_queue(test_scores(spark, sf), 150, STUDY.decision_threshold)
+    return ranking.queue_details(queue, adapter.population(spark, sf, STUDY.test_year))
+
+
 @query("queue_summary")
 def queue_summary(spark, sf):
     queue = ranking.triage_queue(test_scores(spark, sf), 200, STUDY.decision_threshold)
@@ -757,6 +782,82 @@ def score_population(spark, sf):
     return model.score(adapter.population(spark, sf, STUDY.test_year), "complaint_id", "year")
 
 
+def _given_model(spark, sf) -> models.LinearModel:
+    """A model whose weights follow from the sample's counts by a formula."""
+    cells = encoding.stack_categories(
+        fill_missing_levels(stored_sample(spark, sf), STUDY.categorical), STUDY.categorical, "target"
+    )
+    weights = cells.groupBy("feature", "level").agg((F.round(F.avg("target"), 6) - 0.125).alias("weight"))
+    weights = stage(weights, "given-weights", partition_by=("feature",))
+    numbers = {"year": (1997.0, 2.0, 0.25), "month": (6.5, 4.0, -0.125), "quarter": (2.5, 1.0, 0.0625)}
+    return models.LinearModel(tuple(STUDY.categorical), weights, numbers, -1.5, weights)
+
+
+@query("given_weight_scores", digits=5)
+def given_weight_scores(spark, sf):
+    """Scoring with a given weight table, unseen levels included; the same path as a fitted model."""
+    scored = _given_model(spark, sf).score(adapter.population(spark, sf, STUDY.test_year), "complaint_id", "year")
+    return scored
+
+
+@query("given_model_store", digits=5)
+def given_model_store(spark, sf):
+    """The given model written, read back and scored."""
+    path = staged_path(spark, "given-model")
+    _given_model(spark, sf).save(path)
+    loaded = models.LinearModel.load(spark, path, STUDY)
+    return loaded.score(adapter.population(spark, sf, STUDY.validation_year), "complaint_id")
+
+
+@query("target_encoding", digits=9)
+def target_encoding(spark, sf):
+    """Cross-fitted late rates per level, the categorical inputs of the trees."""
+    return models.target_encoding(stored_sample(spark, sf), STUDY.categorical)
+
+
+@query("gbt_invariants")
+def gbt_invariants(spark, sf):
+    """One probability per case, and importances that add up to a hundred."""
+    model = models.train_gbt(stored_sample(spark, sf), STUDY)
+    cases = adapter.population(spark, sf, STUDY.validation_year)
+    scores = model.score(cases, "complaint_id").agg(
+        F.count(F.lit(1)).alias("scored"),
+        F.count_distinct("complaint_id").alias("cases"),
+        F.count_if(F.col("score").between(0, 1)).alias("probabilities"),
+    )
+    return scores.withColumn("importance", F.round(model.importance().agg(F.sum("importance")).scalar(), 6))
+
+
+@query("ablation_invariants")
+def ablation_invariants(spark, sf):
+    """Cases per variant and year, and whether capping left the ranking within each year as it was."""
+    evaluated = adapter.population(spark, sf, STUDY.validation_year, STUDY.test_year)
+    table = models.year_ablation(stored_sample(spark, sf), evaluated, STUDY)
+    at = lambda variant, column: F.max(F.when(F.col("variant") == variant, F.col(column)))
+    return table.groupBy("period").agg(
+        F.count(F.lit(1)).alias("variants"),
+        *(
+            (F.abs(at("baseline", c) - at("capped", c)) < 0.002).alias(f"{c}_agrees")
+            for c in ("pr_auc", "roc_auc")
+        ),
+    )
+
+
+@query("logreg_gradient", digits=3)
+def logreg_gradient(spark, sf):
+    """At the fitted weights the objective is flat: its slope per encoded column, over the rows."""
+    train = stored_sample(spark, sf)
+    encoder = encoding.Encoder.fit(train, STUDY)
+    model = models.train_logreg(train, STUDY, encoder)
+    gap = models.sigmoid(F.col("margin")) - F.col("target")
+    rows = fill_missing_levels(model.margin(train), STUDY.categorical)
+    sums = encoding.stack_categories(rows.withColumn("gap", gap), STUDY.categorical, "gap")
+    names = encoder.levels.select("feature", "level", F.concat(F.lit("cat__"), "feature", F.lit("_"), "encoded").alias("name"))
+    loss = sums.join(names, ["feature", "level"]).groupBy(F.col("name").alias("feature")).agg(F.sum("gap").alias("loss"))
+    slope = loss.join(model.coefficients, "feature")
+    return slope.select("feature", F.abs(F.round((F.col("loss") + F.col("coefficient") / STUDY.logistic_c) / train.count(), 3)).alias("slope"))
+
+
 @query("model_store")
 def model_store(spark, sf):
     """Score with a stored model read back from its tables."""
@@ -832,31 +933,71 @@ def check_roc_shape(spark, sf):
 
 @query("check_score_bands")
 def check_score_bands(spark, sf):
-    return checks.check_score_bands(metrics.positive_score_bands(ranking.score_ladder(test_scores(spark, sf))), 91)
+    """The bands against the confusion counts at the same border."""
+    scored = test_scores(spark, sf)
+    caught = metrics.confusion_counts(scored, STUDY.decision_threshold).first()["tp"]
+    return checks.check_score_bands(metrics.positive_score_bands(ranking.score_ladder(scored)), caught)
 
 
 @query("check_feature_count")
 def check_feature_count(spark, sf):
-    levels = encoding.category_levels(stored_sample(spark, sf), STUDY.categorical)
-    return checks.check_feature_count(encoding.encoded_feature_count(levels, STUDY.numeric), 52)
+    """The counted levels against the width of a fitted encoder."""
+    train = stored_sample(spark, sf)
+    levels = encoding.category_levels(train, STUDY.categorical)
+    width = encoding.Encoder.fit(train, STUDY).width + len(STUDY.numeric)
+    return checks.check_feature_count(encoding.encoded_feature_count(levels, STUDY.numeric), width)
 
 
 @query("check_text_subset")
 def check_text_subset(spark, sf):
-    return checks.check_text_subset(audit.text_subset_stats(train_sample(spark, sf)), 245, 6.84, 15.51)
+    """The flag of the sample against the texts that join to it."""
+    sample = stored_sample(spark, sf)
+    texts = adapter.narratives(spark, sf, min(STUDY.train_years), max(STUDY.train_years))
+    with_text = linking.narrative_subset(sample.select("complaint_id", "target"), texts)
+    found = with_text.agg(F.count(F.lit(1)).alias("n"), F.avg("target").alias("rate")).first()
+    pct = round(100 * found["n"] / max(1, sample.count()), 2)
+    rate = round(100 * (found["rate"] or 0.0), 2)
+    return checks.check_text_subset(audit.text_subset_stats(sample), found["n"], pct, rate)
 
 
 @query("check_calibration")
 def check_calibration(spark, sf):
+    """Top groups, and the flagged rows against the confusion counts."""
     scores = test_scores(spark, sf)
+    counts = metrics.confusion_counts(scores, STUDY.decision_threshold).first()
     return checks.check_calibration(
-        calibration.top_bin_calibration(scores), metrics.score_summary(scores, STUDY.decision_threshold), 424
+        calibration.top_bin_calibration(scores),
+        metrics.score_summary(scores, STUDY.decision_threshold),
+        counts["tp"] + counts["fp"],
     )
 
 
+@query("check_uniform_bins")
+def check_uniform_bins(spark, sf):
+    return checks.check_uniform_bins(ranking.uniform_bins(test_scores(spark, sf)))
+
+
+@query("check_sizes")
+def check_sizes(spark, sf):
+    """Sizes of the joined tables against those of the order table alone."""
+    labels = lambda *years: adapter.scored(spark, sf, *years).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("target").alias("pos")
+    ).first()
+    all_years, train, test = labels(STUDY.start_year, STUDY.end_year), labels(min(STUDY.train_years), max(STUDY.train_years)), labels(STUDY.test_year)
+    rows = train["pos"] + min(train["n"] - train["pos"], STUDY.negatives_per_positive * train["pos"])
+    claims = Claims(
+        study_records=all_years["n"], training_rows=rows, training_positives=train["pos"],
+        training_pct=round(100 * train["pos"] / rows, 2), test_records=test["n"], test_positives=test["pos"],
+        no_skill=round(test["pos"] / test["n"], 4),
+    )
+    return checks.check_sizes(study(spark, sf), train_sample(spark, sf), adapter.population(spark, sf, STUDY.test_year), claims)
+
+
 @query("check_source_rows")
 def check_source_rows(spark, sf):
-    return checks.check_source_rows(source_row_count(adapter.table(spark, sf, "lineitem"), 5_000), 12)
+    """The chunk count against the number of rows."""
+    lines = adapter.table(spark, sf, "lineitem")
+    return checks.check_source_rows(source_row_count(lines, 5_000), -(-lines.count() // 5_000))
 
 
 @query("baseline_reproduction_gate")

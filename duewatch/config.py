@@ -107,6 +107,13 @@ class Claims:
     text_pct: float = 41.72
     text_rate_pct: float = 21.23
     source_chunks: int = 35
+    study_records: int = 11_209_689
+    training_rows: int = 128_118
+    training_positives: int = 21_353
+    training_pct: float = 16.67
+    test_records: int = 5_442_974
+    test_positives: int = 24_557
+    no_skill: float = 0.0045
     # (period, recall, average precision) of the reported model, reproduced within five percent.
     baseline: tuple[tuple[int, float, float], ...] = ((2024, 0.4362, 0.2403), (2025, 0.1320, 0.1156))
     baseline_tolerance: float = 0.05

@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..config import Claims
+
 
 def _check(name: str, expected: str, actual: Column, passed: Column) -> Column:
     return F.struct(
@@ -92,6 +94,42 @@ def check_calibration(top_bins: DataFrame, summary: DataFrame, flagged_expected:
     return tops.unionByName(flagged)
 
 
+def check_uniform_bins(bins: DataFrame) -> DataFrame:
+    """Each occupied bin of equal width predicts more than is observed."""
+    p, o = F.col("mean_score"), F.col("observed_rate")
+    return bins.select(
+        F.concat(F.lit("bin "), F.col("bin").cast("string"), F.lit(" of equal width overpredicts")).alias("check"),
+        F.lit("> 1").alias("expected"),
+        F.try_divide(p, o).alias("actual"),
+        F.coalesce(p > o, F.lit(False)).alias("passed"),
+    )
+
+
+def check_sizes(study: DataFrame, sample: DataFrame, test: DataFrame, claims: Claims) -> DataFrame:
+    """Rows and late cases of the population, the training sample and the test year."""
+    rows, late = F.count(F.lit(1)), F.coalesce(F.sum("target"), F.lit(0))
+    counted = (
+        study.agg(rows.alias("study"))
+        .withColumn("train", sample.agg(F.struct(rows.alias("n"), late.alias("pos"))).scalar())
+        .withColumn("test", test.agg(F.struct(rows.alias("n"), late.alias("pos"))).scalar())
+    )
+
+    def exact(name: str, expected: float, actual: Column, digits: int = 0) -> Column:
+        return _check(name, str(expected), actual, F.round(actual.cast("double"), digits) == expected)
+
+    share = lambda part: F.try_divide(F.col(f"{part}.pos"), F.col(f"{part}.n"))
+    return _rows(
+        counted,
+        exact("study records", claims.study_records, F.col("study")),
+        exact("training rows", claims.training_rows, F.col("train.n")),
+        exact("untimely training rows", claims.training_positives, F.col("train.pos")),
+        exact("untimely share of training, %", claims.training_pct, 100 * share("train"), 2),
+        exact("test records", claims.test_records, F.col("test.n")),
+        exact("untimely test records", claims.test_positives, F.col("test.pos")),
+        exact("no-skill precision", claims.no_skill, share("test"), 4),
+    )
+
+
 def check_source_rows(counted: DataFrame, chunks: int) -> DataFrame:
     c = F.col("chunks")
     return _rows(counted, _check("source chunks", str(chunks), c, c == chunks))

@@ -20,7 +20,7 @@ from ..operators import (
     sampling,
     text_model,
 )
-from ..session import stage
+from ..session import staging
 from ..sources import Workspace, read_complaints, read_scored_file, source_row_count, split_text, write_table
 
 LOGISTIC, TREES, TEXT = "logistic", "trees", "text"
@@ -30,7 +30,7 @@ MODEL_NAMES = {LOGISTIC: "logistic regression", TREES: "boosted trees"}
 def ingest(space: Workspace, csv_path, cfg: StudyConfig) -> None:
     """Raw CSV to the two year-partitioned stores: structure, and texts."""
     cases = pop.derive_population(read_complaints(space.spark, csv_path), cfg)
-    structured, texts = split_text(stage(cases, "cases"))  # parse the CSV once, not per store
+    structured, texts = split_text(cases)  # each store parses the CSV: cheaper than a copy with all texts
     space.write_population(pop.drop_leakage(structured, cfg))
     space.write_narratives(texts)
 
@@ -232,6 +232,8 @@ def verify_claims(space: Workspace, csv_path, cfg: StudyConfig, claims: Claims =
             claims.flagged_rows,
         ),
         checks.check_source_rows(source, claims.source_chunks),
+        checks.check_uniform_bins(ranking.uniform_bins(test)),
+        checks.check_sizes(space.population(), sample, space.population(cfg.test_year), claims),
     )
     space.write_result(tables, "verification")
     space.write_result(ranking.uniform_bins(test), "uniform_bins")
@@ -248,17 +250,21 @@ def add_decile_file(spark: SparkSession, path: str, alternate: str | None, targe
 def run_study(
     spark: SparkSession, csv_path, root: str, cfg: StudyConfig, claims: Claims | None = None
 ) -> Workspace:
-    """All steps in order. ``claims`` adds the reproduction gate before the ablation."""
+    """All steps in order. ``claims`` adds the reproduction gate before the ablation.
+
+    Intermediate tables live in a folder of this run, which is deleted at the end.
+    """
     space = Workspace(spark, root)
-    ingest(space, csv_path, cfg)
-    audit_population(space)
-    prepare_sample(space, cfg)
-    train_models(space, cfg)
-    choose_threshold(space, cfg)
-    evaluate_test(space, cfg)
-    figure_tables(space, cfg)
-    export_dashboard(space, cfg)
-    diagnose(space, cfg)
-    ablate(space, cfg, claims)
-    verify_claims(space, csv_path, cfg, claims or Claims())
+    with staging(spark, "study"):
+        ingest(space, csv_path, cfg)
+        audit_population(space)
+        prepare_sample(space, cfg)
+        train_models(space, cfg)
+        choose_threshold(space, cfg)
+        evaluate_test(space, cfg)
+        figure_tables(space, cfg)
+        export_dashboard(space, cfg)
+        diagnose(space, cfg)
+        ablate(space, cfg, claims)
+        verify_claims(space, csv_path, cfg, claims or Claims())
     return space

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _private: dict[str, str] = {}
+_open: list[str] = []
 
 
 def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
@@ -43,8 +46,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _private[application]
 
 
+@contextmanager
+def staging(spark: SparkSession, label: str) -> Iterator[str]:
+    """A folder for the intermediate tables of one run; it goes when the run ends."""
+    folder = staged_path(spark, label)
+    _open.append(folder)
+    try:
+        yield folder
+    finally:
+        _open.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/duewatch/{label}-{uuid.uuid4().hex}"
+    """A new place in the folder of the innermost :func:`staging`, or else in the shared folder."""
+    return f"{_open[-1] if _open else shared_dir(spark) + '/duewatch'}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
