@@ -40,9 +40,9 @@ WIDTH = 5
 #: Documents from which a token counts as frequent.
 FREQUENT = 16
 #: Tokens of one block of postings that a bucket holds, on average, over the corpus. Bounds a task's memory.
-BUCKET_TOKENS = 3_000_000
-#: Documents of one posting block: their place fits 14 bits.
-BLOCK_DOCUMENTS = 1 << 14
+BUCKET_TOKENS = 2_000_000
+#: Documents of one posting block: their place fits 12 bits. Bounds a task's memory.
+BLOCK_DOCUMENTS = 1 << 12
 #: Among documents of frequent tokens: tokens of fewer than 2 ** SINGLE_LEVEL of these are indexed alone.
 SINGLE_LEVEL = 6
 #: A token class of a size level holds about so many tokens of a document.
@@ -83,7 +83,7 @@ def unplanes(low: bytes, high: bytes) -> np.ndarray:
 
 def posting_blocks(buckets: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapper from (key, text) to one block per bucket. ``bits``: of a truncated token, 48 at most."""
-    place_bits = np.uint64(14)
+    place_bits = np.uint64(12)
     high_bits = np.uint64(bits - int(math.log2(buckets)))
 
     def blocks(batch: pa.RecordBatch) -> Iterator[tuple]:

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 2048
 END_ID = 1
-#: Words whose ids a task keeps; only bounds its memory.
-KEPT_WORDS = 1_000_000
+#: New words after which a task lets go of those it has not met since it last did; only bounds its memory.
+KEPT_WORDS = 150_000
 #: A special string of the vocabulary that parts words while many are encoded at once.
 PARTING, PARTING_ID = "<|startoftext|>", 49406
 #: Marks that end a word of letters; apostrophes are not among them, as some belong to the word.
@@ -54,6 +54,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def whole(self, word: bytes) -> bytes:
         ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
@@ -61,7 +62,7 @@ class Encoder:
 
     def letters(self, stem: bytes) -> bytes | None:
         """Ids of a word of lower-case letters in normal form, else None."""
-        found = self.known.get(stem)
+        found = self.known.get(stem) or self.older.get(stem)
         if found is None:
             text = stem.decode("utf-8", "replace")
             if not (text.isalpha() and (text.isascii() or text.lower() == text and is_normalized("NFC", text))):
@@ -97,11 +98,13 @@ class Encoder:
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text."""
         split = [text.encode("utf-8", "replace").lower().split() if text else [] for text in texts]
-        fresh = set().union(*split).difference(self.known)
+        met = set().union(*split)
+        fresh = met.difference(self.known)
         if len(self.known) + len(fresh) > KEPT_WORDS:
-            fresh = set().union(*split)
-            self.known.clear()
-        self.learn(list(fresh))
+            self.known, self.older, fresh = {}, self.known, met
+        again = fresh.intersection(self.older)
+        self.known.update((word, self.older[word]) for word in again)
+        self.learn(list(fresh.difference(again)))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 

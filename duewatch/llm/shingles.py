@@ -18,7 +18,7 @@ PLACES = np.array(
     [0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64
 )
 #: Bytes hashed at a time; only bounds memory.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 

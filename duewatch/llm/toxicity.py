@@ -13,7 +13,7 @@ rows of both labels every score is 0. Repeated rows each get a result; extra col
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .shingles import mix
 
 #: The bound of the labelled sample that the network is fitted on.
-FIT_TOXIC, FIT_CLEAN = 700, 2500
+FIT_TOXIC, FIT_CLEAN = 700, 2300
 WINDOW = 64
 STRIDE = 48
 WORD_ROWS, GRAM_ROWS = 1 << 16, 1 << 18
@@ -33,7 +33,7 @@ ROUNDS, BATCH = 6, 128
 #: Windows of a single repeated word among the training windows.
 ECHOES = 3000
 #: Words whose inputs a task keeps; only bounds its memory.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 250_000
 #: Windows read at a time; only bounds memory.
 AT_ONCE = 1024
 EDGE = ".,;:!?\"'()[]{}|*#$%&<>=+-_/\\~`"
@@ -224,7 +224,7 @@ def slopes(model: dict[str, np.ndarray], x: np.ndarray, real: np.ndarray, label:
     return d, d_x
 
 
-def odds(rows: list[np.ndarray], label: np.ndarray, size: int) -> np.ndarray:
+def odds(rows: Iterable[np.ndarray], label: np.ndarray, size: int) -> np.ndarray:
     """How far each table row's share of toxic texts stands out; 0 for rows met in fewer than three of them."""
     counts = np.zeros((2, size))
     for k, found in enumerate(rows):
@@ -255,13 +255,15 @@ def fit(texts: list[str | None], label: np.ndarray, seed: int = 7) -> dict[str,
     numbers = [numbering.of(text) for text in texts]
     known = [bare(word) for word in numbering.fresh]
     whole = np.concatenate([[0], word_rows(known)]).astype(np.int64)
-    gram_of: list[np.ndarray] = [np.zeros(0, np.int32)] * (len(known) + 1)
+    owners, flat = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     for part, rows, real in gram_rows(known):
-        for k, i in enumerate(part.tolist()):
-            gram_of[i + 1] = rows[k, real[k]]
-    gram_count = np.array([len(x) for x in gram_of])
-    gram_flat = np.concatenate(gram_of)
+        owners.append(np.repeat(part + 1, real.sum(axis=1)).astype(np.int32))
+        flat.append(rows[real])
+    by_word = np.concatenate(owners)
+    gram_flat = np.concatenate(flat)[np.argsort(by_word, kind="stable")]
+    gram_count = np.bincount(by_word, minlength=len(known) + 1)
     gram_start = np.cumsum(gram_count) - gram_count
+    del owners, flat, by_word
 
     def grams(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Table rows of the n-grams of these words, and the word that each belongs to."""
@@ -270,8 +272,8 @@ def fit(texts: list[str | None], label: np.ndarray, seed: int = 7) -> dict[str,
         return gram_flat[at], np.repeat(np.arange(len(words)), count)
 
     distinct = [np.unique(found) for found in numbers]
-    model["word"][:, 0] += odds([whole[found] for found in distinct], label, WORD_ROWS) * 0.5
-    model["gram"][:, 0] += odds([grams(found)[0] for found in distinct], label, GRAM_ROWS)
+    model["word"][:, 0] += odds((whole[found] for found in distinct), label, WORD_ROWS) * 0.5
+    model["gram"][:, 0] += odds((grams(found)[0] for found in distinct), label, GRAM_ROWS)
 
     def vectors(words: np.ndarray) -> np.ndarray:
         out = np.zeros((len(words), wide), np.float32)
@@ -385,7 +387,9 @@ def fit_on(documents: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | N
     rows = documents.where(F.col("doc_id").isin(list(of))) if of else documents.limit(0)
     rows = rows.select("doc_id", F.col("text").cast("string").alias("text")).collect()
     rows.sort(key=lambda row: (row["doc_id"], row["text"] or ""))
-    return fit([row["text"] for row in rows], np.array([of[row["doc_id"]] for row in rows], np.int64))
+    texts, label = [row["text"] for row in rows], np.array([of[row["doc_id"]] for row in rows], np.int64)
+    del rows, of, ids
+    return fit(texts, label)
 
 
 def held_out(doc_id: str = "doc_id"):
