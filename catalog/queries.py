@@ -818,7 +818,7 @@ def target_encoding(spark, sf):
 @query("gbt_invariants")
 def gbt_invariants(spark, sf):
     """One probability per case, and importances that add up to a hundred."""
-    model = models.train_gbt(stored_sample(spark, sf), STUDY)
+    model = _tree_model(spark, sf)
     cases = adapter.population(spark, sf, STUDY.validation_year)
     scores = model.score(cases, "complaint_id").agg(
         F.count(F.lit(1)).alias("scored"),
@@ -868,15 +868,31 @@ def model_store(spark, sf):
     return metrics.ranking_metrics(scores)
 
 
+_tree_models: dict[tuple[str, str], str] = {}
+
+
+def _tree_model(spark, sf) -> models.TreeModel:
+    """The boosted trees of a table folder, fitted once in a session and read back from their store.
+
+    A fit grows its lineage with every tree; with ``spark.checkpoint.dir`` set, the estimator cuts it every ten.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _tree_models:
+        path = staged_path(spark, "trees")
+        models.train_gbt(stored_sample(spark, sf), STUDY).save(path)
+        _tree_models[key] = path
+    return models.TreeModel.load(spark, _tree_models[key], STUDY)
+
+
 @query("gbt_importance")
 def gbt_importance(spark, sf):
-    return models.train_gbt(stored_sample(spark, sf), STUDY).importance()
+    return _tree_model(spark, sf).importance()
 
 
 @query("gbt_scores")
 def gbt_scores(spark, sf):
-    model = models.train_gbt(stored_sample(spark, sf), STUDY)
-    return model.score(adapter.population(spark, sf, STUDY.validation_year), "complaint_id", "year")
+    cases = adapter.population(spark, sf, STUDY.validation_year)
+    return _tree_model(spark, sf).score(cases, "complaint_id", "year")
 
 
 def _text_model(spark, sf):
