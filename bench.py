@@ -16,7 +16,7 @@ HEADLINE = (
     "study_population", "study_population_by_year", "missingness", "top_companies", "dim_company",
     "duplicate_ids", "undersample_negatives", "train_with_narratives", "score_label_join",
     "ranking_metrics", "pr_curve", "threshold_sweep", "final_test_summary", "model_comparison",
-    "decile_lift", "triage_rank", "triage_queue", "add_decile", "calibration_curve", "hosmer_lemeshow",
+    "decile_lift", "triage_rank", "triage_queue", "triage_queue_head", "add_decile", "calibration_curve", "hosmer_lemeshow",
     "category_levels", "tfidf_terms", "logreg_coefficients", "score_population", "gbt_importance",
     "year_ablation",
 )

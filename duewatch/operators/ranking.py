@@ -200,7 +200,11 @@ def decile_lift(scored: DataFrame, score: str = "score", target: str = "target")
         runs.groupBy(_lift_decile(F.col("rank"), F.col("rank_rows")).alias("decile"))
         .agg(F.sum("n").alias("records"), F.sum("pos").alias("untimely"))
     )
-    # Ten rows from here on.
+    return with_lift(deciles)
+
+
+def with_lift(deciles: DataFrame) -> DataFrame:
+    """Rates, lift and cumulative share of ``(decile, records, untimely)``, ten rows."""
     whole = Window.partitionBy(F.lit(0))
     upto = whole.orderBy("decile").rowsBetween(Window.unboundedPreceding, 0)
     base = safe_ratio(F.sum("untimely").over(whole), F.sum("records").over(whole))

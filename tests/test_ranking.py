@@ -135,14 +135,35 @@ def test_evaluate_agrees_with_the_separate_metrics(spark):
         assert {k: whole[k] for k in part} == part
 
 
-# Published threshold sweep (threshold, precision, recall, f1, accuracy, tp, fp, tn, fn, reviews).
+# Published threshold sweep (threshold, precision, recall, f1, accuracy, tp, fp, tn, fn, reviews).
 SWEEP = [
-    (0.3, 0.07629288274449565, 0.8472473507366245, 0.13998078360200705, 0.9705376464422484,
-     6556, 79376, 2647155, 1182, 13.10738255033557),
-    (0.6, 0.17624941250195833, 0.4361592142672525, 0.25105069364376836, 0.9926353259317207,
-     3375, 15774, 2710757, 4363, 5.673777777777778),
-    (0.9, 0.5048584706379383, 0.1544326699405531, 0.23651657595249875, 0.997178404904565,
-     1195, 1172, 2725359, 6543, 1.9807531380753138),
+    (0.3, 0.07629288274449565, 0.8472473507366245, 0.13998078360200705, 0.9705376464422484, 6556, 79376, 2647155, 1182, 13.10738255033557),
+    (0.35, 0.08183969355871933, 0.8089945722408891, 0.14864239157534817, 0.9737739776152237, 6260, 70231, 2656300, 1478, 12.219009584664537),
+    (0.4, 0.08727025388516761, 0.7627293874386146, 0.156620271471599, 0.9767532016784011, 5902, 61727, 2664804, 1836, 11.4586580820061),
+    (0.45, 0.09518166768319247, 0.7058671491341432, 0.1677441149824179, 0.9801778830100477, 5462, 51923, 2674608, 2276, 10.506224826071037),
+    (0.5, 0.11033681765389082, 0.6138537089687258, 0.18705205954162402, 0.9848998032015138, 4750, 38300, 2688231, 2988, 9.063157894736841),
+    (0.55, 0.14390104797889783, 0.5217110364435255, 0.2255811354492624, 0.9898627384503865, 4037, 24017, 2702514, 3701, 6.949219717612088),
+    (0.6, 0.17624941250195833, 0.4361592142672525, 0.25105069364376836, 0.9926353259317207, 3375, 15774, 2710757, 4363, 5.673777777777778),
+    (0.65, 0.2075208913649025, 0.3851124321530111, 0.2697076658521133, 0.9940978740570149, 2980, 11380, 2715151, 4758, 4.818791946308725),
+    (0.7, 0.2491682070240296, 0.34841044197467047, 0.29054855049035455, 0.9951848190503568, 2696, 8124, 2718407, 5042, 4.013353115727003),
+    (0.75, 0.3155397390272835, 0.30938226932023777, 0.31243066884176185, 0.996146319180739, 2394, 5193, 2721338, 5344, 3.169172932330827),
+    (0.8, 0.37733667373289653, 0.25303696045489793, 0.3029318480699312, 0.9967044208159476, 1958, 3231, 2723300, 5780, 2.6501532175689477),
+    (0.85, 0.4311668372569089, 0.21775652623416902, 0.28936974068349647, 0.9969732312365754, 1685, 2223, 2724308, 6053, 2.319287833827893),
+    (0.9, 0.5048584706379383, 0.1544326699405531, 0.23651657595249875, 0.997178404904565, 1195, 1172, 2725359, 6543, 1.9807531380753138),
+]
+
+# Published deciles (decile, records, untimely, rate, lift, cumulative share in percent).
+PUBLISHED_DECILES = [
+    (1, 544297, 23716, 0.043571799954804084, 9.657538554676867, 96.57531457425581),
+    (2, 544297, 603, 0.0011078510445583936, 0.2455513471272622, 99.03082624099035),
+    (3, 544297, 63, 0.0001157456315210262, 0.025654618356579634, 99.28737223602232),
+    (4, 544297, 27, 4.960527065186837e-05, 0.01099483643853413, 99.39732051960745),
+    (5, 544297, 35, 6.430312862279233e-05, 0.014252565753655352, 99.53984607240298),
+    (6, 544297, 25, 4.593080615913738e-05, 0.010180404109753823, 99.64165003868551),
+    (7, 544297, 25, 4.593080615913738e-05, 0.010180404109753823, 99.74345400496803),
+    (8, 544297, 17, 3.123294818821342e-05, 0.0069226747946325995, 99.81268070204015),
+    (9, 544297, 8, 1.4697857970923963e-05, 0.003257729315121224, 99.84525797125056),
+    (10, 544301, 38, 6.981431230146555e-05, 0.015474100528759912, 100.0),
 ]
 
 
@@ -224,6 +245,12 @@ def test_chi_square_tail(spark):
         calibration.chi_square_tail(F.lit(1.0), 0)
 
 
+def test_lift_reproduces_the_published_deciles(spark):
+    counts = spark.createDataFrame([row[:3] for row in PUBLISHED_DECILES], "decile int, records long, untimely long")
+    for got, want in zip(ranking.with_lift(counts).orderBy("decile").collect(), PUBLISHED_DECILES, strict=True):
+        assert tuple(got) == pytest.approx(want, rel=1e-12)
+
+
 def test_sweep_follows_the_config(spark):
     cfg = StudyConfig(sweep=(0.2, 0.8))
     got = metrics.threshold_sweep(frame(spark, tied_rows(300)), cfg).collect()
