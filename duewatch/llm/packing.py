@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 WINDOW = 2048
 END_ID = 1
 #: New words after which a task lets go of those it has not met since it last did; only bounds its memory.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 400_000
 #: A special string of the vocabulary that parts words while many are encoded at once.
 PARTING, PARTING_ID = "<|startoftext|>", 49406
 #: Marks that end a word of letters; apostrophes are not among them, as some belong to the word.
