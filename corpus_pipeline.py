@@ -32,7 +32,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component stays, once; rows without an id stay."""
+    """The document with the smallest id of each component stays; rows without an id stay.
+
+    An id stands for one document: of rows that share it one stays.
+    """
     named = docs.where("doc_id is not null")
     chosen = jaccard_components(named).where("doc_id = component_id").select("doc_id").distinct()
     first = named.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
