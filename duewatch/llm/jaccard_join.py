@@ -3,9 +3,11 @@
 Documents are sets of distinct five-word shingles (tokens). Two of them link when their Jaccard similarity is at least
 0.8. A token's class is its document frequency: rare below ``FREQUENT`` documents, else frequent.
 
-1. Every text posts its tokens once, packed into one block per input batch and hash bucket. A bucket sees whole posting
-   lists, so it knows each token's class. Rare tokens are indexed alone: their short lists give pairs, with the number
-   of rare tokens that the pair shares. For frequent tokens only the number in each document is kept.
+1. Every set posts its tokens under a number of its own, 64 bits of its fingerprint, packed into one block per input
+   batch and hash bucket. Copies are dropped within a block and within a bucket, so lists and counts are of distinct
+   sets, whatever rows repeat. A bucket sees whole posting lists, so it knows each token's class. Rare tokens are indexed alone: their short lists give pairs, with the number
+   of rare tokens that the pair shares. For frequent tokens only the number in each document is kept,
+   or more than that, up to all, for copies in several blocks: it is a bound.
 2. A pair shares at most ``min(frequent_a, frequent_b)`` frequent tokens, so the count decides most pairs: certain,
    impossible, or open. Truncated tokens are used here; their width follows the corpus size.
 3. A pair that shares no rare token can link only if both documents consist of frequent tokens to four fifths or more.
@@ -48,12 +50,17 @@ SINGLE_LEVEL = 6
 #: A token class of a size level holds about so many tokens of a document.
 CLASS_TOKENS = 16
 
-SETS = "key long, doc_id long, n long, node binary"
+SETS = "key long, doc_id long, n long, node binary, number long"
 BLOCKS = "bucket int, docs binary, low binary, high binary, place binary, over binary"
 PARTS = "home int, kind int, block binary"
 FOUND = "a long, b long, c long"
 
 
+def numbers(names: np.ndarray) -> np.ndarray:
+    """The number under which a set posts its tokens."""
+    return np.ascontiguousarray(names[:, 0]).view(np.int64)
+
+
 def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parts = list(shingle_sets(batch.column("text"), WIDTH))
@@ -63,8 +70,8 @@ def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.concatenate([counts for _, counts in parts])
         node = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(sizes), [None, pa.py_buffer(names.tobytes())])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("key"), batch.column("doc_id"), pa.array(sizes, pa.int64()), node.cast(pa.binary())],
-            ["key", "doc_id", "n", "node"],
+            [batch.column("key"), batch.column("doc_id"), pa.array(sizes, pa.int64()), node.cast(pa.binary()), pa.array(numbers(names))],
+            ["key", "doc_id", "n", "node", "number"],
         )
 
 
@@ -82,7 +89,7 @@ def unplanes(low: bytes, high: bytes) -> np.ndarray:
 
 
 def posting_blocks(buckets: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapper from (key, text) to one block per bucket. ``bits``: of a truncated token, 48 at most."""
+    """A mapper from texts to one block per bucket. ``bits``: of a truncated token, 48 at most."""
     place_bits = np.uint64(12)
     high_bits = np.uint64(bits - int(math.log2(buckets)))
 
@@ -90,6 +97,10 @@ def posting_blocks(buckets: int, bits: int) -> Callable[[Iterator[pa.RecordBatch
         parts = list(shingle_sets(batch.column("text"), WIDTH))
         tokens = np.concatenate([t for t, _ in parts]) >> np.uint64(64 - bits)
         counts = np.concatenate([c for _, c in parts])
+        keys = numbers(np.concatenate([fingerprints(*part) for part in parts]))
+        one = np.zeros(len(keys), bool)
+        one[np.unique(keys, return_index=True)[1]] = True
+        tokens, counts, keys = tokens[np.repeat(one, counts)], counts[one], keys[one]
         place = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
         packed = (((tokens % buckets) << high_bits | tokens // buckets) << place_bits) | place
         packed.sort()
@@ -102,18 +113,20 @@ def posting_blocks(buckets: int, bits: int) -> Callable[[Iterator[pa.RecordBatch
         # A token that is frequent in this block alone is frequent: later postings are only counted.
         over = np.bincount(place[~kept], minlength=len(counts)).astype("<i4")
         token, place = token[kept], place[kept]
-        keys = batch.column("key").to_numpy(zero_copy_only=False).astype("<i8")
-        docs = zlib.compress(keys.tobytes() + counts.astype("<i4").tobytes(), 1)
         home = int(keys[0]) % buckets
         bucket = token >> high_bits
         cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
         token &= (np.uint64(1) << high_bits) - np.uint64(1)
         for k in range(buckets):
             low, high = cuts[k], cuts[k + 1]
-            extra = zlib.compress(over.tobytes(), 1) if k == home and over.any() else b""
-            if high > low or extra:
+            here = over > 0 if k == home else np.zeros(len(counts), bool)
+            extra = here.any()
+            here[place[low:high]] = True
+            if here.any():
+                docs = zlib.compress(keys[here].astype("<i8").tobytes() + counts[here].astype("<i4").tobytes(), 1)
                 steps = np.diff(token[low:high], prepend=np.uint64(0))
-                yield k, docs, *planes(steps), place[low:high].tobytes(), extra
+                at = (np.cumsum(here) - 1).astype("<u2")[place[low:high]]
+                yield k, docs, *planes(steps), at.tobytes(), zlib.compress(over[here].tobytes(), 1) if extra else b""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,10 +156,19 @@ def posting_lists(blocks: pa.Table, homes: int) -> pa.Table:
         tokens.append(np.cumsum(unplanes(row["low"], row["high"]), dtype=np.uint64))
         owners.append(np.frombuffer(row["place"], "<u2").astype(np.int64) + base)
         over.append(np.frombuffer(zlib.decompress(row["over"]), "<i4") if row["over"] else np.zeros(count, "<i4"))
-    key, size, frequent = np.concatenate(keys), np.concatenate(sizes), np.concatenate(over).astype(np.int64)
-    token, owner = np.concatenate(tokens), np.concatenate(owners)
-    order = np.argsort(token, kind="stable")
-    token, owner = token[order], owner[order]
+    key, first, same = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    size, frequent = np.concatenate(sizes)[first], np.zeros(len(key), np.int64)
+    np.add.at(frequent, same, np.concatenate(over))
+    token, owner = np.concatenate(tokens), same[np.concatenate(owners)]
+    if len(key) == len(same):
+        order = np.argsort(token, kind="stable")
+        token, owner = token[order], owner[order]
+    else:
+        order = np.lexsort((owner, token))
+        token, owner = token[order], owner[order]
+        once = np.ones(len(token), bool)
+        once[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
+        token, owner = token[once], owner[once]
     begins = np.ones(len(token), bool)
     begins[1:] = token[1:] != token[:-1]
     starts = np.flatnonzero(begins)
@@ -160,10 +182,9 @@ def posting_lists(blocks: pa.Table, homes: int) -> pa.Table:
         a, b = owner[:-step], owner[step:]
         same = token[:-step] == token[step:]
         a, b = a[same], b[same]
-        near = (5 * np.minimum(size[a], size[b]) >= 4 * np.maximum(size[a], size[b])) & (key[a] != key[b])
+        near = (5 * np.minimum(size[a], size[b]) >= 4 * np.maximum(size[a], size[b])) & (a != b)
         a, b = a[near], b[near]
-        swap = key[a] > key[b]
-        pairs.append(np.where(swap, b, a) << 32 | np.where(swap, a, b))
+        pairs.append(np.minimum(a, b) << 32 | np.maximum(a, b))
     pair, shared = np.unique(np.concatenate(pairs), return_counts=True)
     some = np.flatnonzero(frequent)
     out = []
@@ -301,32 +322,30 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
         return docs.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     buckets = max(8, -(-total // BUCKET_TOKENS))
     bits = min(48, 17 + max(15, total.bit_length()))
-    blocks = texts.select("key", "text").mapInArrow(posting_blocks(buckets, bits), BLOCKS)
+    blocks = texts.select("text").mapInArrow(posting_blocks(buckets, bits), BLOCKS)
     parts = blocks.groupBy("bucket").applyInArrow(lambda found: posting_lists(found, buckets), PARTS)
     found = staged(parts.groupBy("home").applyInArrow(summed, FOUND), "found")
 
-    nodes = docs.where("n > 0").join(
-        found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("c").alias("frequent")), "key", "left"
+    nodes = docs.where("n > 0").groupBy("node").agg(*(F.min(x).alias(x) for x in ("number", "n", "key")))
+    nodes = nodes.join(
+        found.where("b is null").groupBy(F.col("a").alias("number")).agg(F.sum("c").alias("frequent")), "number", "left"
     )
-    nodes = staged(nodes.select("key", "node", "n", F.coalesce("frequent", F.lit(0)).alias("frequent")), "nodes")
+    nodes = nodes.withColumn("frequent", F.least("n", F.coalesce("frequent", F.lit(0))))
+    nodes = staged(nodes.select("number", "node", "n", "key", "frequent"), "nodes")
     pairs = found.where("b is not null").groupBy("a", "b").agg(F.sum("c").alias("c"))
     for side in "ab":
-        pairs = pairs.join(nodes.select(*(F.col(x).alias(f"{x}_{side}") for x in nodes.columns)), F.col(side) == F.col(f"key_{side}"))
+        ends = nodes.select(*(F.col(x).alias(f"{x}_{side}") for x in ("number", "node", "n", "frequent")))
+        pairs = pairs.join(ends, F.col(side) == F.col(f"number_{side}"))
     least = F.expr("4 * (n_a + n_b)")
-    pairs = pairs.where("node_a <> node_b").select(
+    pairs = pairs.select(
         F.least("node_a", "node_b").alias("a"),
         F.greatest("node_a", "node_b").alias("b"),
         (9 * F.col("c") >= least).alias("sure"),
         (9 * (F.col("c") + F.least("frequent_a", "frequent_b")) >= least).alias("open"),
     )
-    pairs = staged(
-        pairs.where("open").groupBy("a", "b").agg(F.max("sure").alias("sure")), "pairs"
-    )
+    pairs = staged(pairs.where("open").select("a", "b", "sure"), "pairs")
     wanted = pairs.where("not sure").select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    by_node = nodes.groupBy("node").agg(
-        F.min("key").alias("key"), F.first("n").alias("n"), F.max("frequent").alias("frequent")
-    )
-    by_node = by_node.join(wanted.withColumn("asked", F.lit(True)), "node", "left").where(
+    by_node = nodes.drop("number").join(wanted.withColumn("asked", F.lit(True)), "node", "left").where(
         "asked or (n > 1 and 5 * frequent >= 4 * n)"
     )
     needed = texts.select("key", "text").join(by_node.drop("asked"), "key")

@@ -73,6 +73,14 @@ def test_nulls_empty_short_and_repeated(make):
     assert ours(make(rows)) == brute(rows)
 
 
+def test_repeated_rows_beside_a_half_overlap(make):
+    common = [f"w{i}" for i in range(54)]
+    one, two, three = (" ".join([*common, *(f"{x}{i}" for i in range(50))]) for x in "abc")
+    rows = [(5, one)] * 2 + [(7, two), (None, three), (None, three), (None, three)]
+    assert ours(make(rows)) == brute(rows)
+    assert ours(make(rows, 1)) == brute(rows)
+
+
 def test_many_exact_copies_are_one_node(make):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(k, text if k % 3 else f"{text} tail{k}") for k in range(300)]
