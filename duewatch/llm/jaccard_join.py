@@ -20,8 +20,8 @@ Documents are sets of distinct five-word shingles (tokens). Two of them link whe
    inside a component is saved: the components are exact.
 
 Empty and null texts have no tokens and link with nothing. Equal sets are one node, named by a 128-bit fingerprint, so
-copies never multiply pairs. Rows may repeat: each gets its own result row. A null id is kept; it never names a
-component. Extra columns are ignored. Shingles are compared by 64-bit hash.
+copies never multiply pairs. Rows may repeat: each gets its own result row. Unlike texts under one id are sets of
+their own, which link like any others. A null id is kept; it never names a component. Extra columns are ignored. Shingles are compared by 64-bit hash.
 """
 
 from __future__ import annotations
@@ -312,10 +312,11 @@ def verified(pairs: DataFrame, sets: DataFrame, by: str) -> DataFrame:
 def jaccard_components(documents: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``documents(doc_id, text)``."""
     texts = documents.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
     )
+    # Texts are fetched by id and text together: an id may stand at any number of unlike texts.
+    texts = texts.withColumn("key", F.xxhash64("doc_id", "text"))
     docs = staged(texts.mapInArrow(set_rows, SETS), "sets")
     total = docs.agg(F.sum("n")).first()[0] or 0
     if not total:

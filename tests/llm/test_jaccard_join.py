@@ -81,6 +81,15 @@ def test_repeated_rows_beside_a_half_overlap(make):
     assert ours(make(rows, 1)) == brute(rows)
 
 
+def test_unlike_texts_under_one_id(make):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(3, " ".join(words)), (3, " ".join([*words[:96], "q", "r"])), (1, " ".join([*words[8:96], "q", "r"])),
+            (3, " ".join(f"z{i}" for i in range(40))), (3, " ".join(f"z{i}" for i in range(2, 40))), (8, "z0 other text of few words")]
+    many = [f"m{i}" for i in range(60)]
+    rows += [(20, " ".join([*many[: 60 - k], f"t{k}"])) for k in range(30)]
+    assert ours(make(rows)) == brute(rows)
+
+
 def test_many_exact_copies_are_one_node(make):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(k, text if k % 3 else f"{text} tail{k}") for k in range(300)]
