@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from duewatch.llm.common import table, work_folder
 from duewatch.llm.decontamination import without_leaks
-from duewatch.llm.jaccard_join import jaccard_components
+from duewatch.llm.jaccard_join import row_components, row_key
 from duewatch.llm.packing import packed
 from duewatch.llm.quality import kept_rows
 from duewatch.llm.queries import TOXIC_FROM
@@ -32,14 +32,20 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component stays; rows without an id stay.
+    """One row of each component stays, by the smallest (id, hash of the text); rows without an id stay.
 
-    An id stands for one document: of rows that share it one stays.
+    Unlike texts under one id are in different components, so they stay. Texts without words are in none: one stays
+    of each id. Of rows equal in id and text, the one stays whose other columns have the smallest hash.
     """
-    named = docs.where("doc_id is not null")
-    chosen = jaccard_components(named).where("doc_id = component_id").select("doc_id").distinct()
-    first = named.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return first.unionByName(docs.where("doc_id is null"))
+    rows = row_components(docs.where("doc_id is not null"))
+    own = F.when(F.col("n") == 0, F.col("doc_id"))
+    chosen = rows.groupBy("component", own.alias("own")).agg(F.min(F.struct("doc_id", "key"))["key"].alias("chosen_key"))
+    rest = F.struct(*(x for x in docs.columns if x != "text"))
+    keyed = docs.where("doc_id is not null").select(
+        F.struct(*docs.columns).alias("whole"), row_key().alias("chosen_key"), F.xxhash64(F.to_json(rest)).alias("rest")
+    )
+    first = keyed.join(chosen, "chosen_key", "left_semi").groupBy("chosen_key").agg(F.min_by("whole", "rest").alias("whole"))
+    return first.select("whole.*").unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

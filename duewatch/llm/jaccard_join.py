@@ -32,7 +32,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, staged
@@ -309,18 +309,31 @@ def verified(pairs: DataFrame, sets: DataFrame, by: str) -> DataFrame:
     return joined.mapInArrow(verified_rows, "a binary, b binary")
 
 
+def row_key() -> Column:
+    """A number for id and text together: an id may stand at any number of unlike texts."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def jaccard_components(documents: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``documents(doc_id, text)``."""
+    return row_components(documents).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def row_components(documents: DataFrame) -> DataFrame:
+    """``(key, doc_id, n, component, component_id)`` for every row of ``documents(doc_id, text)``.
+
+    ``component`` is a node of the component, null for a text without tokens; an id may name several components.
+    """
     texts = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
     )
-    # Texts are fetched by id and text together: an id may stand at any number of unlike texts.
-    texts = texts.withColumn("key", F.xxhash64("doc_id", "text"))
+    texts = texts.withColumn("key", row_key())
     docs = staged(texts.mapInArrow(set_rows, SETS), "sets")
     total = docs.agg(F.sum("n")).first()[0] or 0
     if not total:
-        return docs.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        none = F.lit(None).cast("binary").alias("component")
+        return docs.select("key", "doc_id", "n", none, F.col("doc_id").alias("component_id"))
     buckets = max(8, -(-total // BUCKET_TOKENS))
     bits = min(48, 17 + max(15, total.bit_length()))
     blocks = texts.select("text").mapInArrow(posting_blocks(buckets, bits), BLOCKS)
@@ -403,9 +416,11 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     smallest = docs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("smallest")).join(groups, "node", "left")
     smallest = smallest.select("node", "smallest", F.coalesce("component", "node").alias("component"))
     named = smallest.groupBy("component").agg(F.min("smallest").alias("component_id"))
-    by_node = smallest.join(named, "component").select("node", "component_id")
+    by_node = smallest.join(named, "component").select("node", "component", "component_id")
     return docs.join(by_node, "node", "left").select(
+        "key",
         "doc_id",
-        F.col("n").alias("n_shingles"),
+        "n",
+        "component",
         F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )

@@ -56,3 +56,15 @@ def test_decisions_take_effect(spark, folder):
     assert gone["decontamination"] == {304}
     packed = corpus_pipeline.run(spark, folder).collect()
     assert {r.doc_id for r in packed} == {*range(120), None}
+
+
+def test_unlike_texts_under_one_id_stay(spark, make):
+    words = [f"w{k}" for k in range(60)]
+    one, near, other = " ".join(words), " ".join([*words, "tail"]), " ".join(f"z{k}" for k in range(60))
+    rows = [(5, one), (5, one), (5, other), (5, " ".join(f"y{k}" for k in range(9))), (4, near), (9, other), (6, ""), (6, ""), (7, None), (None, one)]
+    docs = make(rows)
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in out.collect()]
+    wanted = [(4, near), (5, other), (5, rows[3][1]), (6, ""), (7, None), (None, one)]
+    assert sorted(kept, key=repr) == sorted(wanted, key=repr)
