@@ -159,13 +159,15 @@ def passages(items: Items, words: np.ndarray, counts: np.ndarray, maybe: np.ndar
     at, text = np.repeat(at, count), np.repeat(text, count)
     item = items.item[seed]
     begin = at - items.place[seed] - items.size[item]
-    stop = begin + 3 * items.size[item]
-    begin = np.maximum(begin, (ends - counts)[text])
-    stop = np.minimum(stop, ends[text])
+    stop = np.minimum(begin + 3 * items.size[item], ends[text])
+    inside = np.maximum(begin, (ends - counts)[text])
     found: list[tuple[int, int, int, int]] = []
+    # Distances are of the begins as the seeds say: at a text's head the begins inside the text all fall together.
+    kept = 0
     for k in np.lexsort((begin, item, text)).tolist():
-        if not found or found[-1][:2] != (text[k], item[k]) or begin[k] > found[-1][2] + items.size[item[k]] // 2:
-            found.append((int(text[k]), int(item[k]), int(begin[k]), int(stop[k])))
+        if not found or found[-1][:2] != (text[k], item[k]) or begin[k] > kept + items.size[item[k]] // 2:
+            found.append((int(text[k]), int(item[k]), int(inside[k]), int(stop[k])))
+            kept = int(begin[k])
     return found
 
 

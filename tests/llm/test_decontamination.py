@@ -67,6 +67,15 @@ def test_a_passage_in_every_document_is_still_found(spark, make):
     assert found_leaks(make(rows), items).count() == 200
 
 
+def test_a_copy_behind_a_late_seed_at_the_head(spark, make):
+    item = [f"x{k}" for k in range(40)]
+    rows = [(k, " ".join([*item[-3:], *(f"f{k}w{i}" for i in range(k - 3)), *item, "end"])) for k in (3, 15, 25, 45, 59, 90)]
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = {r.doc_id: (r.score, r.first_word) for r in found_leaks(make(rows), items).collect()}
+    assert found == {k: (1.0, k) for k, _ in rows}
+    assert without_leaks(make(rows), items).count() == 0
+
+
 def test_empty_tables(spark, make):
     items = spark.createDataFrame([(1, "a b c d e f g h i")], "item_id long, text string")
     assert found_leaks(make([]), items).collect() == []
