@@ -25,7 +25,7 @@ from .shingles import mix
 #: The bound of the labelled sample that the network is fitted on.
 FIT_TOXIC, FIT_CLEAN = 700, 2300
 WINDOW = 64
-STRIDE = 48
+STRIDE = 32
 WORD_ROWS, GRAM_ROWS = 1 << 16, 1 << 18
 WORD_DIM, GRAM_DIM, HIDDEN = 4, 4, 8
 GRAMS = (3, 4, 5)

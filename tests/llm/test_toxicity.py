@@ -51,6 +51,13 @@ def test_windows_cover_every_word():
         assert seen.all() and (len(start) == 0) == (n == 0) and (start + T.WINDOW <= max(n, T.WINDOW)).all()
 
 
+def test_any_33_words_share_a_window():
+    for length in (33, 64, 65, 97, 128, 200, 333):
+        starts = T.windows(length)
+        for at in range(length - 32):
+            assert any(x <= at and at + 33 <= x + T.WINDOW for x in starts.tolist())
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     wide, places, count = T.WORD_DIM + T.GRAM_DIM, 5, 3
