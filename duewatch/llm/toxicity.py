@@ -6,7 +6,8 @@ by back-propagation in numpy. A text is scored in all overlapping windows of ``W
 score is the highest of its windows. While training, the window of a toxic text that scores highest carries the label,
 and clean texts give random windows, the ones that score highest by mistake, and windows of one word of theirs repeated.
 
-The fit uses at most ``FIT_TOXIC`` toxic and ``FIT_CLEAN`` clean labelled rows, taken in the order of a hash of their id.
+The fit uses at most ``FIT_TOXIC`` toxic and ``FIT_CLEAN`` clean labelled ids, taken in the order of a hash of the id,
+and one text of each, the smallest.
 Scoring reads every word of every text. Null and empty texts get the score of no window, the network's bias. Without
 rows of both labels every score is 0. Repeated rows each get a result; extra columns are ignored.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .shingles import mix
 
 #: The bound of the labelled sample that the network is fitted on.
-FIT_TOXIC, FIT_CLEAN = 700, 2300
+FIT_TOXIC, FIT_CLEAN = 700, 2500
 WINDOW = 64
 STRIDE = 32
 WORD_ROWS, GRAM_ROWS = 1 << 16, 1 << 18
@@ -380,12 +381,12 @@ def fit_on(documents: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | N
     sample = None
     for kind, bound in ((1, FIT_TOXIC), (0, FIT_CLEAN)):
         part = labels.where((F.col("label") == kind) & F.col("doc_id").isNotNull())
-        part = part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+        part = part.select("doc_id", "label").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
         sample = part if sample is None else sample.unionByName(part)
     ids = [(row["doc_id"], row["label"]) for row in sample.select("doc_id", "label").collect()]
     of = dict(ids)
     rows = documents.where(F.col("doc_id").isin(list(of))) if of else documents.limit(0)
-    rows = rows.select("doc_id", F.col("text").cast("string").alias("text")).collect()
+    rows = rows.groupBy("doc_id").agg(F.min(F.col("text").cast("string")).alias("text")).collect()
     rows.sort(key=lambda row: (row["doc_id"], row["text"] or ""))
     texts, label = [row["text"] for row in rows], np.array([of[row["doc_id"]] for row in rows], np.int64)
     del rows, of, ids

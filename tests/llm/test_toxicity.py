@@ -97,6 +97,16 @@ def test_rows_and_labels(spark, make):
     assert T.toxicity_scores(make([]), labels).collect() == []
 
 
+def test_repeated_ids_do_not_fill_the_sample(spark, make, monkeypatch):
+    monkeypatch.setattr(T, "FIT_TOXIC", 3)
+    monkeypatch.setattr(T, "FIT_CLEAN", 3)
+    monkeypatch.setattr(T, "fit", lambda texts, label: (texts, label.tolist()))
+    docs = make([(k, f"text {k}") for k in range(6)] * 5)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(6)] * 9, "doc_id long, label int")
+    texts, label = T.fit_on(docs, labels)
+    assert texts == [f"text {k}" for k in range(6)] and label == [0, 1] * 3
+
+
 def test_labels_of_held_out_rows_are_not_used(spark, make):
     import zlib
 
