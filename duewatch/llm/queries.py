@@ -14,6 +14,7 @@ from .decontamination import found_leaks
 from .html_text import extracted
 from .jaccard_join import jaccard_components
 from .packing import packed
+from .periodic_runs import periodic_runs
 from .quality import judged
 from .sharding import sharded
 from .toxicity import toxicity_scores
@@ -111,6 +112,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), rewrite=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -122,4 +127,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_html_extraction": op9_html_extraction,
     "op10_warc": op10_warc,
+    "op13_periodic_runs": op13_periodic_runs,
 }
