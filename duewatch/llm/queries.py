@@ -17,6 +17,7 @@ from .packing import packed
 from .periodic_runs import periodic_runs
 from .quality import judged
 from .sharding import sharded
+from .spelling import variants
 from .toxicity import toxicity_scores
 from .url_filters import evaluated, host_of
 from .warc import Archive
@@ -112,6 +113,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), rewrite=True)
 
@@ -127,5 +132,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_html_extraction": op9_html_extraction,
     "op10_warc": op10_warc,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_periodic_runs": op13_periodic_runs,
 }
