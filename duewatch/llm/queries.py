@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .chat import digests
 from .common import table
+from .context_mixing import scores
 from .decontamination import found_leaks
 from .html_text import extracted
 from .jaccard_join import jaccard_components
@@ -117,6 +118,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(table(spark, sf_dir, "documents"))
 
 
+def op12_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), rewrite=True)
 
@@ -133,5 +138,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_warc": op10_warc,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_context_mixing": op12_context_mixing,
     "op13_periodic_runs": op13_periodic_runs,
 }
