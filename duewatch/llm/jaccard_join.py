@@ -309,6 +309,19 @@ def verified(pairs: DataFrame, sets: DataFrame, by: str) -> DataFrame:
     return joined.mapInArrow(verified_rows, "a binary, b binary")
 
 
+def joined_groups(groups: DataFrame, more: DataFrame) -> DataFrame:
+    """``(node, component)`` after more links ``(a, b)``: only the components that these join are looked at again."""
+    label = groups.select(F.col("node").alias("end"), F.col("component").alias("label"))
+    ends = more
+    for side in "ab":
+        ends = ends.join(label, F.col(side) == F.col("end"), "left").withColumn(side, F.coalesce("label", side))
+        ends = ends.select("a", "b")
+    joined = components(ends)
+    onward = joined.select(F.col("node").alias("component"), F.col("component").alias("onward"))
+    known = groups.join(onward, "component", "left").select("node", F.coalesce("onward", "component").alias("component"))
+    return known.unionByName(joined.join(groups, "node", "left_anti"))
+
+
 def row_key() -> Column:
     """A number for id and text together: an id may stand at any number of unlike texts."""
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -411,16 +424,13 @@ def row_components(documents: DataFrame) -> DataFrame:
     rest = staged(rest, "rest")
     more = staged(verified(rest.join(led, ["x", "y"], "left_anti"), sets, "uid"), "links")
     if more.limit(1).count():
-        groups = components(links.unionByName(more))
+        groups = joined_groups(groups, more)
 
     smallest = docs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("smallest")).join(groups, "node", "left")
     smallest = smallest.select("node", "smallest", F.coalesce("component", "node").alias("component"))
     named = smallest.groupBy("component").agg(F.min("smallest").alias("component_id"))
     by_node = smallest.join(named, "component").select("node", "component", "component_id")
-    return docs.join(by_node, "node", "left").select(
-        "key",
-        "doc_id",
-        "n",
-        "component",
-        F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    # Texts without words share a node, but no component: they stay out of the join.
+    empty = docs.where("n = 0").select("key", "doc_id", "n", F.lit(None).cast("binary").alias("component"), F.col("doc_id").alias("component_id"))
+    some = docs.where("n > 0").join(by_node, "node", "left")
+    return some.select("key", "doc_id", "n", "component", F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(empty)

@@ -2,12 +2,13 @@
 
 A word enters as its hashed word embedding next to the mean of its hashed character n-gram embeddings, so inflections of
 a known root are read too. Both tables start from the label odds in the training rows and are trained with the network,
-by back-propagation in numpy. A text is scored in all overlapping windows of ``WINDOW`` words, ``STRIDE`` words apart; its
-score is the highest of its windows. While training, the window of a toxic text that scores highest carries the label,
+by back-propagation in numpy. A text is scored in overlapping windows of ``WINDOW`` words, ``STRIDE`` words apart and the last
+one at its end, which cover every word (not in every possible window: see the README for what that would cost); its score
+is the highest of its windows. While training, the window of a toxic text that scores highest carries the label,
 and clean texts give random windows, the ones that score highest by mistake, and windows of one word of theirs repeated.
 
 The fit uses at most ``FIT_TOXIC`` toxic and ``FIT_CLEAN`` clean labelled ids, taken in the order of a hash of the id,
-and one text of each, the smallest.
+and one text of each, the smallest. It runs in one task, which that bound keeps small.
 Scoring reads every word of every text. Null and empty texts get the score of no window, the network's bias. Without
 rows of both labels every score is 0. Repeated rows each get a result; extra columns are ignored.
 """
@@ -376,21 +377,43 @@ def scorer(model: dict[str, np.ndarray] | None) -> Callable[[Iterator[pa.RecordB
     return run
 
 
-def fit_on(documents: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | None:
-    """Fit on the bounded sample of ``labels(doc_id, label)`` joined to ``documents(doc_id, text)``."""
+def fit_sample(rows: list[dict]) -> dict[str, np.ndarray] | None:
+    rows = sorted(rows, key=lambda row: (row["doc_id"], row["text"] or ""))
+    return fit([row["text"] for row in rows], np.array([row["label"] for row in rows], np.int64))
+
+
+def fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The whole sample to the fitted weights ``(name, shape, weights)``; none without both labels."""
+    model = fit_sample([row for batch in batches for row in batch.to_pylist()])
+    for name, value in (model or {}).items():
+        columns = [pa.array([name]), pa.array([list(value.shape)], pa.list_(pa.int64())), pa.array([value.tobytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["name", "shape", "weights"])
+
+
+def sample_of(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The bounded sample ``(doc_id, label, text)`` of ``labels(doc_id, label)`` joined to ``documents(doc_id, text)``."""
     sample = None
     for kind, bound in ((1, FIT_TOXIC), (0, FIT_CLEAN)):
         part = labels.where((F.col("label") == kind) & F.col("doc_id").isNotNull())
         part = part.select("doc_id", "label").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
         sample = part if sample is None else sample.unionByName(part)
-    ids = [(row["doc_id"], row["label"]) for row in sample.select("doc_id", "label").collect()]
-    of = dict(ids)
+    of = {row["doc_id"]: row["label"] for row in sample.select("doc_id", "label").collect()}
     rows = documents.where(F.col("doc_id").isin(list(of))) if of else documents.limit(0)
-    rows = rows.groupBy("doc_id").agg(F.min(F.col("text").cast("string")).alias("text")).collect()
-    rows.sort(key=lambda row: (row["doc_id"], row["text"] or ""))
-    texts, label = [row["text"] for row in rows], np.array([of[row["doc_id"]] for row in rows], np.int64)
-    del rows, of, ids
-    return fit(texts, label)
+    rows = rows.groupBy("doc_id").agg(F.min(F.col("text").cast("string")).alias("text"))
+    toxic = F.col("doc_id").isin([doc_id for doc_id, label in of.items() if label])
+    return rows.select("doc_id", toxic.cast("int").alias("label"), "text")
+
+
+def fit_on(documents: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | None:
+    """Fit on the sample here, in the calling process."""
+    return fit_sample([row.asDict() for row in sample_of(documents, labels).collect()])
+
+
+def fit_in_task(documents: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | None:
+    """Fit on the sample in one task: the driver gets the sample's ids and the weights, not the texts."""
+    sample = sample_of(documents, labels).repartition(1)
+    fitted = sample.mapInArrow(fit_rows, "name string, shape array<long>, weights binary").collect()
+    return {row["name"]: np.frombuffer(row["weights"], np.float32).reshape(row["shape"]) for row in fitted} or None
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -400,7 +423,7 @@ def held_out(doc_id: str = "doc_id"):
 def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, score)`` for every row; learns from rows of ``labels(doc_id, toxic)`` not held out."""
     usable = labels.where(~held_out() & F.col("toxic").isNotNull())
-    model = fit_on(documents, usable.select("doc_id", F.col("toxic").cast("int").alias("label")))
+    model = fit_in_task(documents, usable.select("doc_id", F.col("toxic").cast("int").alias("label")))
     rows = documents.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     kind = documents.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(scorer(model), f"doc_id {kind}, held_out boolean, score double")
@@ -409,7 +432,7 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def below_score(documents: DataFrame, labels: DataFrame, limit: float) -> DataFrame:
     """The whole rows that score below ``limit``."""
     usable = labels.where(~held_out() & F.col("toxic").isNotNull())
-    model = fit_on(documents, usable.select("doc_id", F.col("toxic").cast("int").alias("label")))
+    model = fit_in_task(documents, usable.select("doc_id", F.col("toxic").cast("int").alias("label")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inputs = Inputs(model) if model is not None else None

@@ -37,11 +37,13 @@ MIN_REVISIT_BYTES = 0
 BLOCK_ROWS = 300
 #: An archive is closed when it has this size.
 ARCHIVE_BYTES = 256 << 20
+#: Bytes of records that a reading task fetches, about.
+READ_BYTES = 4 << 20
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 PLACED = "surt string, page_id long, file string, start long, length long"
-RUNS = "first_surt string, first_page long, blocks string, directory string, captures long"
+RUNS = "first_surt string, first_page long, blocks string, directory string, captures long, bytes long"
 READ = "page_id long, target string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -86,19 +88,29 @@ def record(page: int | None, url: str | None, payload: bytes, sha1: str, refers_
 
 
 def parsed(raw: bytes) -> dict:
-    """Head fields of a record, and its payload."""
+    """Head fields of a record, and its payload. Size and digest of a payload are those of the bytes read.
+
+    A payload that is not what its record's head says is an error. A revisit has no payload: its head speaks for it.
+    """
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
     body = rest[: int(fields["Content-Length"])]
     target = fields.get("WARC-Target-URI")
     refers = fields.get("WARC-Refers-To")
-    payload = body.partition(b"\r\n\r\n")[2] if refers is None else None
+    size, sha1 = int(fields["WARC-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    payload = None
+    if refers is None:
+        payload = body.partition(b"\r\n\r\n")[2]
+        read = len(payload), digest(payload)
+        if read != (size, sha1):
+            raise ValueError(f"{fields['WARC-Record-ID']}: read {read}, written {(size, sha1)}")
+        size, sha1 = read
     return {
         "page_id": page_of(fields["WARC-Record-ID"]),
         "target": None if target is None else re.sub(r"%([0-9A-F]{2})", lambda c: chr(int(c[1], 16)), target),
         "payload": payload,
-        "payload_bytes": int(fields["WARC-Payload-Length"]),
-        "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"),
+        "payload_bytes": size,
+        "payload_digest": sha1,
         "record_type": fields["WARC-Type"],
         "refers_to": None if refers is None else page_of(refers),
     }
@@ -190,7 +202,7 @@ def indexer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     """A mapper that writes one sorted run of captures as blocks with a directory, and returns the run's row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, out, name, at, total = Folder(folder), None, "", 0, 0
+        place, out, name, at, total, size = Folder(folder), None, "", 0, 0, 0
         directory: list[str] = []
         waiting: list[list[str]] = []
         first = None
@@ -210,6 +222,7 @@ def indexer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                     (name, out), first = place.new("index"), (surt, page)
                 waiting.append([escaped(surt), "" if page is None else str(page), file, str(start), str(length)])
                 total += 1
+                size += length
                 if len(waiting) == BLOCK_ROWS:
                     close_block()
         if out is not None:
@@ -219,7 +232,7 @@ def indexer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             listed, sparse = place.new("directory")
             sparse.write("\n".join(directory).encode("utf-8", "surrogatepass"))
             sparse.close()
-            yield columns_of([(*first, name, listed, total)], RUNS)
+            yield columns_of([(*first, name, listed, total, size)], RUNS)
 
     return run
 
@@ -338,5 +351,7 @@ class Archive:
         """Records of ``captures(page_id, url)``, one for each record of each distinct capture."""
         wanted = captures.select(F.col("url").cast("string").alias("url"), F.col("page_id").cast("long").alias("page_id"))
         wanted = wanted.mapInArrow(key_rows, "surt string, page_id long").distinct()
-        wanted = wanted.repartitionByRange("surt", "page_id").sortWithinPartitions("surt", "page_id")
+        # A key is small, but each one fetches a record: tasks follow the bytes to be read.
+        tasks = max(1, -(-sum(run[5] for run in self.runs) // READ_BYTES))
+        wanted = wanted.repartitionByRange(tasks, "surt", "page_id").sortWithinPartitions("surt", "page_id")
         return wanted.mapInArrow(reader(self.folder, self.runs), READ)

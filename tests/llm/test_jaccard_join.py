@@ -5,7 +5,8 @@ import re
 
 import pytest
 
-from duewatch.llm.jaccard_join import FREQUENT, jaccard_components, signatures
+from duewatch.llm.common import components
+from duewatch.llm.jaccard_join import FREQUENT, jaccard_components, joined_groups, signatures
 
 
 def shingles(text):
@@ -119,3 +120,14 @@ def test_linked_sets_share_a_signature():
                 order = sorted(tokens.tolist(), key=lambda t: (level[t], t))
                 found.append(set(signatures(np.array([level[t] for t in order]), np.array(order, np.uint64))[0].tolist()))
             assert found[0] & found[1]
+
+
+def test_later_links_join_components(spark):
+    node = lambda i: bytes([i]) * 16
+    links = [(1, 2), (2, 3), (5, 6), (7, 8), (8, 9)]
+    more = [(3, 6), (9, 11), (12, 13), (13, 14), (3, 5)]
+    frame = lambda pairs: spark.createDataFrame([(bytearray(node(a)), bytearray(node(b))) for a, b in pairs], "a binary, b binary")
+    groups = joined_groups(components(frame(links)), frame(more))
+    got = {(bytes(r.node)[0], bytes(r.component)[0]) for r in groups.collect()}
+    assert got == {(bytes(r.node)[0], bytes(r.component)[0]) for r in components(frame(links + more)).collect()}
+    assert groups.count() == len(got)

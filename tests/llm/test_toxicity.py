@@ -116,3 +116,12 @@ def test_labels_of_held_out_rows_are_not_used(spark, make):
     two = spark.createDataFrame([(k, k % 2 if zlib.crc32(str(k).encode()) % 3 != 1 else 1 - k % 2) for k in range(60)], kinds)
     scores = [sorted((r.doc_id, r.score) for r in T.toxicity_scores(make(rows), x).collect()) for x in (one, two)]
     assert scores[0] == scores[1]
+
+
+def test_a_fit_in_a_task_equals_one_here(spark, make):
+    rows = corpus(random.Random(5), 60)
+    docs = make([(k, text) for k, (text, _) in enumerate(rows)])
+    labels = spark.createDataFrame([(k, label) for k, (_, label) in enumerate(rows)], "doc_id long, label int")
+    here, there = T.fit_on(docs, labels), T.fit_in_task(docs, labels)
+    assert here.keys() == there.keys() and all(np.array_equal(here[k], there[k]) for k in here)
+    assert T.fit_in_task(docs, labels.limit(0)) is None and T.fit_in_task(docs, labels.where("label = 0")) is None

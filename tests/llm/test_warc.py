@@ -50,3 +50,28 @@ def test_round_trip_through_the_index(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], PAGES)
     assert Archive.write(df).read(df).collect() == []
+
+
+def test_a_changed_byte_is_noticed(spark, tmp_path):
+    raw = record(5, "http://a/", b"<p>payload</p>", digest(b"<p>payload</p>"), None)
+    at = raw.index(b"payload</p>")
+    with pytest.raises(ValueError, match="urn:page:5"):
+        parsed(raw[:at] + b"P" + raw[at + 1 :])
+    with pytest.raises(ValueError, match="urn:page:5"):
+        parsed(raw.replace(b"Content-Length: 7", b"Content-Length: 6"))
+    pages = spark.createDataFrame([(k, f"http://h/{k}", f"<p>{k}" * 50) for k in range(40)], "page_id long, url string, html string")
+    archive = Archive.write(pages, f"file://{tmp_path}/w")
+    assert len({r.payload_digest for r in archive.read(pages).collect()}) == 40
+    name = next(p for p in (tmp_path / "w").iterdir() if p.name.startswith("archive"))
+    data = bytearray(name.read_bytes())
+    data[len(data) // 2] ^= 1
+    name.write_bytes(data)
+    with pytest.raises(Exception, match="error|written"):
+        archive.read(pages).collect()
+
+
+def test_reading_tasks_follow_the_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("duewatch.llm.warc.READ_BYTES", 1000)
+    pages = spark.createDataFrame([(k, f"http://h/{k}", f"<p>{k}" * 50) for k in range(60)], "page_id long, url string, html string")
+    found = Archive.write(pages, f"file://{tmp_path}/w").read(pages)
+    assert found.rdd.getNumPartitions() > 5 and found.count() == 60
