@@ -7,21 +7,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import RAW_TO_SHORT, StudyConfig
 from ..functions import as_missing
+from .records import quoted_csv
 
 
 def read_complaints(spark: SparkSession, path, columns: dict[str, str] = RAW_TO_SHORT) -> DataFrame:
-    """The wanted columns of a quoted multi-line CSV as strings, under their short names.
+    """The wanted columns of quoted CSV files as strings, under their short names.
 
-    A quoted line break makes a file unsplittable, so parallelism comes from the number of files;
-    ingest once into a :class:`Workspace` and query Parquet from then on.
+    Quoted line breaks do not stop a file from being split: see :mod:`.records`.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(path)
-    )
+    raw = quoted_csv(spark, path)
     return raw.select(
         *[as_missing(F.col(f"`{name}`")).alias(short)
           for name, short in columns.items() if name in raw.columns]
