@@ -719,6 +719,30 @@ from cases s where year in ({years})"""
 sql("given_weight_scores", "sample", given_scores("2000", "complaint_id, year"))
 sql("given_model_store", "sample", given_scores("1999", "complaint_id"))
 
+
+def step(source: str) -> str:
+    """One level down: from the node that a row has reached to its child; a missing feature goes to the lower one."""
+    value = "case n.kind when 0 then s.month when 1 then s.quarter when 2 then s.year else s.part end"
+    return f"""select s.* exclude (node), 2 * s.node + 1 + coalesce(cast({value} > n.border as int), 0) as node
+      from {source} s join nodes n on n.tree = s.tree and n.node = s.node"""
+
+
+sql("given_tree_scores", "cases", f"""
+with nodes as (
+  select tree, node, (tree * 7 + node * 5) % 4 as kind,
+         case (tree * 7 + node * 5) % 4 when 0 then (tree * 3 + node * 5) % 11 + 1.5
+              when 1 then (tree + node * 2) % 3 + 1.5 when 2 then (tree + node) % 5 + 1995.5
+              else (tree * 7 + node * 3) % 16 + 0.5 end as border,
+         ((tree * 31 + node * 17) % 101 - 50) / 64.0 as value
+  from (select unnest(range(20)) as tree) t, (select unnest(range(15)) as node) n),
+rows as (
+  select complaint_id, month, quarter, year, case when complaint_id % 9 > 0 then complaint_id % 17 end as part,
+         tree, 0 as node
+  from cases, (select unnest(range(20)) as tree) t where year = 2000),
+one as ({step("rows")}), two as ({step("one")}), three as ({step("two")})
+select complaint_id, {r('cast(1 / (1 + exp(-(sum(n.value) - 1.0))) as float)', 5)} as score
+from three s join nodes n on n.tree = s.tree and n.node = s.node group by complaint_id""")
+
 sql("target_encoding", "sample", RATED + f"""
 , folded as (
   select feature, level, target, ('0x' || substr(md5(cast(complaint_id as varchar)), 1, 8))::bigint % 5 as own

@@ -21,6 +21,7 @@ from duewatch.operators import (
     sampling,
     text_model,
 )
+from duewatch.operators.forest import Forest
 from duewatch.session import stage, staged_path
 from duewatch.sources import (
     Workspace,
@@ -809,6 +810,35 @@ def given_model_store(spark, sf):
     return loaded.score(adapter.population(spark, sf, STUDY.validation_year), "complaint_id")
 
 
+def _given_forest(spark) -> Forest:
+    """Twenty trees of three levels, their nodes numbered level by level and filled by a rule."""
+    ids = spark.range(20).select(F.col("id").cast("int").alias("tree"))
+    nodes = ids.withColumn("node", F.explode(F.sequence(F.lit(0), F.lit(14))))
+    draw = lambda a, b, n: F.pmod(F.col("tree") * a + F.col("node") * b, F.lit(n))
+    names = F.array(*[F.lit(name) for name in ("month", "quarter", "year", "part")])
+    border = F.array(draw(3, 5, 11) + 1.5, draw(1, 2, 3) + 1.5, draw(1, 1, 5) + 1995.5, draw(7, 3, 16) + 0.5)
+    kind, inner = draw(7, 5, 4) + 1, F.col("node") < 7
+    filled = nodes.select(
+        "tree", "node",
+        F.when(inner, F.element_at(names, kind)).alias("feature"),
+        F.when(inner, F.element_at(border, kind)).cast("double").alias("border"),
+        F.when(inner, 2 * F.col("node") + 1).alias("low"),
+        F.when(inner, 2 * F.col("node") + 2).alias("high"),
+        F.when(~inner, (draw(31, 17, 101) - 50) / F.lit(64.0)).alias("value"),
+    )
+    return Forest(filled, -1.0)
+
+
+@query("given_tree_scores", digits=5)
+def given_tree_scores(spark, sf):
+    """A given forest written as a table of nodes, read back, compiled and scored; ``part`` is missing for some."""
+    path = staged_path(spark, "given-forest")
+    _given_forest(spark).save(path)
+    part = F.when(F.col("complaint_id") % 9 > 0, F.col("complaint_id") % 17)
+    cases = adapter.population(spark, sf, STUDY.test_year).withColumn("part", part)
+    return Forest.load(spark, path).score(cases, "complaint_id")
+
+
 @query("target_encoding", digits=9)
 def target_encoding(spark, sf):
     """Cross-fitted late rates per level, the categorical inputs of the trees."""

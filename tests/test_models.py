@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from duewatch.config import StudyConfig
 from duewatch.operators import checks, encoding, models, text_model
+from duewatch.operators.forest import NODES, Forest
 
 CFG = StudyConfig(categorical=("product", "company"), logistic_iterations=500, tree_count=5, text_min_df=2)
 
@@ -161,6 +162,32 @@ def test_trees_score_rank_and_reload(spark, train, tmp_path):
     assert a == sorted(r.score for r in again.score(unseen).collect()) and len(a) == train.count()
 
 
+def test_stored_trees_as_a_table_of_nodes(spark, train, tmp_path):
+    """The node table of a fitted and stored ensemble, written and read again, scores as the ensemble does."""
+    trees = models.train_gbt(train, CFG)
+    path = str(tmp_path / "trees")
+    trees.save(path)
+    features = [f"{c}_rate" for c in trees.columns] + [f"{n}_num" for n in trees.numeric]
+    Forest.of_stored_trees(spark, f"{path}/trees", features).save(f"{path}/table")
+    forest = Forest.load(spark, f"{path}/table")
+    rows = models._tree_features(train.withColumn("fold", F.lit(-1)), trees.rates, trees.prior, trees.columns, trees.numeric)
+    scored = forest.score(rows, "complaint_id", scale=2.0)
+    assert "Python" not in scored._jdf.queryExecution().executedPlan().toString()
+    got = dict(map(tuple, scored.collect()))
+    expected = dict(map(tuple, trees.score(train, "complaint_id").collect()))
+    assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-6 for k in got)
+
+
+def test_missing_features_go_to_the_lower_child_and_a_tree_may_be_a_leaf(spark):
+    nodes = [(0, 0, "x", 1.5, 1, 2, None), (0, 1, None, None, None, None, -1.0), (0, 2, None, None, None, None, 2.0),
+             (7, 0, None, None, None, None, 0.25)]
+    forest = Forest(spark.createDataFrame(nodes, NODES), 0.5)
+    rows = spark.createDataFrame([(1, 1.5), (2, 1.6), (3, None)], "id int, x double")
+    got = dict(map(tuple, rows.select("id", forest.margin().alias("margin")).collect()))
+    assert got == {1: -0.25, 2: 2.75, 3: -0.25}
+    assert Forest(spark.createDataFrame([], NODES), 0.5).score(rows, "id").where("score > 0.6").count() == 3
+
+
 def test_ablation_covers_variants_and_periods(spark, train):
     evaluated = train.withColumn("year", F.when(F.col("complaint_id") % 2 == 0, 2024).otherwise(2025))
     table = models.year_ablation(train, evaluated, CFG)
