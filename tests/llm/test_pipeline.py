@@ -14,7 +14,7 @@ SMALL = "/root/testdata/sf0.01"
 
 
 def test_all_are_registered():
-    assert {f"op{n}_" for n in range(1, 11)} == {name[: name.index("_") + 1] for name in QUERIES}
+    assert {f"op{n}_" for n in range(1, 14)} == {name[: name.index("_") + 1] for name in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
