@@ -755,6 +755,39 @@ from every e cross join folds f
 left join folded c on c.feature = e.feature and c.level = e.level and c.own <> f.fold
 group by e.feature, e.level, f.fold""")
 
+ORDERED = RATED + """, placed as (
+  select feature, target, complaint_id,
+         (coalesce(sum(target) over earlier, 0) + (select avg(target) from sample)) / (count(*) over earlier + 1) as rate
+  from cells
+  window earlier as (partition by feature, level order by md5('order-42-' || complaint_id), complaint_id
+                     rows between unbounded preceding and 1 preceding))
+"""
+
+sql("ordered_target_rates", "sample", ORDERED + f"""
+select complaint_id, feature, {r('rate')} as rate from placed""")
+
+sql("first_split_gains", "sample", ORDERED + f"""
+, known as (
+  select feature || '_rate' as feature, rate as value, target from placed
+  union all select 'year_num', year, target from sample
+  union all select 'month_num', month, target from sample
+  union all select 'quarter_num', quarter, target from sample),
+grid as (
+  select f.feature, k / 32.0 as border from (select distinct feature from known where feature like '%_rate') f,
+         (select unnest(range(1, 16)) as k)
+  union all select 'year_num', unnest([1994.5, 1996.5])
+  union all select 'month_num', k + 0.5 from (select unnest(range(1, 12)) as k)
+  union all select 'quarter_num', unnest([1.5, 2.5, 3.5])),
+start as (select (sum(target) + 0.5) / (count(*) + 1) as p, count(*) as n from sample),
+sums as (
+  select feature, border, sum(case when value <= border then p - target else 0 end) as low_g,
+         sum(case when value <= border then p * (1 - p) else 0 end) as low_h,
+         sum(p - target) as g, sum(p * (1 - p)) as h, any_value(n) as n
+  from known join grid using (feature), start group by feature, border)
+select feature, cast(border as double) as border,
+       {r('(low_g * low_g / (low_h + 3) + (g - low_g) * (g - low_g) / (h - low_h + 3) - g * g / (h + 3)) / n', 6)} as gain
+from sums""")
+
 sql("gbt_invariants", "cases", """
 select count(*) as scored, count(distinct complaint_id) as cases, count(*) as probabilities,
        cast(100 as double) as importance from cases where year = 1999""")

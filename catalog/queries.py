@@ -19,6 +19,7 @@ from duewatch.operators import (
     population as pop,
     ranking,
     sampling,
+    symmetric,
     text_model,
 )
 from duewatch.operators.forest import Forest
@@ -839,6 +840,50 @@ def given_tree_scores(spark, sf):
     return Forest.load(spark, path).score(cases, "complaint_id")
 
 
+@query("ordered_target_rates", digits=9)
+def ordered_target_rates(spark, sf):
+    """Late rate of each case's levels among the cases before it in the drawn order."""
+    ranked = symmetric.in_drawn_order(stored_sample(spark, sf), STUDY)
+    rates = symmetric.ordered_rates(ranked, STUDY.categorical, symmetric.sample_start(ranked)[0])
+    return rates.join(ranked.select("rank", "complaint_id"), "rank").select("complaint_id", "feature", "rate")
+
+
+@query("first_split_gains", digits=6)
+def first_split_gains(spark, sf):
+    """What every border of a given grid gains as the first split, as a share of the sample's rows."""
+    train = stored_sample(spark, sf)
+    grid = {f"{c}_rate": [k / 32 for k in range(1, 16)] for c in STUDY.categorical}
+    grid |= {"year_num": [1994.5, 1996.5], "month_num": [k + 0.5 for k in range(1, 12)], "quarter_num": [1.5, 2.5, 3.5]}
+    rows = train.agg(F.count(F.lit(1)).alias("rows"))
+    gains = symmetric.first_gains(train, STUDY, {name: grid[name] for name in symmetric.feature_names(STUDY)})
+    return gains.join(F.broadcast(rows)).select("feature", "border", (F.col("gain") / F.col("rows")).alias("gain"))
+
+
+_symmetric_models: dict[tuple[str, str], str] = {}
+
+
+def _symmetric_model(spark, sf) -> symmetric.SymmetricTrees:
+    """All trees of the study, fitted once in a session and read back from their store."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _symmetric_models:
+        path = staged_path(spark, "symmetric")
+        symmetric.train_symmetric(stored_sample(spark, sf), STUDY).save(path)
+        _symmetric_models[key] = path
+    return symmetric.SymmetricTrees.load(spark, _symmetric_models[key], STUDY)
+
+
+@query("symmetric_tree_importance")
+def symmetric_tree_importance(spark, sf):
+    return _symmetric_model(spark, sf).importance()
+
+
+@query("symmetric_tree_scores")
+def symmetric_tree_scores(spark, sf):
+    """Cases of the test year scored by symmetric trees; ``tests/test_symmetric.py`` has the plain fit."""
+    cases = adapter.population(spark, sf, STUDY.test_year)
+    return _symmetric_model(spark, sf).score(cases, "complaint_id", "year")
+
+
 @query("target_encoding", digits=9)
 def target_encoding(spark, sf):
     """Cross-fitted late rates per level, the categorical inputs of the trees."""
