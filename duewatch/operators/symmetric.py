@@ -338,7 +338,8 @@ def train_symmetric(train: DataFrame, cfg: StudyConfig, borders: dict[str, list[
         features = stage(training_features(train, cfg, prior), "features")
         borders = {name: (borders or quantile_borders(features, names))[name] for name in names}
         at = list(borders.values())
-        rows = stage(binned(features, borders, start), "margins").persist()
+        tasks = max(1, math.ceil(features.count() / cfg.fit_rows_per_task))
+        rows = stage(binned(features, borders, start).repartition(tasks), "margins").persist()
         grown: list[tuple] = []
         for number in range(cfg.tree_count):
             splits, won, values = grow(rows, grown, [len(b) for b in at], cfg)

@@ -18,6 +18,7 @@ from ..operators import (
     population as pop,
     ranking,
     sampling,
+    symmetric,
     text_model,
 )
 from ..session import staging
@@ -61,13 +62,13 @@ def prepare_sample(space: Workspace, cfg: StudyConfig) -> None:
 
 
 def train_models(space: Workspace, cfg: StudyConfig) -> None:
-    """Structured logistic model, boosted trees, and the text model when there is enough text."""
+    """Structured logistic model, boosted symmetric trees, and the text model when there is enough text."""
     sample = space.sample()
     logistic = models.train_logreg(sample, cfg)
     logistic.save(space.path(f"models/{LOGISTIC}"))
     space.write_result(models.logreg_coefficients(logistic), "table17_logreg_coefficients")
 
-    trees = models.train_gbt(sample, cfg)
+    trees = symmetric.train_symmetric(sample, cfg)
     trees.save(space.path(f"models/{TREES}"))
     space.write_result(trees.importance(), "tree_feature_importance")
 
@@ -82,7 +83,7 @@ def _score(space: Workspace, name: str, year: int, cfg: StudyConfig) -> DataFram
     path = space.path(f"models/{name}")
     if not models.model_exists(space.spark, path):
         return None
-    kind = {LOGISTIC: models.LinearModel, TREES: models.TreeModel}[name]
+    kind = {LOGISTIC: models.LinearModel, TREES: symmetric.SymmetricTrees}[name]
     scores = kind.load(space.spark, path, cfg).score(space.population(year), "complaint_id", "target")
     space.write_scores(scores, name, year)
     return space.scores(name, year)
