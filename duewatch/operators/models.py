@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.ml.classification import (
@@ -26,9 +27,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..config import StudyConfig
 from ..functions import fill_missing_levels, row_count
 from ..session import stage
+from . import newton
 from .encoding import Encoder, fit_scaling, join_levels, scaled, stack_categories
 from .metrics import evaluate
-from .population import year_variant
 
 DIRECTIONS = ("increases untimely risk", "decreases untimely risk")
 
@@ -132,7 +133,6 @@ def train_logreg(
     numeric: Sequence[str] | None = None,
 ) -> LinearModel:
     """Fit on the sample. A given encoder keeps its levels; the scaling is always refitted."""
-    spark = train.sparkSession
     numeric = tuple(cfg.numeric if numeric is None else numeric)
     if encoder is None:
         encoder = Encoder.fit(train, cfg)
@@ -143,6 +143,14 @@ def train_logreg(
     fitted = fit_logistic(vectors, train.count(), cfg)
 
     values = fitted.coefficients.toArray()
+    return _linear(encoder, {n: scaling[n] for n in numeric}, values, float(fitted.intercept))
+
+
+def _linear(
+    encoder: Encoder, scaling: dict[str, tuple[float, float]], values: np.ndarray, intercept: float
+) -> LinearModel:
+    """The model of a weight per encoded column, those of the scaled numbers last."""
+    spark = encoder.levels.sparkSession
     by_position = spark.createDataFrame(
         pd.DataFrame({"position": range(len(values)), "coefficient": values}), "position bigint, coefficient double"
     )
@@ -151,14 +159,38 @@ def train_logreg(
         "weights",
         partition_by=("feature",),
     )
-    named = encoder.names(numeric).join(by_position, "position").select("feature", "coefficient")
-    return LinearModel(
-        encoder.columns,
-        weights,
-        {n: (*scaling[n], float(w)) for n, w in zip(numeric, values[encoder.width :])},
-        float(fitted.intercept),
-        named,
-    )
+    named = encoder.names(list(scaling)).join(by_position, "position").select("feature", "coefficient")
+    numbers = {n: (*scaling[n], float(w)) for n, w in zip(scaling, values[encoder.width :])}
+    return LinearModel(encoder.columns, weights, numbers, intercept, named)
+
+
+def train_exact(
+    train: DataFrame, cfg: StudyConfig, variants: Sequence[str] = ("baseline",), encoder: Encoder | None = None
+) -> dict[str, LinearModel]:
+    """The logistic model of each variant of the year, to the last digits, all from the same scans.
+
+    ``baseline`` has the year, ``dropped`` has not, ``capped`` has the year up to the last one of training.
+    """
+    encoder = encoder or Encoder.fit(train, cfg)
+    rows = train.withColumn("_capped", F.least("year", F.lit(cfg.last_train_year)))
+    fitted = fit_scaling(rows, [*cfg.numeric, "_capped"])
+    columns = {
+        v: {n: "_capped" if (v, n) == ("capped", "year") else n for n in cfg.numeric if (v, n) != ("dropped", "year")}
+        for v in variants
+    }
+    solutions = newton.fit(
+        rows, encoder, {c: (c, *fitted[c]) for c in fitted}, [list(columns[v].values()) for v in variants],
+        cfg.logistic_c, cfg.fit_rows_per_task,
+    )
+    return {
+        v: _linear(
+            encoder,
+            {n: fitted[c] for n, c in columns[v].items()},
+            np.concatenate([solution.weights, [solution.numbers[c] for c in columns[v].values()]]),
+            solution.intercept,
+        )
+        for v, solution in zip(variants, solutions)
+    }
 
 
 def logreg_coefficients(model: LinearModel) -> DataFrame:
@@ -287,17 +319,15 @@ VARIANTS = ("baseline", "dropped", "capped")
 def year_ablation(
     train: DataFrame, evaluated: DataFrame, cfg: StudyConfig, variants: Sequence[str] = VARIANTS
 ) -> DataFrame:
-    """Refit with the year kept, dropped and capped on one encoder; metrics per variant and period.
+    """Fits with the year kept, dropped and capped on one encoder, side by side; metrics per variant and period.
 
     The evaluated rows are scored by all variants in one pass: one weight table with a column per
     variant, one join per category.
     """
     encoder = Encoder.fit(train, cfg)
-    weights, fitted = encoder.levels.select("feature", "level"), {}
-    for variant in variants:
-        numeric = [n for n in cfg.numeric if not (variant == "dropped" and n == "year")]
-        fitted[variant] = train_logreg(year_variant(train, variant, cfg), cfg, encoder, numeric)
-        own = fitted[variant].weights.select("feature", "level", F.col("weight").alias(variant))
+    weights, fitted = encoder.levels.select("feature", "level"), train_exact(train, cfg, variants, encoder)
+    for variant, model in fitted.items():
+        own = model.weights.select("feature", "level", F.col("weight").alias(variant))
         weights = weights.join(own, ["feature", "level"])
     weights = weights.select("feature", "level", F.struct(*variants).alias("weights"))
     weights = stage(weights, "variant-weights", partition_by=("feature",))

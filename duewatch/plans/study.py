@@ -64,7 +64,7 @@ def prepare_sample(space: Workspace, cfg: StudyConfig) -> None:
 def train_models(space: Workspace, cfg: StudyConfig) -> None:
     """Structured logistic model, boosted symmetric trees, and the text model when there is enough text."""
     sample = space.sample()
-    logistic = models.train_logreg(sample, cfg)
+    logistic = models.train_exact(sample, cfg)["baseline"]
     logistic.save(space.path(f"models/{LOGISTIC}"))
     space.write_result(models.logreg_coefficients(logistic), "table17_logreg_coefficients")
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -305,3 +306,31 @@ def test_text_without_known_terms_scores_the_intercept(spark):
     docs = spark.createDataFrame([(1, "nothing known"), (2, "late")], "complaint_id int, narrative string")
     got = {r.complaint_id: r.score for r in model.score(docs, "complaint_id").collect()}
     assert got == pytest.approx({1: 1 / (1 + math.e), 2: 1 / (1 + math.exp(-1.0))})
+
+
+def test_exact_fits_equal_newton_side_by_side(train):
+    """Each variant against its own dense solution; capping changes nothing where no year exceeds the cap."""
+    cfg = replace(CFG, train_years=(2020, 2021), fit_rows_per_task=97)
+    fitted = models.train_exact(train, cfg, models.VARIANTS)
+    for variant, model in fitted.items():
+        own = train.withColumn("year", F.least("year", F.lit(2021))) if variant == "capped" else train
+        x, y = dense(own)
+        if variant == "dropped":
+            x = np.delete(x, x.shape[1] - len(CFG.numeric) + CFG.numeric.index("year"), axis=1)
+        w = newton(x, y)
+        named = {r.feature: r.coefficient for r in model.coefficients.collect()}
+        assert len(named) == x.shape[1] and ("num__year" in named) == (variant != "dropped")
+        assert model.intercept == pytest.approx(w[-1], abs=1e-7)
+        margin = {r.complaint_id: r.margin for r in model.margin(own).collect()}
+        want = np.hstack([x, np.ones((len(x), 1))]) @ w
+        assert max(abs(margin[r.complaint_id] - m) for r, m in zip(train.collect(), want)) < 1e-7
+        assert sorted(named.values()) == pytest.approx(sorted(w[:-1]), abs=1e-7)
+
+
+def test_exact_fit_on_one_class_and_unseen_levels(train):
+    """A constant label drives the intercept out until no slope is left; levels without a column count nothing."""
+    encoder = encoding.Encoder.fit(train.where("company <> 'mid'"), CFG)
+    model = models.train_exact(train, CFG, encoder=encoder)["baseline"]
+    assert all(math.isfinite(r.margin) for r in model.margin(train).collect())
+    late = models.train_exact(train.where("target = 1"), CFG)["baseline"]
+    assert min(r.score for r in late.score(train).collect()) > 0.999
