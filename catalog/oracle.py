@@ -795,6 +795,36 @@ select count(*) as scored, count(distinct complaint_id) as cases, count(*) as pr
 sql("ablation_invariants", "", """
 select unnest([1999, 2000]) as period, cast(3 as bigint) as variants, true as pr_auc_agrees, true as roc_auc_agrees""")
 
+sql("logreg_slopes", "sample", LEVELS + """
+select distinct 'cat__' || feature || '_' || encoded as feature, cast(0 as double) as slope from levels
+union all select unnest(['num__year', 'num__month', 'num__quarter', '(intercept)']), cast(0 as double)""")
+
+sql("given_coefficient_table", "sample", WEIGHTS + f"""
+, named as (
+  select 'cat__' || feature || '_' || level as feature, weight as coefficient from weights
+  union all select unnest(['num__year', 'num__month', 'num__quarter']), unnest([0.25, -0.125, 0.0625]))
+select feature, {r('coefficient', 6)} as coefficient, {r('abs(coefficient)', 6)} as abs_coef,
+       case when coefficient > 0 then 'increases untimely risk' else 'decreases untimely risk' end as direction,
+       row_number() over (order by abs(coefficient) desc, feature) as place
+from named""")
+
+sql("given_ablation_shift", "pair", f"""
+with stacked as (
+  select year, target, 'baseline' as variant, milli as m from pair
+  union all select year, target, 'dropped', milli_b from pair
+  union all select year, target, 'capped', least(milli, milli_b) from pair),
+measured as (
+  select variant, year, sum(case when target = 1 and m >= 600 then 1 else 0 end) / cast(sum(target) as double) as recall,
+         avg(cast(cast(m / cast(1000 as double) as float) as double)) as mean_score
+  from stacked group by variant, year),
+wide as (
+  select variant, max(recall) filter (year = 1999) as early, max(recall) filter (year = 2000) as late,
+         max(mean_score) filter (year = 1999) as low, max(mean_score) filter (year = 2000) as high
+  from measured group by variant)
+select variant, {r('early')} as recall_validation, {r('late')} as recall_test, {r('early - late')} as recall_fall,
+       {r('high - low')} as mean_score_shift
+from wide""")
+
 sql("logreg_gradient", "sample", LEVELS + """
 select distinct 'cat__' || feature || '_' || encoded as feature, cast(0 as double) as slope from levels""")
 
@@ -839,6 +869,14 @@ weighed as (select complaint_id, term, (1 + ln(tf)) * idf as w from tf join voca
 norms as (select complaint_id, sqrt(sum(w * w)) as norm from weighed group by complaint_id)
 select complaint_id, term, {r('w / norm', 6)} as weight from weighed join norms using (complaint_id)""")
 
+sql("given_text_scores", "sample", f"""
+with given as (with {tokenised("select complaint_id, narrative from sample where has_narrative")}
+  select term, idf, (len(term) * 7 % 11 - 5) / 8.0 as coefficient from vocab),
+scored as (with {tokenised("select complaint_id, narrative from cases where has_narrative and year = 1999")}
+  select words.complaint_id, sum((1 + ln(tf)) * idf * coefficient) / sqrt(sum(((1 + ln(tf)) * idf) ** 2)) as margin
+  from words left join (tf join given using (term)) using (complaint_id) group by words.complaint_id)
+select complaint_id, {r('1 / (1 + exp(0.75 - coalesce(margin, 0)))', 6)} as score from scored""")
+
 # --------------------------------------------------------------------------- checks
 
 

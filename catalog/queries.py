@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -933,6 +934,56 @@ def logreg_gradient(spark, sf):
     return slope.select("feature", F.abs(F.round((F.col("loss") + F.col("coefficient") / STUDY.logistic_c) / train.count(), 3)).alias("slope"))
 
 
+@query("logreg_slopes", digits=6)
+def logreg_slopes(spark, sf):
+    """Slopes left at an exact fit: every encoded column, the numbers and the intercept, summed over all rows."""
+    train = stored_sample(spark, sf)
+    encoder = encoding.Encoder.fit(train, STUDY)
+    model = models.train_exact(train, STUDY, encoder=encoder)["baseline"]
+    gap = models.sigmoid(F.col("margin")) - F.col("target")
+    rows = fill_missing_levels(model.margin(train), STUDY.categorical).withColumn("gap", gap)
+    numbers = {f"num__{n}": F.sum(F.col("gap") * encoding.scaled(n, m, std)) for n, (m, std, _) in model.numbers.items()}
+    cells = [F.struct(F.lit(x).alias("feature"), F.col(x).alias("loss")) for x in (*numbers, "(intercept)")]
+    whole = rows.agg(*(total.alias(x) for x, total in numbers.items()), F.sum("gap").alias("(intercept)")).select(F.inline(F.array(*cells)))
+    names = encoder.levels.select("feature", "level", F.concat(F.lit("cat__"), "feature", F.lit("_"), "encoded").alias("name"))
+    by_level = encoding.stack_categories(rows, STUDY.categorical, "gap").groupBy("feature", "level").agg(F.sum("gap").alias("gap"))
+    loss = by_level.join(names, ["feature", "level"]).groupBy(F.col("name").alias("feature")).agg(F.sum("gap").alias("loss"))
+    slope = STUDY.logistic_c * F.col("loss") + F.coalesce("coefficient", F.lit(0.0))
+    return loss.unionByName(whole).join(model.coefficients, "feature", "left").select("feature", F.abs(F.round(slope, 6)).alias("slope"))
+
+
+@query("given_coefficient_table", digits=6)
+def given_coefficient_table(spark, sf):
+    """The published coefficient table of a given model, with the place of every row in it."""
+    model = _given_model(spark, sf)
+    named = model.weights.select(F.concat(F.lit("cat__"), "feature", F.lit("_"), "level").alias("feature"), F.col("weight").alias("coefficient"))
+    numbers = [(f"num__{n}", w) for n, (*_, w) in model.numbers.items()]
+    numbered = named.unionByName(spark.createDataFrame(numbers, "feature string, coefficient double"))
+    table = models.logreg_coefficients(replace(model, coefficients=numbered)).withColumn("at", F.monotonically_increasing_id())
+    return ranking.global_rank(table, F.col("at")).withColumnRenamed("rank", "place").drop("at", "rank_rows")
+
+
+@query("given_ablation_shift")
+def given_ablation_shift(spark, sf):
+    """The shift table over three given scores of every case in place of the refits."""
+    scored = adapter.scored(spark, sf, STUDY.validation_year, STUDY.test_year).withColumn("low", F.least("score", "score_b"))
+    given = [F.struct(F.lit(v).alias("variant"), F.col(c).alias("score")) for v, c in zip(models.VARIANTS, ("score", "score_b", "low"))]
+    stacked = scored.select(F.col("year").alias("period"), "target", F.inline(F.array(*given)))
+    measured = metrics.evaluate(stacked, STUDY.decision_threshold, ["variant", "period"])
+    return models.ablation_shift(measured, STUDY)
+
+
+@query("given_text_scores", digits=6)
+def given_text_scores(spark, sf):
+    """Texts of the validation year by a stored text model whose term weights follow from the terms by a rule."""
+    index = text_model.TermIndex.fit(_train_text(spark, sf), STUDY)
+    weights = tuple((len(term) * 7 % 11 - 5) / 8 for term in index.terms)
+    path = staged_path(spark, "given-text")
+    text_model.TextModel(index, weights, -0.75).save(path)
+    texts = adapter.narratives(spark, sf, STUDY.validation_year, STUDY.validation_year)
+    return text_model.TextModel.load(spark, path).score(texts, "complaint_id")
+
+
 @query("model_store")
 def model_store(spark, sf):
     """Score with a stored model read back from its tables."""
