@@ -6,7 +6,8 @@ by band, a band being 65,536 positions, so a level that holds a third of all row
 
 *Symmetric trees.* All nodes of a level share one split, so a tree is a few splits and one value for each pattern of answers.
 The split comes from one aggregate per level: sums of gradients and curvatures by (leaf, feature, bin), a table of fixed
-size. Gradients are summed as whole numbers, which makes a fit independent of partitions and of the order of rows. Margins
+size. Gradients are summed as whole numbers, which, for given
+borders, makes a fit independent of partitions and of the order of rows. Margins
 are written anew every few trees; a lost executor reads them again.
 
 Missing levels are a level of their own, unseen levels get the mean rate of the sample, missing numbers go below every border.
@@ -106,7 +107,7 @@ class Tree:
 
 
 def quantile_borders(rows: DataFrame, names: Sequence[str], most: int = MOST_BORDERS) -> dict[str, list[float]]:
-    """At most ``most`` borders for each feature, at its quantiles."""
+    """At most ``most`` borders for each feature, near its quantiles; beyond 100,000 rows these are approximate."""
     shares = [k / (most + 1) for k in range(1, most + 1)]
     found = rows.agg(*(F.percentile_approx(name, shares, 100_000).alias(name) for name in names)).first()
     return {name: sorted(set(found[name] or ())) for name in names}
