@@ -2,9 +2,8 @@
 
 A word enters as its hashed word embedding next to the mean of its hashed character n-gram embeddings, so inflections of
 a known root are read too. Both tables start from the label odds in the training rows and are trained with the network,
-by back-propagation in numpy. A text is scored in overlapping windows of ``WINDOW`` words, ``STRIDE`` words apart and the last
-one at its end, which cover every word (not in every possible window: see the README for what that would cost); its score
-is the highest of its windows. While training, the window of a toxic text that scores highest carries the label,
+by back-propagation in numpy. Gates and states bend by ``x / (1 + |x|)``, a fifth of the time of the hyperbolic tangent. A text is scored in all overlapping windows of ``WINDOW`` words, one from each word on; its
+score is the highest of its windows. While training, the window of a toxic text that scores highest carries the label,
 and clean texts give random windows, the ones that score highest by mistake, and windows of one word of theirs repeated.
 
 The fit uses at most ``FIT_TOXIC`` toxic and ``FIT_CLEAN`` clean labelled ids, taken in the order of a hash of the id,
@@ -26,8 +25,7 @@ from .shingles import mix
 
 #: The bound of the labelled sample that the network is fitted on.
 FIT_TOXIC, FIT_CLEAN = 700, 2500
-WINDOW = 64
-STRIDE = 32
+WINDOW = 16
 WORD_ROWS, GRAM_ROWS = 1 << 16, 1 << 18
 WORD_DIM, GRAM_DIM, HIDDEN = 4, 4, 8
 GRAMS = (3, 4, 5)
@@ -37,7 +35,7 @@ ECHOES = 3000
 #: Words whose inputs a task keeps; only bounds its memory.
 KEPT_WORDS = 250_000
 #: Windows read at a time; only bounds memory.
-AT_ONCE = 1024
+AT_ONCE = 4096
 EDGE = ".,;:!?\"'()[]{}|*#$%&<>=+-_/\\~`"
 
 
@@ -136,30 +134,30 @@ class Inputs:
         return out
 
 
-def windows(length: int) -> np.ndarray:
-    """Starts of the overlapping windows that cover a text; the last one ends with it."""
-    if length <= WINDOW:
-        return np.zeros(min(length, 1), np.int64)
-    return np.append(np.arange(0, length - WINDOW, STRIDE), length - WINDOW)
-
-
-def window_table(numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of every window (0: none) and the text that each belongs to."""
-    owner, rows = [], []
-    for k, found in enumerate(numbers):
-        start = windows(len(found))
-        if len(found) >= WINDOW:
-            rows.append(np.lib.stride_tricks.sliding_window_view(found, WINDOW)[start])
-        elif len(found):
-            rows.append(np.pad(found, (0, WINDOW - len(found)))[None])
-        owner.append(np.full(len(start), k))
-    return (np.concatenate(rows) if rows else np.zeros((0, WINDOW), np.int32)), np.concatenate(owner or [np.zeros(0, int)])
+def window_table(numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers of all texts in one row, each filled up to a window (0: none); starts of all windows of a text, and the text."""
+    flat = [np.pad(x, (0, max(0, WINDOW - len(x)))) for x in numbers if len(x)]
+    flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+    length = np.array([len(x) for x in numbers], np.int64)
+    held = np.where(length > 0, np.maximum(length, WINDOW), 0)
+    count = np.where(length > 0, held - WINDOW + 1, 0)
+    owner = np.repeat(np.arange(len(numbers)), count)
+    starts = np.arange(count.sum()) + np.repeat(np.cumsum(held) - held - np.cumsum(count) + count, count)
+    return flat, starts, owner
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return np.tanh(x * 0.5) * 0.5 + 0.5
 
 
+def bend(x: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
+    """``x / (1 + |x|)``, in place; its slope is ``(1 - |bend(x)|) ** 2``."""
+    room = np.abs(x, out=room)
+    room += 1
+    x /= room
+    return x
+
+
 def read(model: dict[str, np.ndarray], x: np.ndarray, real: np.ndarray, keep: list | None = None) -> np.ndarray:
     """Logits of windows. ``x``: (place, window, input); ``real``: (place, window). ``keep`` gets what training needs."""
     places, count = real.shape
@@ -171,14 +169,13 @@ def read(model: dict[str, np.ndarray], x: np.ndarray, real: np.ndarray, keep: li
         for t in range(places) if way == 0 else range(places - 1, -1, -1):
             hu = h @ u
             gates = pre[t, :, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN]
-            gates *= 0.5
-            np.tanh(gates, out=gates)
+            bend(gates)
             gates *= 0.5
             gates += 0.5
             r, z = gates[:, :HIDDEN], gates[:, HIDDEN:]
             n = r * hu[:, 2 * HIDDEN :]
             n += pre[t, :, 2 * HIDDEN :]
-            np.tanh(n, out=n)
+            bend(n)
             new = h - n
             new *= z
             new += n
@@ -213,9 +210,9 @@ def slopes(model: dict[str, np.ndarray], x: np.ndarray, real: np.ndarray, label:
     for way, t, h, r, z, n, hn in reversed(keep):
         u = model["u"][way]
         dh = d_states[t, :, way * HIDDEN : (way + 1) * HIDDEN] + d_h.get(way, 0)
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (h - n) * z * (1 - z)
-        dr = dn * hn * r * (1 - r)
+        dn = dh * (1 - z) * (1 - np.abs(n)) ** 2
+        dz = dh * (h - n) * 0.5 * (1 - np.abs(2 * z - 1)) ** 2
+        dr = dn * hn * 0.5 * (1 - np.abs(2 * r - 1)) ** 2
         d_pre = np.concatenate([dr, dz, dn], axis=1)
         d_hu = np.concatenate([dr, dz, dn * r], axis=1)
         d_h[way] = dh * z + d_hu @ u.T
@@ -290,25 +287,27 @@ def fit(texts: list[str | None], label: np.ndarray, seed: int = 7) -> dict[str,
         out[words == 0] = 0
         return out
 
-    table, owner = window_table(numbers)
+    flat, starts, owner = window_table(numbers)
     # Some texts repeat one word; whatever clean texts say stays clean when repeated.
     said = np.unique(np.concatenate([found for found, kind in zip(distinct, label, strict=True) if kind == 0]))
     echo = np.repeat(rng.choice(said, min(len(said), ECHOES), replace=False)[:, None], WINDOW, axis=1)
-    table = np.concatenate([table, echo]).astype(np.int32)
+    starts = np.concatenate([starts, len(flat) + np.arange(len(echo)) * WINDOW])
+    flat = np.concatenate([flat, echo.ravel()]).astype(np.int32)
     owner = np.concatenate([owner, len(label) + np.arange(len(echo))])
     toxic_window = np.concatenate([label, np.zeros(len(echo), np.int64)])[owner] == 1
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in model.items() if k not in ("word", "gram")}
     squares = {k: np.full(len(model[k]), 1e-6, np.float32) for k in ("word", "gram")}
     steps = 0
     for _ in range(ROUNDS):
-        score = read_all(model, vectors(np.arange(len(known) + 1)), table)
+        score = read_all(model, vectors(np.arange(len(known) + 1)), flat)[starts]
         order = np.lexsort((-score, owner))
         first = np.ones(len(order), bool)
         first[1:] = owner[order][1:] != owner[order][:-1]
         best = order[first]
         positive = best[toxic_window[best]]
         clean = np.flatnonzero(~toxic_window)
-        hard = clean[np.argsort(-score[clean], kind="stable")[: 2 * len(positive)]]
+        hard = best[~toxic_window[best]]
+        hard = hard[np.argsort(-score[hard], kind="stable")[: 2 * len(positive)]]
         random = rng.choice(clean, min(len(clean), 4 * len(positive) + 64), replace=False)
         chosen = np.unique(np.concatenate([hard, random]))
         chosen = np.concatenate([positive, chosen])
@@ -316,9 +315,10 @@ def fit(texts: list[str | None], label: np.ndarray, seed: int = 7) -> dict[str,
             rng.shuffle(chosen)
             for low in range(0, len(chosen), BATCH):
                 part = chosen[low : low + BATCH]
-                used, place = np.unique(table[part], return_inverse=True)
+                read_words = flat[starts[part, None] + np.arange(WINDOW)]
+                used, place = np.unique(read_words, return_inverse=True)
                 x = vectors(used)[place.reshape(len(part), WINDOW)].transpose(1, 0, 2).copy()
-                real = table[part].T > 0
+                real = read_words.T > 0
                 d, d_x = slopes(model, x, real, toxic_window[part].astype(np.float32))
                 steps += 1
                 for k, g in d.items():
@@ -340,12 +340,52 @@ def fit(texts: list[str | None], label: np.ndarray, seed: int = 7) -> dict[str,
     return model
 
 
-def read_all(model: dict[str, np.ndarray], vectors: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Logits of all windows."""
-    out = np.empty(len(table), np.float32)
-    for low in range(0, len(table), AT_ONCE):
-        part = np.ascontiguousarray(table[low : low + AT_ONCE].T)
-        out[low : low + AT_ONCE] = read(model, vectors[part], part > 0)
+def read_all(model: dict[str, np.ndarray], vectors: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Logits of the windows that start at each place of a row of words, as :func:`read` gives them.
+
+    Windows lie along the last axis, so a step over all of them reads one slice of the words' inputs. A state is only kept
+    as its share of the attention and of the output. The gates' own halves move into the weights and the last step.
+    """
+    half = np.repeat(np.float32([1, 1, 0.5]), HIDDEN)[:, None]
+    # Below the gates' rows: what a state adds to the attention and to the output.
+    ends = [np.stack([model["attend"], model["out"]])[:, way * HIDDEN : (way + 1) * HIDDEN] for way in range(2)]
+    turn = [np.concatenate([model["u"][way].T * half, ends[way]]).astype(np.float32) for way in range(2)]
+    out = np.empty(max(0, len(flat) - WINDOW + 1), np.float32)
+    for low in range(0, len(out), AT_ONCE):
+        words = flat[low : low + AT_ONCE + WINDOW - 1]
+        count = len(words) - WINDOW + 1
+        x = vectors[words]
+        told = np.zeros((WINDOW, 2, count), np.float32)
+        hu, new = np.empty((3 * HIDDEN + 2, count), np.float32), np.empty((HIDDEN, count), np.float32)
+        gates, n = np.empty((2 * HIDDEN, count), np.float32), np.empty((HIDDEN, count), np.float32)
+        room = np.empty_like(gates)
+        for way in range(2):
+            pre = np.ascontiguousarray((x @ model["w"][way] + model["b"][way]).T)
+            h = np.zeros((HIDDEN, count), np.float32)
+            last = None
+            for t in range(WINDOW) if way == 0 else range(WINDOW - 1, -1, -1):
+                np.matmul(turn[way], h, out=hu)
+                if last is not None:
+                    told[last] += hu[3 * HIDDEN :]
+                here = pre[:, t : t + count]
+                np.add(hu[: 2 * HIDDEN], here[: 2 * HIDDEN], out=gates)
+                bend(gates, room)
+                hn = hu[2 * HIDDEN : 3 * HIDDEN]
+                np.multiply(gates[:HIDDEN], hn, out=n)
+                n += hn
+                n += here[2 * HIDDEN :]
+                bend(n, room[:HIDDEN])
+                np.subtract(h, n, out=new)
+                new *= gates[HIDDEN:]
+                h += n
+                h += new
+                h *= 0.5
+                last = t
+            told[last] += ends[way] @ h
+        weight = told[:, 0]
+        weight[np.lib.stride_tricks.sliding_window_view(words, count) == 0] = -1e9
+        weight = np.exp(weight - weight.max(axis=0))
+        out[low : low + count] = (weight * told[:, 1]).sum(axis=0) / weight.sum(axis=0) + model["bias"][0]
     return out
 
 
@@ -354,8 +394,8 @@ def scores(model: dict[str, np.ndarray] | None, inputs: Inputs | None, texts: li
     if model is None:
         return np.zeros(len(texts))
     best = np.full(len(texts), -np.inf)
-    table, owner = window_table(inputs.numbers(texts))
-    np.maximum.at(best, owner, read_all(model, inputs.vectors, table))
+    flat, starts, owner = window_table(inputs.numbers(texts))
+    np.maximum.at(best, owner, read_all(model, inputs.vectors, flat)[starts])
     best[np.isinf(best)] = model["bias"][0]
     return 1 / (1 + np.exp(-np.clip(best, -500, 500)))
 

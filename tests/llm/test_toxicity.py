@@ -42,20 +42,57 @@ def test_a_toxic_word_anywhere_in_a_long_text_is_seen(model):
         assert T.scores(model, T.Inputs(model), [text])[0] >= 0.7
 
 
-def test_windows_cover_every_word():
-    for n in (0, 1, 63, 64, 65, 112, 113, 1000):
-        start = T.windows(n)
-        seen = np.zeros(n, bool)
-        for s in start:
-            seen[s : s + T.WINDOW] = True
-        assert seen.all() and (len(start) == 0) == (n == 0) and (start + T.WINDOW <= max(n, T.WINDOW)).all()
-
-
-def test_any_33_words_share_a_window():
-    for length in (33, 64, 65, 97, 128, 200, 333):
-        starts = T.windows(length)
-        for at in range(length - 32):
-            assert any(x <= at and at + 33 <= x + T.WINDOW for x in starts.tolist())
+def test_every_overlapping_window_is_listed():
+    for sizes in ([], [0], [1], [15, 16, 17], [0, 40, 3, 0, 16, 1000, 1]):
+        texts = [np.arange(1, n + 1, dtype=np.int32) + 10_000 * k for k, n in enumerate(sizes)]
+        flat, starts, owner = T.window_table(texts)
+        found = [(k, flat[s : s + T.WINDOW].tolist()) for s, k in zip(starts, owner, strict=True)]
+        wanted = []
+        for k, words in enumerate(texts):
+            padded = words.tolist() + [0] * (T.WINDOW - len(words))
+            wanted += [(k, padded[s : s + T.WINDOW]) for s in range(len(padded) - T.WINDOW + 1) if len(words)]
+        assert found == wanted
+
+
+def test_scores_equal_a_plain_reading_of_every_window(model):
+    """One window after the other, word after word, by the equations of the network."""
+    rng = random.Random(8)
+    texts = [t for t, _ in corpus(rng, 12)] + ["", "stenk", "lo mi", " ".join(["ka"] * 16), " ".join(["mi"] * 17)]
+
+    def soft(x):
+        return x / (1 + np.abs(x))
+
+    def plain(words):
+        x = [T.Inputs(model).vectors_of([w])[0] if w else np.zeros(T.WORD_DIM + T.GRAM_DIM) for w in words]
+        states = [[], []]
+        for way in range(2):
+            h = np.zeros(T.HIDDEN)
+            for t in range(T.WINDOW) if way == 0 else reversed(range(T.WINDOW)):
+                r0, z0, n0 = np.split(x[t] @ model["w"][way] + model["b"][way], 3)
+                r1, z1, n1 = np.split(h @ model["u"][way], 3)
+                r, z = 0.5 + 0.5 * soft(r0 + r1), 0.5 + 0.5 * soft(z0 + z1)
+                h = (1 - z) * soft(n0 + r * n1) + z * h
+                states[way].append(h)
+        both = [np.concatenate(pair) for pair in zip(states[0], states[1][::-1], strict=True)]
+        both = np.array([h for h, w in zip(both, words, strict=True) if w])
+        share = np.exp(both @ model["attend"] - (both @ model["attend"]).max())
+        return (share / share.sum()) @ both @ model["out"] + model["bias"][0]
+
+    wanted = []
+    for text in texts:
+        words = text.split()
+        padded = words + [None] * (T.WINDOW - len(words))
+        logits = [plain(padded[s : s + T.WINDOW]) for s in range(len(padded) - T.WINDOW + 1)] if words else [model["bias"][0]]
+        wanted.append(1 / (1 + np.exp(-max(logits))))
+    found = T.scores(model, T.Inputs(model), texts)
+    assert np.allclose(found, wanted, atol=1e-4)
+
+
+def test_blocks_of_windows_do_not_change_scores(model, monkeypatch):
+    texts = [t for t, _ in corpus(random.Random(9), 40)]
+    one = T.scores(model, T.Inputs(model), texts)
+    monkeypatch.setattr(T, "AT_ONCE", 37)
+    assert np.allclose(one, T.scores(model, T.Inputs(model), texts), atol=1e-5)
 
 
 def test_gradients_match_differences():
