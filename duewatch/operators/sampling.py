@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..config import StudyConfig
 from .ranking import global_rank
 
-PREFIX = 4  # hex digits: at most 65,536 prefixes whatever the number of rows
+PREFIX = 4  # hex digits that a round of refinement adds: at most 65,536 prefixes whatever the number of rows
 
 
 def draw_key(cfg: StudyConfig, key: str = "complaint_id") -> Column:
@@ -20,58 +20,54 @@ def draw_key(cfg: StudyConfig, key: str = "complaint_id") -> Column:
 def undersample_negatives(pool: DataFrame, cfg: StudyConfig) -> DataFrame:
     """All positives and exactly ``min(ratio * positives, negatives)`` negatives.
 
-    The draw is a cut in the key space. It is located by counting prefixes and then the keys of
-    the one prefix that holds the cut, so the sample itself is a plain filter: no sort, no join.
+    The draw is a cut in the key space, located by radix selection: rows are counted by a prefix of the key, and the one
+    prefix that holds the cut is refined by more digits until the cut lies between two prefixes or within one key. Two
+    rounds are enough unless billions of keys compete. The sample itself is a plain filter: no sort, no join.
     """
     keyed = pool.withColumn("_draw", draw_key(cfg))
     negative = F.coalesce(F.col("target"), F.lit(0)) == 0
-    sizes = (
-        keyed.groupBy(F.when(negative, F.substring("_draw", 1, PREFIX)).alias("prefix"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    # One row per prefix (the null prefix is the positives).
-    w = Window.partitionBy(F.lit(0)).orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
-    is_negative = F.col("prefix").isNotNull()
-    running = sizes.select(
-        "prefix",
-        "n",
-        F.sum(F.when(is_negative, F.col("n")).otherwise(0)).over(w).alias("upto"),
-        F.sum(F.when(is_negative, 0).otherwise(F.col("n")))
-        .over(Window.partitionBy(F.lit(0)))
-        .alias("positives"),
-    )
-    wanted = F.col("positives") * cfg.negatives_per_positive
-    cut = running.where(is_negative).agg(
-        F.max("upto").alias("negatives"),
-        F.max(wanted).alias("wanted"),
-        F.min(F.when(F.col("upto") >= wanted, F.struct("prefix", F.col("upto") - F.col("n")))).alias("at"),
+    totals = pool.agg(
+        F.count_if(~negative).alias("positives"), F.count_if(negative).alias("negatives")
     ).first()
-
-    if cut.wanted is None or cut.negatives < cut.wanted:
-        if cut.negatives is not None:
-            warnings.warn(f"wanted {cut.wanted} negatives, only {cut.negatives} available; using all")
+    wanted = totals.positives * cfg.negatives_per_positive
+    if totals.negatives < wanted:
+        warnings.warn(f"wanted {wanted} negatives, only {totals.negatives} available; using all")
+        return pool
+    if totals.negatives == wanted:
         return pool
-    if cut.wanted == 0:
-        return pool.where(F.col("target") == 1)
+    if wanted == 0:
+        return pool.where(~negative)
 
-    prefix, before = cut["at"]
-    boundary = keyed.where(negative & (F.substring("_draw", 1, PREFIX) == prefix))
-    per_key = boundary.groupBy("_draw").agg(F.count(F.lit(1)).alias("copies"))
-    upto = F.sum("copies").over(
-        Window.partitionBy(F.lit(0)).orderBy("_draw").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    last = (
-        per_key.withColumn("upto", upto + before)
-        .where(F.col("upto") >= cut.wanted)
-        .agg(F.min(F.struct("_draw", "upto", "copies")).alias("at"))
-        .first()["at"]
-    )
-    surplus = last.upto - cut.wanted
+    prefix, surplus, copies = _cut(keyed.where(negative).select("_draw"), wanted)
+    border = F.substring("_draw", 1, len(prefix))
     if surplus == 0:
-        return keyed.where(~negative | (F.col("_draw") <= last._draw)).drop("_draw")
+        return keyed.where(~negative | (border <= prefix)).drop("_draw")
     # Copies of one id straddle the cut: keep as many of them as still fit.
-    copies = global_rank(
-        keyed.where(negative & (F.col("_draw") == last._draw)), *[F.col(c) for c in pool.columns]
-    ).where(F.col("rank") <= last.copies - surplus)
-    whole = keyed.where(~negative | (F.col("_draw") < last._draw))
-    return whole.unionByName(copies.drop("rank", "rank_rows")).drop("_draw")
+    some = global_rank(
+        keyed.where(negative & (border == prefix)), *[F.col(c) for c in pool.columns]
+    ).where(F.col("rank") <= copies - surplus)
+    whole = keyed.where(~negative | (border < prefix))
+    return whole.unionByName(some.drop("rank", "rank_rows")).drop("_draw")
+
+
+def _cut(keys: DataFrame, wanted: int) -> tuple[str, int, int]:
+    """The prefix of ``_draw`` at which the ``wanted`` smallest keys end: (prefix, rows up to it less wanted, rows in it).
+
+    Rows are left over only if the prefix is a whole key. Each round's window runs over the prefixes of one refinement.
+    """
+    prefix, before = "", 0
+    while True:
+        digits = len(prefix) + PREFIX
+        sizes = (
+            keys.where(F.substring("_draw", 1, len(prefix)) == prefix)
+            .groupBy(F.substring("_draw", 1, digits).alias("prefix"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("_draw").alias("low"), F.max("_draw").alias("high"))
+        )
+        running = F.sum("n").over(
+            Window.partitionBy(F.lit(0)).orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
+        )
+        upto = sizes.withColumn("upto", running + before).where(F.col("upto") >= wanted)
+        at = upto.agg(F.min(F.struct("prefix", "upto", "n", "low", "high")).alias("at")).first()["at"]
+        if at.upto == wanted or at.low == at.high:
+            return at.low if at.low == at.high else at.prefix, at.upto - wanted, at.n
+        prefix, before = at.prefix, at.upto - at.n

@@ -203,3 +203,16 @@ def test_totals_row(spark):
     assert rows["Total"].complaints == 4 and rows["Total"].share_pct == 100
     assert rows["2020"].untimely_rate_pct == 50 and math.isclose(rows["2021"].share_pct, 50)
     assert [r.year for r in audit.yearly_rates(audit.study_population_by_year(df)).orderBy("year").collect()] == [2020, 2021]
+
+
+def test_draw_refines_prefixes_that_many_keys_share(spark, monkeypatch):
+    """Keys that agree in their first digits need more rounds; the draw stays the smallest keys."""
+    keys = sorted([f"00000000{k:024x}" for k in range(40)] + [f"0000000{k % 7}{k:024x}" for k in range(41, 90)])
+    rows = [(k, key, 0) for k, key in enumerate(keys)] + [(1000 + k, "", 1) for k in range(11)]
+    df = spark.createDataFrame(rows, "complaint_id long, key string, target int")
+    monkeypatch.setattr(sampling, "draw_key", lambda cfg, key="key": F.col("key"))
+    for ratio in (1, 2, 3, 5, 7):
+        cfg = StudyConfig(negatives_per_positive=ratio)
+        found = sampling.undersample_negatives(df, cfg)
+        assert {r.complaint_id for r in found.where("target = 0").collect()} == set(range(11 * ratio))
+        assert "Window" not in found._jdf.queryExecution().toString()
