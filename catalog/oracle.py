@@ -549,6 +549,16 @@ curve as (
 """
 sql("roc_curve", "test", ROC + f"""
 select {r('threshold')} as threshold, {r('fpr')} as fpr, {r('tpr')} as tpr from curve""")
+BENDS = f"""
+with {ladder('test')},
+stepped as (select *, lag(n) over w as n_before, lead(n) over w as n_next, lead(pos) over w as pos_next
+            from ladder window w as (order by score desc))
+select {r('score')} as threshold, {r(ratio('n_upto - pos_upto', 'n_total - pos_total'))} as fpr,
+       {r(ratio('pos_upto', 'pos_total'))} as tpr
+from stepped where n_before is null or n_next is null or n <> n_next or pos <> pos_next
+union all select null, 0, 0
+"""
+sql("roc_corners", "test", BENDS)
 sql("fig_roc", "test", ROC + f"select {r('fpr')} as fpr, {r('tpr')} as tpr from curve")
 
 

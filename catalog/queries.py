@@ -620,6 +620,11 @@ def roc_curve(spark, sf):
     return metrics.roc_curve(ranking.score_ladder(test_scores(spark, sf)))
 
 
+@query("roc_corners")
+def roc_corners(spark, sf):
+    return metrics.roc_corners(ranking.score_ladder(test_scores(spark, sf)))
+
+
 @query("roc_operating_points")
 def roc_operating_points(spark, sf):
     return metrics.roc_operating_points(

@@ -256,6 +256,23 @@ def roc_curve(ladder: DataFrame) -> DataFrame:
     return points.unionAll(_end_point(ladder, 0.0, 0.0))
 
 
+def roc_corners(ladder: DataFrame) -> DataFrame:
+    """The curve as published: without points whose step to the next point is the step that led to them.
+
+    The first and the last score stay. Neighbours meet by the number of rows above them, which each score shares with
+    the one before it only: no window over all scores.
+    """
+    columns = F.struct(*ladder.columns)
+    step = F.struct("n", "pos")
+    ends = F.struct((F.col("n_above") + F.col("n")).alias("at"), columns.alias("own"), F.lit(None).alias("next"))
+    begins = F.struct(F.col("n_above").alias("at"), F.lit(None).alias("own"), step.alias("next"))
+    met = ladder.select(F.inline(F.array(ends, begins))).groupBy("at").agg(
+        F.first("own", ignorenulls=True).alias("own"), F.first("next", ignorenulls=True).alias("next")
+    )
+    bends = ~F.col("next").eqNullSafe(F.struct("own.n", "own.pos")) | (F.col("own.n_above") == 0)
+    return roc_curve(met.where(F.col("own").isNotNull() & bends).select("own.*"))
+
+
 def precision_at_recall(
     curve: DataFrame, targets: Sequence[float] = (0.3, 0.4, 0.5, 0.6, 0.7)
 ) -> DataFrame:

@@ -159,7 +159,7 @@ def figure_tables(space: Workspace, cfg: StudyConfig) -> None:
     ladder = ranking.score_ladder(test)
     space.write_result(calibration.calibration_curve(test), "fig_calibration")
     space.write_result(metrics.with_no_skill(metrics.pr_curve(ladder), ladder), "fig_precision_recall")
-    space.write_result(metrics.roc_curve(ladder), "fig_roc")
+    space.write_result(metrics.roc_corners(ladder), "fig_roc")
     space.write_result(ranking.score_histogram(test), "fig_score_distribution")
     space.write_result(ranking.cumulative_gains(space.result("decile_lift_test")), "fig_cumulative_gains")
 

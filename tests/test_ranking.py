@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,3 +281,27 @@ def test_missing_scores_fall_back_to_rank_bins(spark):
     order = sorted((p, i) for i, p in rows if p is not None)
     assert [got[i] for _, i in order] == [k // 2 + 1 for k in range(20)]
     assert sum(r.records for r in ranking.decile_summary(ranking.add_decile(df)).collect()) == 20
+
+
+def test_roc_corners_are_the_points_where_the_curve_turns(spark):
+    """Against second differences of the running counts; floats and doubles, also with bands of one score."""
+    rng = np.random.default_rng(5)
+    for kind, size, values in (("float", 400, 60), ("double", 300, 10**6), ("double", 1, 1), ("double", 2, 1), ("float", 2, 9)):
+        score = rng.integers(1, values + 1, size) / (values * 3.0)
+        score = score.astype(np.float32 if kind == "float" else np.float64)
+        target = (rng.random(size) < 0.3).astype(int)
+        df = spark.createDataFrame(list(zip(score.tolist(), target.tolist())), f"score {kind}, target int")
+        found = {r.threshold: (r.fpr, r.tpr) for r in metrics.roc_corners(ranking.score_ladder(df)).collect()}
+        levels = np.unique(score)[::-1]
+        tp = np.array([target[score >= x].sum() for x in levels])
+        fp = np.array([(1 - target)[score >= x].sum() for x in levels])
+        bend = np.ones(len(levels), bool)
+        if len(levels) > 2:
+            bend[1:-1] = (np.diff(tp, 2) != 0) | (np.diff(fp, 2) != 0)
+        assert found.pop(None) == (0.0, 0.0)
+        assert sorted(found) == sorted(float(x) for x in levels[bend])
+        for x, t, f in zip(levels[bend], tp[bend], fp[bend]):
+            ratio = (f / fp[-1] if fp[-1] else None, t / tp[-1] if tp[-1] else None)
+            assert found[float(x)] == pytest.approx(ratio) if None not in ratio else found[float(x)] == ratio
+    full = metrics.roc_curve(ranking.score_ladder(df))
+    assert metrics.roc_corners(ranking.score_ladder(df.limit(0))).count() == full.limit(1).count()
