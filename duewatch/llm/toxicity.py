@@ -2,7 +2,7 @@
 
 A word enters as its hashed word embedding next to the mean of its hashed character n-gram embeddings, so inflections of
 a known root are read too. Both tables start from the label odds in the training rows and are trained with the network,
-by back-propagation in numpy. Gates and states bend by ``x / (1 + |x|)``, a fifth of the time of the hyperbolic tangent. A text is scored in all overlapping windows of ``WINDOW`` words, one from each word on; its
+by back-propagation in numpy. Gates and states bend by ``x / (1 + |x|)``, faster than the hyperbolic tangent. A text is scored in all overlapping windows of ``WINDOW`` words, one from each word on; its
 score is the highest of its windows. While training, the window of a toxic text that scores highest carries the label,
 and clean texts give random windows, the ones that score highest by mistake, and windows of one word of theirs repeated.
 
