@@ -7,8 +7,9 @@ by band, a band being 65,536 positions, so a level that holds a third of all row
 *Symmetric trees.* All nodes of a level share one split, so a tree is a few splits and one value for each pattern of answers.
 The split comes from one aggregate per level: sums of gradients and curvatures by (leaf, feature, bin), a table of fixed
 size. Gradients are summed as whole numbers, which, for given
-borders, makes a fit independent of partitions and of the order of rows. Margins
-are written anew every few trees; a lost executor reads them again.
+borders, makes a fit independent of partitions and of the order of rows. A level is one job over all rows; where they are
+one task's (``fit_rows_per_task``), that task grows all trees from the same sums, as thousands of jobs would cost more than
+they do. Margins are written anew every few trees; a lost executor reads them again.
 
 Missing levels are a level of their own, unseen levels get the mean rate of the sample, missing numbers go below every border.
 Repeated rows count as often as they occur. A sample of one class gives leaves near its log odds; an empty one is an error.
@@ -17,17 +18,19 @@ Repeated rows count as often as they occur. A sample of one class gives leaves n
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+import pickle
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..config import StudyConfig
 from ..functions import fill_missing_levels, row_count
-from ..session import stage, staging
+from ..session import fit_tasks, stage, staged_path, staging
 from .encoding import join_levels, stack_categories
 from .forest import NODES, Forest, total
 from .ranking import global_rank
@@ -37,6 +40,8 @@ UNIT = 1 << 26  # gradients are summed in these parts of one
 L2 = 3.0
 MOST_BORDERS = 32
 TREES_PER_WRITE = 20
+ROWS_PER_BLOCK = 1 << 15
+MOST_TABLES = 64  # tasks whose sums the driver adds itself
 
 
 # --------------------------------------------------------------------------- ordered statistics
@@ -123,63 +128,100 @@ def binned(rows: DataFrame, borders: dict[str, list[float]], start: float) -> Da
     return rows.select("target", F.lit(float(start)).alias("margin"), *bins)
 
 
-def leaf_of(bins: np.ndarray, splits: Sequence[tuple[int, int]]) -> np.ndarray:
-    leaf = np.zeros(len(bins), np.int64)
-    for level, (feature, border) in enumerate(splits):
-        leaf |= (bins[:, feature] > border).astype(np.int64) << level
-    return leaf
-
-
-def unpacked(batch: pa.RecordBatch, grown: Sequence[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """Bins and margins of a batch, the margins raised by the trees grown since they were written."""
-    columns = [batch.column(k).to_numpy() for k in range(2, batch.num_columns)]
-    bins = np.stack(columns, axis=1)
-    margin = batch.column(1).to_numpy().copy()
-    for splits, values in grown:
-        margin += values[leaf_of(bins, splits)]
-    return bins, margin
+@dataclass(frozen=True)
+class Block:
+    """Some rows of one task: labels, margins, gradients and curvatures in whole units, and ``bins[feature, row]``."""
 
+    target: np.ndarray
+    margin: np.ndarray
+    slopes: tuple[np.ndarray, np.ndarray]
+    bins: np.ndarray
 
-def gradient_sums(
-    batches: Iterator[pa.RecordBatch], grown: Sequence[tuple], splits: Sequence[tuple[int, int]], width: int
-) -> Iterator[pa.RecordBatch]:
-    """Sums of gradients and curvatures by (leaf, feature, bin), for one task's rows."""
-    sums = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        bins, margin = unpacked(batch, grown)
+    @classmethod
+    def at(cls, target: np.ndarray, margin: np.ndarray, bins: np.ndarray) -> Block:
         chance = 1.0 / (1.0 + np.exp(-margin))
-        features = bins.shape[1]
-        cells = (leaf_of(bins, splits)[:, None] * features + np.arange(features)) * width + bins
-        if sums is None:
-            sums = np.zeros((2, (1 << len(splits)) * features * width), np.int64)
-        for k, part in enumerate((chance - batch.column(0).to_numpy(), chance * (1.0 - chance))):
-            whole = np.repeat(np.rint(part * UNIT), features)
-            sums[k] += np.bincount(cells.ravel(), whole, sums.shape[1]).astype(np.int64)
-    if sums is not None:
-        at = np.flatnonzero(sums.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0][at]), pa.array(sums[1][at])], ["cell", "g", "h"])
-
-
-def raised(batches: Iterator[pa.RecordBatch], grown: Sequence[tuple]) -> Iterator[pa.RecordBatch]:
-    """The rows with the grown trees added to their margins."""
-    for batch in batches:
-        margin = pa.array(unpacked(batch, grown)[1] if batch.num_rows else [], pa.float64())
-        yield batch.set_column(1, "margin", margin)
+        parts = (chance - target, chance * (1.0 - chance))
+        return cls(target, margin, tuple(np.rint(part * UNIT).astype(np.int32) for part in parts), bins)
 
+    def leaf(self, splits: Sequence[tuple[int, int]]) -> np.ndarray:
+        leaf = np.zeros(len(self.target), np.int64)
+        for level, (feature, border) in enumerate(splits):
+            leaf |= (self.bins[feature] > border).astype(np.int64) << level
+        return leaf
 
-def histogram(
-    rows: DataFrame, grown: Sequence[tuple], splits: Sequence[tuple[int, int]], features: int, width: int
-) -> np.ndarray:
-    """Gradients and curvatures ``[2, leaf, feature, bin]`` of all rows: one narrow pass and a sum of fixed size."""
-    task = partial(gradient_sums, grown=list(grown), splits=list(splits), width=width)
-    sums = rows.mapInArrow(task, "cell long, g long, h long").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-    found = sums.toArrow()
-    out = np.zeros((2, (1 << len(splits)) * features * width))
-    for k, name in enumerate(("g", "h")):
-        out[k, found["cell"].to_numpy()] = found[name].to_numpy() / UNIT
-    return out.reshape(2, 1 << len(splits), features, width)
+
+def block_rows(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[pa.RecordBatch]:
+    """Rows of ``binned`` as pickled blocks."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, ROWS_PER_BLOCK):
+            part = batch.slice(low, ROWS_PER_BLOCK)
+            bins = np.stack([part.column(k).to_numpy().astype(kind) for k in range(2, part.num_columns)])
+            block = Block.at(part.column(0).to_numpy().astype(np.int8), part.column(1).to_numpy().copy(), bins)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block, 5)], pa.binary())], ["block"])
+
+
+def blocks(rows: DataFrame, width: int) -> RDD:
+    """``binned`` rows as blocks. An RDD, since a fit is thousands of short jobs and planning one would take longer than it."""
+    kind = np.uint8 if width <= 256 else np.uint16
+    return rows.mapInArrow(partial(block_rows, kind=kind), "block binary").rdd.map(lambda row: pickle.loads(row.block))
+
+
+def gradient_sums(held: Iterator[Block], splits: Sequence[tuple[int, int]], features: int, width: int) -> Iterator[np.ndarray]:
+    """Sums of gradients and curvatures ``[2, feature, leaf and bin]``, in whole units, for one task's rows."""
+    cells = width << len(splits)
+    sums = np.zeros((2, features, cells), np.int64)
+    for block in held:
+        parts = [part.astype(np.float64) for part in block.slopes]
+        leaf = block.leaf(splits) * width
+        for feature in range(features):
+            at = leaf + block.bins[feature]
+            for k, part in enumerate(parts):
+                sums[k, feature] += np.bincount(at, part, cells).astype(np.int64)
+    yield sums
+
+
+def raised(block: Block, splits: Sequence[tuple[int, int]], values: np.ndarray) -> Block:
+    """The rows with a tree added to their margins."""
+    return Block.at(block.target, block.margin + values[block.leaf(splits)], block.bins)
+
+
+def histogram(rows: RDD, splits: Sequence[tuple[int, int]], features: int, width: int) -> np.ndarray:
+    """Gradients and curvatures ``[2, leaf, feature, bin]`` of all rows: one narrow pass, tables of fixed size from each task."""
+    parts = rows.mapPartitions(partial(gradient_sums, splits=list(splits), features=features, width=width))
+    return by_leaf(parts.treeReduce(np.add) if rows.getNumPartitions() > MOST_TABLES else parts.reduce(np.add), width)
+
+
+def by_leaf(sums: np.ndarray, width: int) -> np.ndarray:
+    return sums.reshape(*sums.shape[:2], -1, width).swapaxes(1, 2) / UNIT
+
+
+def boosted(held: Iterator[Block], counts: Sequence[int], cfg: StudyConfig) -> Iterator[tuple]:
+    """All trees of a sample whose blocks are one task's: the same sums and steps, without a job for each level."""
+    own, width = list(held), max(counts) + 1
+    for _ in range(cfg.tree_count):
+        tree = grow(lambda splits: by_leaf(next(gradient_sums(own, splits, len(counts), width)), width), counts, cfg)
+        own = [raised(block, tree[0], tree[2]) for block in own]
+        yield tree
+
+
+def boosted_by_jobs(rows: RDD, counts: Sequence[int], cfg: StudyConfig) -> Iterator[tuple]:
+    """All trees, a job for each level. Rows are kept with their margins, and written every few trees."""
+    spark, before = SparkSession.active(), None
+    rows.persist()
+    for number in range(1, cfg.tree_count + 1):
+        tree = grow(lambda splits: histogram(rows, splits, len(counts), max(counts) + 1), counts, cfg)
+        if before is not None:
+            before.unpersist()
+        yield tree
+        before, rows = rows, rows.map(partial(raised, splits=tree[0], values=tree[2]))
+        if number % TREES_PER_WRITE == 0 and number < cfg.tree_count:
+            path = staged_path(spark, "margins")
+            rows.saveAsPickleFile(path)
+            rows = spark.sparkContext.pickleFile(path, before.getNumPartitions()).coalesce(before.getNumPartitions())
+        rows.persist()
+    for held in (before, rows):
+        if held is not None:
+            held.unpersist()
 
 
 def quality(sums: np.ndarray) -> np.ndarray:
@@ -194,16 +236,16 @@ def gains(sums: np.ndarray) -> np.ndarray:
     return (quality(low) + quality(whole - low) - quality(whole)).sum(axis=0)
 
 
-def grow(rows: DataFrame, grown: Sequence[tuple], counts: Sequence[int], cfg: StudyConfig) -> tuple[list, list, np.ndarray]:
+def grow(sums_of: Callable, counts: Sequence[int], cfg: StudyConfig) -> tuple[list, list, np.ndarray]:
     """Splits by feature and border number, their gains, and the leaves' values. Ties go to the first feature and border.
 
     A tree ends early where no split gains anything.
     """
-    features, width = len(counts), max(counts) + 1
+    width = max(counts) + 1
     allowed = np.arange(width) < np.array(counts)[:, None]
     splits, won = [], []
     while True:
-        sums = histogram(rows, grown, splits, features, width)
+        sums = sums_of(splits)
         leaves = sums[:, :, 0].sum(axis=2)
         by_split = np.where(allowed, gains(sums), -np.inf)
         feature, border = divmod(int(by_split.argmax()), width)
@@ -339,18 +381,15 @@ def train_symmetric(train: DataFrame, cfg: StudyConfig, borders: dict[str, list[
         features = stage(training_features(train, cfg, prior), "features")
         borders = {name: (borders or quantile_borders(features, names))[name] for name in names}
         at = list(borders.values())
-        tasks = max(1, math.ceil(features.count() / cfg.fit_rows_per_task))
-        rows = stage(binned(features, borders, start).repartition(tasks), "margins").persist()
-        grown: list[tuple] = []
-        for number in range(cfg.tree_count):
-            splits, won, values = grow(rows, grown, [len(b) for b in at], cfg)
-            grown.append((splits, values))
+        tasks = fit_tasks(spark, features.count(), cfg)
+        counts = [len(border) for border in at]
+        rows = blocks(stage(binned(features, borders, start).repartition(tasks), "margins"), max(counts) + 1)
+        if tasks == 1:
+            grown = rows.coalesce(1).mapPartitions(partial(boosted, counts=counts, cfg=cfg)).collect()
+        else:
+            grown = boosted_by_jobs(rows, counts, cfg)
+        for splits, won, values in grown:
             trees.append(Tree(tuple((names[f], at[f][b]) for f, b in splits), tuple(won), tuple(map(float, values))))
-            if len(grown) == TREES_PER_WRITE and number + 1 < cfg.tree_count:
-                written = stage(rows.mapInArrow(partial(raised, grown=grown), rows.schema), "margins")
-                rows.unpersist()
-                rows, grown = written.persist(), []
-        rows.unpersist()
     return SymmetricTrees(cfg.categorical, cfg.numeric, rates, prior, start, tuple(trees))
 
 
@@ -359,7 +398,7 @@ def first_gains(train: DataFrame, cfg: StudyConfig, borders: dict[str, list[floa
     prior, start = sample_start(train)
     rows = binned(training_features(train, cfg, prior), {name: borders[name] for name in feature_names(cfg)}, start)
     width = max(map(len, borders.values())) + 1
-    won = gains(histogram(rows, [], [], len(borders), width))
+    won = gains(histogram(blocks(rows, width), [], len(borders), width))
     table = [
         (name, float(border), float(won[k, b]))
         for k, name in enumerate(feature_names(cfg))

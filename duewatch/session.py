@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,6 +10,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .config import StudyConfig
+
 _private: dict[str, str] = {}
 _open: list[str] = []
 
@@ -74,3 +77,11 @@ def stage(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Data
     path = staged_path(spark, label)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fit_tasks(spark: SparkSession, rows: int, cfg: StudyConfig) -> int:
+    """Tasks of a fit, which scans its rows thousands of times: as many as run at once, ``fit_rows_per_task`` rows at least.
+
+    More tasks than cores would only launch more of them in every scan.
+    """
+    return max(1, min(math.ceil(rows / cfg.fit_rows_per_task), spark.sparkContext.defaultParallelism))

@@ -146,3 +146,15 @@ def test_one_class_repeated_rows_and_empty(train):
     assert len({r.score for r in stumps.score(train).collect()}) == 1
     with pytest.raises(ValueError, match="empty"):
         symmetric.train_symmetric(train.limit(0), short, BORDERS)
+
+
+def test_levels_by_job_give_the_same_trees_in_few_short_jobs(spark, train, fitted):
+    """Rows of one task need no job for each level; rows of several tasks give the same trees by jobs."""
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("symmetric-fit"))
+    spark.sparkContext.setJobGroup("symmetric-fit", "")
+    try:
+        assert symmetric.train_symmetric(train, CFG, BORDERS).trees == fitted.trees
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs() < CFG.tree_count
+    assert symmetric.train_symmetric(train, replace(CFG, fit_rows_per_task=100), BORDERS).trees == fitted.trees
