@@ -26,13 +26,13 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import RDD
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..config import StudyConfig
 from ..functions import fill_missing_levels, row_count
 from ..session import fit_tasks, stage, staged_path, staging
 from .encoding import join_levels, stack_categories
-from .forest import NODES, Forest, total
+from .forest import NODES, Forest
 from .ranking import global_rank
 
 BAND_BITS = 16
@@ -41,6 +41,7 @@ L2 = 3.0
 MOST_BORDERS = 32
 TREES_PER_WRITE = 20
 ROWS_PER_BLOCK = 1 << 15
+ROWS_PER_SCORE = 1 << 11  # bounds the values of all trees held at once
 MOST_TABLES = 64  # tasks whose sums the driver adds itself
 
 
@@ -260,6 +261,28 @@ def grow(sums_of: Callable, counts: Sequence[int], cfg: StudyConfig) -> tuple[li
     return splits, won, -cfg.tree_step * leaves[0] / (leaves[1] + L2)
 
 
+def margins(
+    batches: Iterator[pa.RecordBatch], names: Sequence[str], start: float, trees: Sequence[Tree]
+) -> Iterator[pa.RecordBatch]:
+    """The margin of each row in place of its features, the last columns; trees are added in pairs."""
+    for batch in batches:
+        kept, sums = batch.num_columns - len(names), []
+        for low in range(0, batch.num_rows, ROWS_PER_SCORE):
+            part = batch.slice(low, ROWS_PER_SCORE)
+            at = {name: part.column(kept + k).to_numpy() for k, name in enumerate(names)}
+            terms = [np.full(part.num_rows, float(start))]
+            for tree in trees:
+                leaf = np.zeros(part.num_rows, np.int64)
+                for level, (name, border) in enumerate(tree.splits):
+                    leaf |= (at[name] > border).astype(np.int64) << level
+                terms.append(np.array(tree.values)[leaf])
+            while len(terms) > 1:
+                terms = [x + y for x, y in zip(terms[::2], terms[1::2], strict=False)] + terms[len(terms) & ~1 :]
+            sums.append(terms[0])
+        margin = pa.array(np.concatenate([np.empty(0), *sums]), pa.float64())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:kept], margin], [*batch.schema.names[:kept], "_margin"])
+
+
 # --------------------------------------------------------------------------- model
 
 
@@ -274,24 +297,21 @@ class SymmetricTrees:
     start: float
     trees: tuple[Tree, ...]
 
-    def margin(self) -> Column:
-        """For a row with the features as columns: one lookup per tree, by the answers to its splits."""
-        terms = []
-        for tree in self.trees:
-            bits = [f"if(`{name}` > {border!r}D, {1 << level}, 0)" for level, (name, border) in enumerate(tree.splits)]
-            values = ", ".join(f"{value!r}D" for value in tree.values)
-            terms.append(F.expr(f"element_at(array({values}), {' + '.join(['1', *bits])})"))
-        return total(terms, self.start)
-
     def with_features(self, df: DataFrame) -> DataFrame:
         joined = join_levels(fill_missing_levels(df, self.columns), self.rates, self.columns, "rate", "_rate")
         inputs = {f"{c}_rate": F.coalesce(F.col(f"{c}_rate"), F.lit(self.prior)) for c in self.columns}
         return joined.withColumns(inputs | {f"{n}_num": F.col(n).cast("double") for n in self.numeric})
 
     def score(self, df: DataFrame, *keep: str) -> DataFrame:
-        """P(late) as float for every row."""
-        score = 1.0 / (1.0 + F.exp(-self.margin()))
-        return self.with_features(df).select(*keep, score.cast("float").alias("score"))
+        """P(late) as float for every row. Hundreds of lookups as one expression would take longer to plan than to run."""
+        names = [f"{c}_rate" for c in self.columns] + [f"{n}_num" for n in self.numeric]
+        inputs = (F.coalesce(F.nanvl(name, F.lit(math.inf)), F.lit(-math.inf)).alias(f"_{name}") for name in names)
+        ready = self.with_features(df).select(*keep, *inputs)
+        kept = ready.schema[: len(ready.columns) - len(names)]
+        task = partial(margins, names=names, start=self.start, trees=self.trees)
+        found = ready.mapInArrow(task, T.StructType([*kept, T.StructField("_margin", T.DoubleType())]))
+        score = 1.0 / (1.0 + F.exp(-F.col("_margin")))
+        return found.select(*kept.names, score.cast("float").alias("score"))
 
     def importance(self) -> DataFrame:
         """Share of the total split gain per feature, in percent; zero for all if nothing was split."""

@@ -158,3 +158,10 @@ def test_levels_by_job_give_the_same_trees_in_few_short_jobs(spark, train, fitte
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert 0 < jobs() < CFG.tree_count
     assert symmetric.train_symmetric(train, replace(CFG, fit_rows_per_task=100), BORDERS).trees == fitted.trees
+
+
+def test_scores_plan_does_not_grow_with_the_trees(train, fitted):
+    """One lookup a tree as an expression took a minute to compile for 500 trees."""
+    many = replace(fitted, trees=fitted.trees * 20)
+    plan = lambda model: len(model.score(train, "complaint_id")._jdf.queryExecution().optimizedPlan().toString())
+    assert plan(many) < 1.5 * plan(fitted)
