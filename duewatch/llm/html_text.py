@@ -8,8 +8,8 @@ markers and indentation, preformatted text as it is, and tables with their cells
 
 Not visible: head, scripts, styles, templates, elements with ``hidden``, ``display: none``, ``visibility: hidden`` or
 hidden inputs, closed dialogs and comments. Null and empty pages give an empty text. Both walks are loops, so depth of
-nesting is no limit. A very wide table takes time by its cells; one whose padding would outgrow its text eight times (and
-1000 characters) has its cells two blanks apart instead of aligned. Repeated rows each get a result; extra columns are ignored.
+nesting is no limit. A very wide table takes time by its cells. A cell of more than 200 characters does not widen its
+column, and no padding is wider than 200 blanks, in tables of any size. Repeated rows each get a result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,6 +56,9 @@ ENDS_PARAGRAPH = BLOCK - {"body", "caption", "html", "legend", "optgroup", "opti
 PARAGRAPH = frozenset(("p",))
 PARAGRAPH_WALL = frozenset("button caption html object table td template th".split())
 
+#: Widest column that cells are padded to, and widest padding before or behind a cell.
+WIDEST = 200
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?P<end>>?)",
@@ -295,29 +298,27 @@ class Table:
             self.added.append((at, self.next, len(self.rows) + down - 1))
 
     def lines(self) -> list[str]:
-        """Cells padded to common column widths, two blanks apart; without padding if that would be most of the text.
+        """Cells padded to common column widths, two blanks apart.
 
-        The limit is 8 blanks for a character of the table and 1000 besides, so the output is linear in the page.
+        A cell longer than ``WIDEST`` does not widen its column, and no padding is wider than that: a cell's place depends on
+        the columns before it alone, and the output is linear in the page.
         """
         widths: dict[int, int] = {}
         for row in self.rows:
             for at, stop, text in row:
-                if stop == at + 1 and text:
+                if stop == at + 1 and 0 < len(text) <= WIDEST:
                     widths[at] = max(widths.get(at, 0), len(text))
         columns = sorted(widths)
         sums = [0, *accumulate(widths[k] for k in columns)]
         place = lambda column: 2 * column + sums[bisect_left(columns, column)]
-        filled = [[cell for cell in row if cell[2]] for row in self.rows]
-        texts = sum(len(text) for row in filled for *_, text in row)
-        if sum(place(row[-1][0]) for row in filled if row) > 1000 + 8 * texts:
-            return ["  ".join(text for *_, text in row) for row in filled if row]
         out = []
-        for row in filled:
+        for row in self.rows:
             line, column = [], 0
             for at, stop, text in row:
-                line.append(" " * (place(at) - place(column)))
-                line.append(text.ljust(place(stop) - place(at) - 2) + "  ")
-                column = stop
+                if text:
+                    line.append(" " * min(place(at) - place(column), WIDEST))
+                    line.append(text + " " * min(max(place(stop) - place(at) - 2 - len(text), 0), WIDEST) + "  ")
+                    column = stop
             out.append("".join(line).rstrip())
         return [line for line in out if line]
 

@@ -131,3 +131,12 @@ def test_padding_does_not_outgrow_the_page(html):
 
 def test_a_table_too_sparse_to_align():
     assert render("<table><tr><td>" + "w" * 2000 + "<td>e<tr><td>a<td>b" + "<tr><td>c<td>d" * 9 + "</table>").endswith("c  d")
+
+
+def test_alignment_does_not_depend_on_the_size_of_a_table():
+    """More rows of the same kind leave the first ones as they are, however sparse the table is."""
+    wide, sparse = "<tr><td>" + "w" * 150 + "<td>e", "<tr><td>a<td>b"
+    few = render(f"<table>{wide}{sparse}</table>").split("\n")
+    many = render(f"<table>{wide}{sparse * 500}</table>").split("\n")
+    assert few == many[:2] and set(many[1:]) == {"a" + " " * 151 + "b"}
+    assert render(f"<table>{wide.replace('w', 'ww')}{sparse}</table>").split("\n")[1] == "a  b"
