@@ -8,20 +8,22 @@ driver, however many columns there are. Nothing depends on how the rows are part
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+import pickle
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fill_missing_levels
-from ..session import stage
+from ..session import fit_tasks, stage
 from .encoding import Encoder, join_levels, scaled
 
 STEPS, PRODUCTS = 50, 500
+MOST_BYTES = 16 << 20  # of vectors that the driver adds itself
 
 
 @dataclass(frozen=True)
@@ -42,29 +44,42 @@ def design(train: DataFrame, encoder: Encoder, scaling: dict[str, tuple[str, flo
     return looked_up.select(F.col("target").cast("double").alias("target"), *at, *numbers)
 
 
-def sums(
-    batches: Iterator[pa.RecordBatch], weights: np.ndarray, toward: np.ndarray | None, categories: int, width: int
-) -> Iterator[pa.RecordBatch]:
+@dataclass(frozen=True)
+class Block:
+    """Some rows of one task: labels, ``at[row, category]`` and ``numbers[row, number]`` with a last column of ones."""
+
+    y: np.ndarray
+    at: np.ndarray
+    numbers: np.ndarray
+
+
+def block_rows(batches: Iterator[pa.RecordBatch], categories: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``design`` as pickled blocks."""
+    for batch in batches:
+        if batch.num_rows:
+            columns = [batch.column(k).to_numpy() for k in range(batch.num_columns)]
+            at = np.stack(columns[1 : 1 + categories], axis=1).astype(np.int32)
+            block = Block(columns[0].copy(), at, np.stack([*columns[1 + categories :], np.ones(len(at))], axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block, 5)], pa.binary())], ["block"])
+
+
+def sums(held: Iterable[Block], weights: np.ndarray, toward: np.ndarray | None, width: int) -> Iterator[np.ndarray]:
     """For each model the slopes and curvatures of the loss per column and the loss; or, given directions, the Hessian's products.
 
     Vectors hold the encoded columns, a slot for unseen levels, the numbers and the intercept.
     """
     models, size = weights.shape
     out = np.zeros((models, 2 * size + 1))
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        y = batch.column(0).to_numpy()
-        at = np.stack([batch.column(1 + k).to_numpy() for k in range(categories)], axis=1)
-        rest = [batch.column(k).to_numpy() for k in range(1 + categories, batch.num_columns)]
-        numbers = np.stack([*rest, np.ones(len(y))], axis=1)
+    for block in held:
+        y, at, numbers = block.y, block.at, block.numbers
+        cells, categories = at.ravel(), at.shape[1]
 
         def times(vector: np.ndarray) -> np.ndarray:
             return vector[at].sum(axis=1) + numbers @ vector[width + 1 :]
 
         def back(values: np.ndarray, squared: bool = False) -> np.ndarray:
-            cells = np.bincount(at.ravel(), np.repeat(values, categories), width + 1)
-            return np.concatenate([cells, (numbers**2 if squared else numbers).T @ values])
+            by_cell = np.bincount(cells, np.repeat(values, categories), width + 1)
+            return np.concatenate([by_cell, (numbers**2 if squared else numbers).T @ values])
 
         for k in range(models):
             margin = times(weights[k])
@@ -76,23 +91,25 @@ def sums(
                 out[k, -1] += (np.logaddexp(0.0, margin) - y * margin).sum()
             else:
                 out[k, :size] += back(curve * times(toward[k]))
-    cells = np.flatnonzero(out)
-    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(out.ravel()[cells])], ["cell", "value"])
+    yield out
 
 
-def added(rows: DataFrame, weights: np.ndarray, toward: np.ndarray | None, categories: int, width: int) -> np.ndarray:
-    """The sums over all tasks."""
-    task = partial(sums, weights=weights, toward=toward, categories=categories, width=width)
-    found = rows.mapInArrow(task, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
-    out = np.zeros(weights.shape[0] * (2 * weights.shape[1] + 1))
-    out[found["cell"].to_numpy()] = found["value"].to_numpy()
-    return out.reshape(weights.shape[0], -1)
+def added(rows: RDD, weights: np.ndarray, toward: np.ndarray | None, width: int) -> np.ndarray:
+    """The sums over all tasks; long vectors of many tasks are added on the way to the driver."""
+    parts = rows.mapPartitions(partial(sums, weights=weights, toward=toward, width=width))
+    long = rows.getNumPartitions() * weights.nbytes > MOST_BYTES
+    return parts.treeReduce(np.add) if long else parts.reduce(np.add)
+
+
+def solve_here(held: Iterator[Block], width: int, **how) -> list[Solution]:
+    """All steps in the one task that has all rows."""
+    own = list(held)
+    return solve(lambda weights, toward: next(sums(own, weights, toward, width)), width=width, **how)
 
 
 def solve(
-    rows: DataFrame, numbers: Sequence[str], used: Sequence[Sequence[str]], width: int, categories: int, c: float,
-    tolerance: float,
-) -> list[Solution]:
+    scan: Callable, numbers: Sequence[str], used: Sequence[Sequence[str]], width: int, c: float, tolerance: float
+) -> list[Solution]:
     """Minimise ``c * sum(loss) + |w|^2 / 2``, intercept free, for each choice of numbers, until no slope exceeds ``tolerance``."""
     size = width + 1 + len(numbers) + 1
     free = np.ones((len(used), size), bool)
@@ -104,7 +121,7 @@ def solve(
     at = np.zeros((len(used), size))
     step, last = np.zeros_like(at), np.full(len(used), np.inf)
     for _ in range(STEPS):
-        found = added(rows, at, None, categories, width)
+        found = scan(at, None)
         value = c * found[:, -1] + 0.5 * (penalty * at**2).sum(axis=1)
         worse = value > last + 1e-9 * np.abs(last)
         if worse.any():  # a step too long: go half of it back
@@ -118,7 +135,7 @@ def solve(
         diagonal = np.where(free, c * found[:, size:-1] + penalty, 1.0)
         diagonal[diagonal <= 0.0] = 1.0
         product = lambda v: np.where(
-            free, c * added(rows, at, v, categories, width)[:, :size] + penalty * v, 0.0
+            free, c * scan(at, v)[:, :size] + penalty * v, 0.0
         )
         step = conjugate(product, -slope, diagonal, tolerance)
         at = at + step
@@ -156,10 +173,17 @@ def fit(
     c: float, rows_per_task: int, tolerance: float = 1e-7,
 ) -> list[Solution]:
     """One model for each choice of numbers; ``scaling`` names every number's column, mean and deviation."""
-    table = design(train, encoder, scaling)
-    tasks = max(1, math.ceil(train.count() / rows_per_task))
-    rows = stage(table.repartition(tasks), "design").persist()
+    table, spark = design(train, encoder, scaling), train.sparkSession
+    tasks = fit_tasks(spark, train.count(), rows_per_task)
+    packed = stage(table.repartition(tasks), "design").mapInArrow(
+        partial(block_rows, categories=len(encoder.columns)), "block binary"
+    )
+    rows = packed.rdd.map(lambda row: pickle.loads(row.block))
+    how = {"numbers": list(scaling), "used": used, "width": encoder.width, "c": c, "tolerance": tolerance}
+    if tasks == 1:  # a job for each of hundreds of scans would cost more than they do
+        return rows.coalesce(1).mapPartitions(partial(solve_here, **how)).collect()
+    rows.persist()
     try:
-        return solve(rows, list(scaling), used, encoder.width, len(encoder.columns), c, tolerance)
+        return solve(lambda weights, toward: added(rows, weights, toward, encoder.width), **how)
     finally:
         rows.unpersist()

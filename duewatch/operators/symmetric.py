@@ -401,7 +401,7 @@ def train_symmetric(train: DataFrame, cfg: StudyConfig, borders: dict[str, list[
         features = stage(training_features(train, cfg, prior), "features")
         borders = {name: (borders or quantile_borders(features, names))[name] for name in names}
         at = list(borders.values())
-        tasks = fit_tasks(spark, features.count(), cfg)
+        tasks = fit_tasks(spark, features.count(), cfg.fit_rows_per_task)
         counts = [len(border) for border in at]
         rows = blocks(stage(binned(features, borders, start).repartition(tasks), "margins"), max(counts) + 1)
         if tasks == 1:

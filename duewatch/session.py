@@ -10,8 +10,6 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .config import StudyConfig
-
 _private: dict[str, str] = {}
 _open: list[str] = []
 
@@ -79,9 +77,9 @@ def stage(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fit_tasks(spark: SparkSession, rows: int, cfg: StudyConfig) -> int:
-    """Tasks of a fit, which scans its rows thousands of times: as many as run at once, ``fit_rows_per_task`` rows at least.
+def fit_tasks(spark: SparkSession, rows: int, rows_per_task: int) -> int:
+    """Tasks of a fit, which scans its rows thousands of times: as many as run at once, ``rows_per_task`` rows at least.
 
     More tasks than cores would only launch more of them in every scan.
     """
-    return max(1, min(math.ceil(rows / cfg.fit_rows_per_task), spark.sparkContext.defaultParallelism))
+    return max(1, min(math.ceil(rows / rows_per_task), spark.sparkContext.defaultParallelism))

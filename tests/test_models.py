@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from duewatch.config import StudyConfig
 from duewatch.operators import checks, encoding, models, text_model
 from duewatch.operators.forest import NODES, Forest
+from duewatch.session import fit_tasks
 
 CFG = StudyConfig(categorical=("product", "company"), logistic_iterations=500, tree_count=5, text_min_df=2)
 
@@ -334,3 +335,23 @@ def test_exact_fit_on_one_class_and_unseen_levels(train):
     assert all(math.isfinite(r.margin) for r in model.margin(train).collect())
     late = models.train_exact(train.where("target = 1"), CFG)["baseline"]
     assert min(r.score for r in late.score(train).collect()) > 0.999
+
+
+def test_exact_fit_in_one_task_equals_the_fit_by_jobs(spark, train):
+    """Rows of one task need no job for each scan."""
+    spark.sparkContext.setJobGroup("exact-fit", "")
+    try:
+        one = models.train_exact(train, CFG, models.VARIANTS)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("exact-fit")) < 60
+    many = models.train_exact(train, replace(CFG, fit_rows_per_task=50), models.VARIANTS)
+    for variant, model in one.items():
+        assert many[variant].intercept == pytest.approx(model.intercept, abs=1e-6)
+        weights = dict(map(tuple, many[variant].coefficients.collect()))
+        assert weights == pytest.approx(dict(map(tuple, model.coefficients.collect())), abs=1e-6)
+
+
+def test_a_fit_has_no_more_tasks_than_run_at_once(spark):
+    assert [fit_tasks(spark, rows, 50) for rows in (0, 50, 51)] == [1, 1, 2]
+    assert fit_tasks(spark, 10**9, 50) == spark.sparkContext.defaultParallelism
