@@ -6,7 +6,6 @@ inside one generated stage without building vectors.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -26,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import StudyConfig
 from ..functions import fill_missing_levels, row_count
-from ..session import stage
+from ..session import fit_tasks, stage
 from . import newton
 from .encoding import Encoder, fit_scaling, join_levels, scaled, stack_categories
 from .metrics import evaluate
@@ -48,9 +47,9 @@ def model_exists(spark: SparkSession, path: str) -> bool:
 def fit_on(estimator, vectors: DataFrame, rows: int, cfg: StudyConfig):
     """Fit on cached vectors. The cache lives on the executors; lost blocks are computed again.
 
-    A task gets ``fit_rows_per_task`` rows, enough to outweigh launching it every iteration.
+    A task gets at least ``fit_rows_per_task`` rows, enough to outweigh launching it every iteration.
     """
-    cached = vectors.repartition(max(1, math.ceil(rows / cfg.fit_rows_per_task))).persist()
+    cached = vectors.repartition(fit_tasks(vectors.sparkSession, rows, cfg.fit_rows_per_task)).persist()
     try:
         return estimator.fit(cached)
     finally:
