@@ -14,9 +14,9 @@ For each bit
 
 The sum of the bits' costs is the cost of the text, and its score is minus that, as log10 of the probability. The weights'
 starting points come from all training words: every count less one, as an unread text would meet it, summed into a
-bounded grid of cells. What is learned while reading moves after every ``STEPS`` bits, about one word, so bits of one step
-are read at once. It starts anew every ``STRETCH`` bits, about 250 words: a text of any length is read in stretches of
-bounded length, many side by side, and no text depends on another one's place.
+bounded grid of cells. What is learned while reading moves after every bit and is kept to the end of the text. Texts start
+anew and are read side by side, so no text depends on another one's place; the bits from ``LONG`` on, which few texts have, are
+read one text at a time, by the same rule in double precision.
 
 On Spark: tasks turn texts into numbers and write them with the words of each block (some ``BLOCK_BYTES`` of text). Words are
 counted over all blocks and dealt by range in the order of their codes, so that all words that share bits lie side
@@ -35,7 +35,7 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,11 +54,14 @@ BLOCK_BYTES, RANGE_WORDS = 32 << 20, 50_000
 #: Log2 of the slots of the two hashed tables of the corpus, and of a stretch's own one.
 SLOTS2, SLOTS4, OWN_SLOTS = 16, 20, 13
 KNOWN_BYTES = 24
-STRETCH = 8192
+#: Bits of a text that are read as one; no text is longer than that.
+STRETCH = 1 << 40
 #: Bits of a stretch that are read before its weights, its own table and its map move.
-STEPS = 32
-#: Stretches read side by side, and words spelled at a time; only bound memory.
-LANES, SPELL = 512, 1 << 13
+STEPS = 1
+#: Stretches read side by side, bits of each prepared at a time, and words spelled at a time; only bound memory.
+LANES, PREPARED, SPELL = 2048, 256, 1 << 13
+#: From this bit on a stretch is read by itself: too few others are as long.
+LONG = 1 << 16
 #: Log odds are held as whole numbers of this unit.
 UNIT = 0.1
 #: Those of a word's own table take five bits: a sign and one of these sizes. The gate takes the other three of a byte.
@@ -539,10 +542,12 @@ def next_states() -> tuple[np.ndarray, np.ndarray]:
 
 
 AFTER, VALUE = next_states()
+#: Lanes hold 2 * state.
+AFTER_TWICE = AFTER << 1
 
 
 class Lanes:
-    """Stretches of bits read side by side, ``STEPS`` bits of each at a time."""
+    """Stretches of bits read side by side; each learns after each of its bits."""
 
     def __init__(self, lanes: int):
         cells = lanes * GATES * 2
@@ -553,52 +558,111 @@ class Lanes:
         #: By (lane, gate, column).
         self.map = np.tile(line.astype(np.float32), lanes * GATES)
         self.states = np.zeros(lanes << OWN_SLOTS, np.uint8)
-        self.lane = np.arange(lanes)[:, None]
+        self.lane = np.arange(lanes)
 
     def read(self, odds_in: np.ndarray, bit: np.ndarray, gate: np.ndarray, slot: np.ndarray) -> np.ndarray:
         """Probabilities of the bits that came, by (lane, step), as all other arrays.
 
         ``odds_in`` are the corpus's log odds of the bit that came.
         """
-        lane = self.lane[: len(bit)]
+        full = np.full(bit.shape[1], len(bit))
+        return self.steps(odds_in.T.copy(), bit.T.copy(), gate.T, slot.T, full).T
+
+    def steps(self, odds_in: np.ndarray, bit: np.ndarray, gate: np.ndarray, slot: np.ndarray, active: np.ndarray) -> np.ndarray:
+        """As ``read``, by (step, lane). Only the first ``active`` lanes have a bit at a step; others get 1."""
+        lane = self.lane[: bit.shape[1]]
         slot = slot + (lane << OWN_SLOTS)
-        key = self.states.take(slot)
-        met = key != 0
-        key <<= 1
-        key |= bit
-        own = VALUE.take(key)
-        self.states[slot] = AFTER.take(key)
-        place = gate + lane * GATES
-        column = place * self.columns
-        place <<= 1
-        place += met
-        z = self.corpus.take(place)
-        z *= odds_in
-        z += self.own.take(place) * own
-        np.clip(z, -MOST_ODDS, MOST_ODDS, out=z)
-        p = 1 / (1 + np.exp(-z))
-        error = (1 - p) * np.float32(RATE)
-        flat, used = place.ravel(), len(bit) * GATES * 2
-        own *= error
-        error *= odds_in
-        self.own[:used] += np.bincount(flat, own.ravel(), used)
-        self.corpus[:used] += np.bincount(flat, error.ravel(), used)
-        sign = bit.astype(np.float32)
-        sign *= 2
-        sign -= 1
-        z *= sign
-        z += np.float32(MAP_HALF + 0.5 / MAP_STEP)
-        z *= MAP_STEP
-        np.clip(z, 0, np.float32(self.columns - 0.5), out=z)
-        column += z.astype(np.int64)
-        refined = self.map.take(column)
-        self.map[column] = refined + (bit - refined) * np.float32(MAP_RATE)
-        refined -= 0.5
+        cell = gate + lane * GATES
+        column = cell * self.columns
+        cell <<= 1
+        ones = bit.astype(np.float32)
+        sign = 2 * ones - 1
+        steep = sign * np.float32(MAP_STEP)
+        moved, refined = np.zeros(bit.shape, np.float32), ones.copy()  # where no bit is, both give 1 at the end
+        ones *= np.float32(MAP_RATE)
+        corpus, own, states, map_ = self.corpus, self.own, self.states, self.map
+        half, last, stay = np.float32(MAP_STEP * MAP_HALF + 0.5), np.float32(self.columns - 0.5), np.float32(1 - MAP_RATE)
+        low, high, rate, one = np.float32(-MOST_ODDS), np.float32(MOST_ODDS), np.float32(RATE), np.float32(1)
+        for t, k in enumerate(active.tolist()):
+            given, at = odds_in[t, :k], slot[t, :k]
+            key = states.take(at)
+            key |= bit[t, :k]
+            key = key.astype(np.intp)
+            states[at] = AFTER_TWICE.take(key)
+            value = VALUE.take(key)
+            at = cell[t, :k] + (key > 1)
+            weight, mine = corpus.take(at), own.take(at)
+            z = weight * given
+            z += mine * value
+            np.minimum(z, high, out=z)
+            np.maximum(z, low, out=z)
+            error = np.exp(z)
+            error += one
+            np.divide(rate, error, out=error)
+            moved[t, :k] = error
+            value *= error
+            value += mine
+            own[at] = value
+            error *= given
+            error += weight
+            corpus[at] = error
+            z *= steep[t, :k]
+            z += half
+            np.maximum(z, 0, out=z)
+            np.minimum(z, last, out=z)
+            at = z.astype(np.intp)
+            at += column[t, :k]
+            found = map_.take(at)
+            refined[t, :k] = found
+            found *= stay
+            found += ones[t, :k]
+            map_[at] = found
+        refined -= np.float32(0.5)
         refined *= sign
-        refined += 0.5
-        refined += p
-        refined *= 0.5
-        return refined
+        refined += np.float32(0.5)
+        moved *= np.float32(-1 / RATE)
+        moved += one
+        moved += refined
+        moved *= np.float32(0.5)
+        return moved
+
+    def alone(self, lane: int) -> Generator[float, tuple, None]:
+        """Goes on with one lane where few are left: takes parts of its bits, gives their costs. The same steps, by number."""
+        cells = slice(lane * GATES * 2, (lane + 1) * GATES * 2)
+        corpus, own = self.corpus[cells].tolist(), self.own[cells].tolist()
+        map_ = self.map[lane * GATES * self.columns : (lane + 1) * GATES * self.columns].tolist()
+        states = bytearray(self.states[lane << OWN_SLOTS : (lane + 1) << OWN_SLOTS])
+        values, following, exp, log2, columns = VALUE.tolist(), AFTER_TWICE.tolist(), math.exp, math.log2, self.columns
+        half, last = MAP_STEP * MAP_HALF + 0.5, columns - 0.5
+        cost = 0.0
+        while True:
+            parts = yield cost
+            cost = 0.0
+            for given, bit, gate, slot in zip(*(part.tolist() for part in parts), strict=True):
+                key = states[slot] + bit
+                states[slot] = following[key]
+                value = values[key]
+                at = 2 * gate + (key > 1)
+                weight, mine = corpus[at], own[at]
+                z = weight * given + mine * value
+                z = MOST_ODDS if z > MOST_ODDS else -MOST_ODDS if z < -MOST_ODDS else z
+                p = 1 / (1 + exp(-z))
+                error = (1 - p) * RATE
+                corpus[at] = weight + error * given
+                own[at] = mine + error * value
+                place = (z if bit else -z) * MAP_STEP + half
+                at = gate * columns + (0 if place < 0 else int(last) if place > last else int(place))
+                found = map_[at]
+                map_[at] = found + (bit - found) * MAP_RATE
+                cost -= log2((p + (found if bit else 1 - found)) / 2)
+
+
+def parts_of(some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The corpus's log odds, the bit, the gate and the slot of a block's bits."""
+    cells = some.view(np.uint8).reshape(*some.shape, 4)
+    given = cells[..., 0].view(np.int8) * np.float32(UNIT)
+    slot = (some >> np.uint32(32 - OWN_SLOTS)).astype(np.int64)
+    return given, cells[..., 1] & 1, (cells[..., 1] >> 1).astype(np.int64), slot
 
 
 class Model:
@@ -649,55 +713,60 @@ class Block:
         out[:, 2:] = own.beginnings()[:, None].view(np.uint8)[:, :2]
         return out.view(np.uint32).ravel(), own.sizes, own.bytes
 
-    def stretches(self, texts: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-        """``(text, places of its bits)`` for each stretch."""
-        for i, numbers in enumerate(texts):
-            sizes = self.sizes[numbers]
-            ends = np.cumsum(sizes)
-            shift = self.begin[numbers] - (ends - sizes)
-            for low in range(0, int(ends[-1]), STRETCH):
-                high = min(low + STRETCH, int(ends[-1]))
-                a, b = np.searchsorted(ends, low, "right"), np.searchsorted(ends, high, "left") + 1
-                edge = np.minimum(ends[a:b], high)
-                size = np.diff(edge, prepend=low)
-                yield i, (np.repeat(shift[a:b], size) + np.arange(low, high)).astype(np.int32)
-
     def costs(self, texts: list[np.ndarray]) -> np.ndarray:
         """Bits of each text."""
-        total = np.zeros(len(texts))
-        held = []
-        for stretch in self.stretches(texts):
-            held.append(stretch)
-            if len(held) >= 2 * LANES:
-                held = self._read(total, held)
-        while held:
-            held = self._read(total, held)
-        return total
-
-    def _read(self, total: np.ndarray, held: list[tuple[int, np.ndarray]]) -> list[tuple[int, np.ndarray]]:
-        """Reads the longest ``LANES`` stretches; the others are returned."""
-        held.sort(key=lambda stretch: -len(stretch[1]))
-        now, later = held[:LANES], held[LANES:]
-        sizes = np.array([len(places) for _, places in now])
-        longest = -(-int(sizes[0]) // STEPS) * STEPS
-        place = np.zeros((len(now), longest), np.int32)
-        for row, (_, places) in zip(place, now, strict=True):
-            row[: len(places)] = places
-        lanes = Lanes(len(now))
-        cost = np.zeros(len(now))
-        for low in range(0, longest, STEPS):
-            active = int(np.searchsorted(-sizes, -low, "left"))  # those longer than low
-            some = self.bits.take(place[:active, low : low + STEPS])
-            given = some.view(np.int8).reshape(*some.shape, 4)[:, :, 0] * np.float32(UNIT)
-            gate = some.view(np.uint8).reshape(*some.shape, 4)[:, :, 1]
-            slot = (some >> np.uint32(32 - OWN_SLOTS)).astype(np.int64)
-            p = lanes.read(given, gate & 1, (gate >> 1).astype(np.int64), slot)
-            bits = np.log2(p)
-            if sizes[active - 1] < low + STEPS:
-                bits *= np.arange(low, low + STEPS) < sizes[:active, None]
-            cost[:active] -= bits.sum(axis=1, dtype=np.float64)
-        np.add.at(total, np.array([text for text, _ in now]), cost)
-        return later
+        words = np.concatenate(texts)
+        ends = np.cumsum(self.sizes[words])  # of each word, in the bits of all texts one after the other
+        stop = ends[np.cumsum([len(numbers) for numbers in texts]) - 1]
+        start = np.concatenate([[0], stop[:-1]])
+        many = -(-(stop - start) // STRETCH)
+        text = np.repeat(np.arange(len(texts)), many)
+        low = start[text] + STRETCH * (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many))
+        high = np.minimum(low + STRETCH, stop[text])
+        order = np.argsort(low - high, kind="stable")  # the longest first
+        cost = np.zeros(len(text))
+        for first in range(0, len(order), LANES):
+            some = order[first : first + LANES]
+            cost[some] = self._read(words, ends, low[some], high[some])
+        return np.bincount(text, cost, len(texts))
+
+    def _read(self, words: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Costs of stretches ``low`` to ``high`` of the bits of all texts, the longest first, read side by side."""
+        lanes, cost = Lanes(len(low)), np.zeros(len(low))
+        sizes = high - low
+        longest = min(int(sizes[0]), LONG)
+        for begin in range(0, longest, PREPARED):
+            steps = min(PREPARED, longest - begin)
+            active = np.searchsorted(-sizes, -(begin + np.arange(steps)), "left")  # those longer than that
+            used = int(active[0])
+            a = low[:used] + begin
+            z = np.minimum(a + steps, high[:used])
+            some = self._bits_between(words, ends, a, z)
+            if z[-1] - a[-1] < steps:
+                flat, some = some, np.zeros(used * steps, np.uint32)
+                some[(np.arange(steps) < (z - a)[:, None]).ravel()] = flat
+            p = lanes.steps(*parts_of(np.ascontiguousarray(some.reshape(used, steps).T)), active)
+            cost[:used] -= np.log2(p).sum(axis=0, dtype=np.float64)
+        for lane in range(int(np.searchsorted(-sizes, -LONG, "left"))):
+            alone = lanes.alone(lane)
+            next(alone)
+            for a in range(int(low[lane]) + LONG, int(high[lane]), LONG):
+                z = min(a + LONG, int(high[lane]))
+                cost[lane] += alone.send(parts_of(self._bits_between(words, ends, np.array([a]), np.array([z]))))
+        return cost
+
+    def _bits_between(self, words: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The bits from each ``low`` to its ``high``, one range after the other."""
+        word, until = np.searchsorted(ends, low, "right"), np.searchsorted(ends, high, "left") + 1
+        many, size = until - word, high - low
+        first = np.cumsum(many) - many
+        mine = np.arange(many.sum()) + np.repeat(word - first, many)
+        edge = np.minimum(ends[mine], np.repeat(high, many))
+        before = np.concatenate([[0], edge[:-1]])
+        before[first] = low
+        own = words[mine]
+        moved = self.begin[own] + self.sizes[own] - ends[mine] + np.repeat(low - (np.cumsum(size) - size), many)
+        return self.bits.take(np.repeat(moved, edge - before) + np.arange(size.sum()))
 
 
 PACKED_ROWS = 1 << 16

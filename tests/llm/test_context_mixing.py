@@ -150,6 +150,25 @@ def test_reading_equals_a_plain_one(monkeypatch):
     assert np.allclose(alone, got, rtol=1e-6)
 
 
+def test_learns_after_each_bit_to_the_end_of_a_text(monkeypatch):
+    """The plain reading moves after every bit and never starts anew, with bits side by side and bits read alone."""
+    rng = random.Random(5)
+    texts = [" ".join(made_texts(rng, 60)), *made_texts(rng, 5)]
+    code = code_for(texts)
+    block, words, own, sums, model = block_of(texts, code, rng, trained=texts[1:])
+    number = {w: i for i, w in enumerate(words)}
+    numbers = [np.array([number[w] for w in plain_words(t)]) for t in texts]
+    assert own.sizes[numbers[0]].sum() > 2 * 8192
+    got = [block.costs(numbers)]
+    monkeypatch.setattr(cm, "LONG", 300, raising=False)
+    monkeypatch.setattr(cm, "PREPARED", 64, raising=False)
+    got.append(block.costs(numbers))
+    monkeypatch.setattr(cm, "STEPS", 1)
+    monkeypatch.setattr(cm, "STRETCH", 1 << 40)
+    plain = [plain_cost(body.tolist(), words, own, sums, model) for body in numbers]
+    assert np.allclose(got[0], plain, rtol=2e-4) and np.allclose(got[1], plain, rtol=2e-4)
+
+
 def test_both_bits_share_all_probability():
     """Whatever was read before, the probabilities of a zero and a one add up to one."""
     rng = np.random.default_rng(3)
