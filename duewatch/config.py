@@ -76,6 +76,7 @@ class StudyConfig:
     tree_depth: int = 6
     tree_step: float = 0.1
     fit_rows_per_task: int = 50_000  # ours: the partitioning of a fit
+    fit_entries_per_task: int = 500_000  # ours: the same for texts, by entries of their vectors
 
     text_min_df: int = 5
     text_max_terms: int = 50_000

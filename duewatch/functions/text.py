@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
@@ -14,13 +15,21 @@ from ..config import REDACTION_TOKENS
 WORD = r"[\p{L}\p{N}_]{2,}"
 
 
-@F.pandas_udf(StringType())
-def _decompose(texts: pd.Series) -> pd.Series:
-    def plain(run):
-        return "".join(c for c in unicodedata.normalize("NFKD", run[0]) if not unicodedata.combining(c))
+FOREIGN = re.compile(r"[^\x00-\x7F]+")
 
-    # Only the non-ASCII runs of a text are touched; ASCII neighbours never change under NFKD.
-    return texts.str.replace(r"[^\x00-\x7F]+", plain, regex=True)
+
+def _plain(run: re.Match) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", run[0]) if not unicodedata.combining(c))
+
+
+@F.arrow_udf(StringType())
+def _decompose(texts: pa.Array) -> pa.Array:
+    # Only the non-ASCII runs of a text are touched; ASCII neighbours never change under NFKD. Few texts are Python's at once.
+    parts = [
+        pa.array([t and FOREIGN.sub(_plain, t) for t in texts.slice(low, 256).to_pylist()], texts.type)
+        for low in range(0, len(texts), 256)
+    ]
+    return pa.concat_arrays(parts) if parts else texts
 
 
 def strip_accents(column: Column) -> Column:

@@ -44,19 +44,23 @@ def model_exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
-def fit_on(estimator, vectors: DataFrame, rows: int, cfg: StudyConfig):
+def fit_on(estimator, vectors: DataFrame, rows: int, cfg: StudyConfig, rows_per_task: int | None = None):
     """Fit on cached vectors. The cache lives on the executors; lost blocks are computed again.
 
-    A task gets at least ``fit_rows_per_task`` rows, enough to outweigh launching it every iteration.
+    A task gets at least ``rows_per_task`` rows (default: ``fit_rows_per_task``), enough to outweigh launching it every
+    iteration.
     """
-    cached = vectors.repartition(fit_tasks(vectors.sparkSession, rows, cfg.fit_rows_per_task)).persist()
+    tasks = fit_tasks(vectors.sparkSession, rows, rows_per_task or cfg.fit_rows_per_task)
+    cached = vectors.repartition(tasks).persist()
     try:
         return estimator.fit(cached)
     finally:
         cached.unpersist()
 
 
-def fit_logistic(vectors: DataFrame, rows: int, cfg: StudyConfig) -> LogisticRegressionModel:
+def fit_logistic(
+    vectors: DataFrame, rows: int, cfg: StudyConfig, rows_per_task: int | None = None
+) -> LogisticRegressionModel:
     """L2 logistic regression whose objective is ``C * sum(loss) + |w|^2 / 2``, intercept free."""
     estimator = LogisticRegression(
         featuresCol="features",
@@ -66,7 +70,7 @@ def fit_logistic(vectors: DataFrame, rows: int, cfg: StudyConfig) -> LogisticReg
         standardization=False,
         maxIter=cfg.logistic_iterations,
     )
-    return fit_on(estimator, vectors, rows, cfg)
+    return fit_on(estimator, vectors, rows, cfg, rows_per_task)
 
 
 def sigmoid(margin: Column) -> Column:

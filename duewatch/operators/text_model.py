@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..config import StudyConfig
 from ..functions import with_terms
+from ..session import staged_path
 from .models import fit_logistic, sigmoid
 
 
@@ -155,21 +156,26 @@ def train_text(sample: DataFrame, cfg: StudyConfig) -> TextModel | None:
     if rows < cfg.text_min_train_rows:
         return None
     index = TermIndex.fit(docs, cfg)
-    raw = index.weigh(docs).select("target", _sparse(len(index.terms)).alias("raw"))
+    raw = _vectors(index.weigh(docs).select("target", "entries"), len(index.terms))
+    entries = raw.agg(F.sum(F.size(F.unwrap_udt("raw")["indices"]))).first()[0]
     vectors = Normalizer(inputCol="raw", outputCol="features").transform(raw)
-    fitted = fit_logistic(vectors, rows, cfg)
+    # A text has hundreds of entries, so tasks are cut by them.
+    fitted = fit_logistic(vectors, rows, cfg, max(1, rows * cfg.fit_entries_per_task // max(1, entries)))
     return TextModel(index, tuple(float(v) for v in fitted.coefficients.toArray()), float(fitted.intercept))
 
 
-def _sparse(size: int) -> Column:
-    """The ``entries`` as a sparse vector; Arrow only relabels the two arrays."""
-
-    @F.pandas_udf(VectorUDT())
-    def wrap(indices: pd.Series, values: pd.Series) -> pd.DataFrame:
-        kind = pd.Series([0] * len(indices), dtype="int8")
-        return pd.DataFrame({"type": kind, "size": size, "indices": indices, "values": values})
-
-    return wrap(F.col("entries.index"), F.col("entries.weight"))
+def _vectors(weighed: DataFrame, size: int) -> DataFrame:
+    """``(target, entries)`` as ``(target, raw)``: written as a sparse vector's fields and read back as one, all JVM-side."""
+    fields = F.struct(
+        F.lit(0).cast("byte").alias("type"),
+        F.lit(size).alias("size"),
+        F.col("entries.index").alias("indices"),
+        F.col("entries.weight").alias("values"),
+    )
+    path = staged_path(weighed.sparkSession, "text-vectors")
+    weighed.select("target", fields.alias("raw")).write.parquet(path)
+    schema = StructType([weighed.schema["target"], StructField("raw", VectorUDT())])
+    return weighed.sparkSession.read.schema(schema).parquet(path)
 
 
 def top_terms(coefficients: DataFrame, rows: int = 15) -> DataFrame:

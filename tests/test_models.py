@@ -297,6 +297,23 @@ def test_text_model_matches_newton_and_reloads(spark, tmp_path):
     assert got == pytest.approx({r.complaint_id: r.score for r in again.score(docs, "complaint_id").collect()})
 
 
+def test_text_fit_is_cut_by_entries_and_stays_in_the_jvm(spark, monkeypatch):
+    """Few rows with many entries spread over tasks, and no vector passes Python."""
+    rows = [(i, i % 2, " ".join(f"w{(i + k) % 40:02d}" for k in range(30))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "complaint_id int, target int, narrative string")
+    seen = []
+
+    def fit(estimator, vectors, *rest, **more):
+        raised = models.fit_tasks(spark, rest[0], rest[2])
+        seen.append((raised, vectors._jdf.queryExecution().toString()))
+        return estimator.fit(vectors)
+
+    monkeypatch.setattr(models, "fit_on", fit)
+    assert text_model.train_text(docs, replace(CFG, fit_entries_per_task=3000)) is not None
+    ((tasks, plan),) = seen
+    assert tasks > 1 and "Python" not in plan and "wrap(" not in plan
+
+
 def test_too_little_text_gives_no_model(docs):
     assert text_model.train_text(docs, CFG) is None
 
