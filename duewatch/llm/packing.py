@@ -53,6 +53,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -65,10 +66,11 @@ class Encoder:
         found = self.known.get(stem) or self.older.get(stem)
         if found is None:
             text = stem.decode("utf-8", "replace")
-            if not (text.isalpha() and (text.isascii() or text.lower() == text and is_normalized("NFC", text))):
-                return None
-            pieces = self.model.tokenize(stem.decode("latin-1").translate(BYTE_LETTERS))
-            found = self.known[stem] = b"".join([piece.id.to_bytes(4, "little") for piece in pieces])
+            if not stem.isalpha():  # ASCII letters stand for themselves in the vocabulary
+                if not (text.isalpha() and text.lower() == text and is_normalized("NFC", text)):
+                    return None
+                text = stem.decode("latin-1").translate(BYTE_LETTERS)
+            found = self.known[stem] = b"".join([self.four[piece.id] for piece in self.model.tokenize(text)])
         return found
 
     def learn(self, words: list[bytes]) -> None:
@@ -102,7 +104,7 @@ class Encoder:
         fresh = met.difference(self.known)
         if len(self.known) + len(fresh) > KEPT_WORDS:
             self.known, self.older, fresh = {}, self.known, met
-        again = fresh.intersection(self.older)
+        again = {word for word in fresh if word in self.older}  # a set's intersection would walk all older words
         self.known.update((word, self.older[word]) for word in again)
         self.learn(list(fresh.difference(again)))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]

@@ -82,3 +82,16 @@ def test_stream_ends_without_padding():
     for _, _, ids, _, sequence, _ in out:
         fill[sequence] += len(ids)
     assert all(x & (x - 1) == 0 and x <= 64 for x in fill.values())
+
+
+def test_a_batch_does_not_walk_the_older_words():
+    """Each batch asks the older words by key only, however many there are."""
+
+    class Older(dict):
+        def __iter__(self):
+            raise AssertionError("walked")
+
+    coder = Encoder(PATH)
+    coder.older = Older({b"kept": coder.whole(b"kept")})
+    assert coder.batch(["kept new"]) == Encoder(PATH).batch(["kept new"])
+    assert b"kept" in coder.known
