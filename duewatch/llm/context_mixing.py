@@ -15,8 +15,8 @@ For each bit
 The sum of the bits' costs is the cost of the text, and its score is minus that, as log10 of the probability. The weights'
 starting points come from all training words: every count less one, as an unread text would meet it, summed into a
 bounded grid of cells. What is learned while reading moves after every bit and is kept to the end of the text. Texts start
-anew and are read side by side, so no text depends on another one's place; the bits from ``LONG`` on, which few texts have, are
-read one text at a time, by the same rule in double precision.
+anew and are read side by side, so no text depends on another one's place; the bits from ``LONG`` on, where fewer than ``FEW``
+texts are as long, are read one text at a time, by the same rule in double precision.
 
 On Spark: tasks turn texts into numbers and write them with the words of each block (some ``BLOCK_BYTES`` of text). Words are
 counted over all blocks and dealt by range in the order of their codes, so that all words that share bits lie side
@@ -39,6 +39,7 @@ from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -58,10 +59,10 @@ KNOWN_BYTES = 24
 STRETCH = 1 << 40
 #: Bits of a stretch that are read before its weights, its own table and its map move.
 STEPS = 1
-#: Stretches read side by side, bits of each prepared at a time, and words spelled at a time; only bound memory.
-LANES, PREPARED, SPELL = 2048, 256, 1 << 13
-#: From this bit on a stretch is read by itself: too few others are as long.
-LONG = 1 << 16
+#: Stretches read side by side, bits gathered and read at a time, and words spelled at a time; only bound memory.
+LANES, GATHERED, PREPARED, SPELL = 2000, 1 << 20, 1 << 18, 1 << 13
+#: From this bit on a stretch is read by itself where fewer than ``FEW`` are as long.
+LONG, FEW = 1 << 16, 16
 #: Log odds are held as whole numbers of this unit.
 UNIT = 0.1
 #: Those of a word's own table take five bits: a sign and one of these sizes. The gate takes the other three of a byte.
@@ -113,9 +114,14 @@ class Code:
 
     def keys(self, words: list[bytes]) -> list[bytes]:
         """Bytes that sort as the words' bits do."""
+        return self.places(words).to_pylist()
+
+    def places(self, words: pa.Array | list[bytes]) -> pa.Array:
+        """The same as an array."""
         data, ends = joined(words)
-        order = self.rank[pairs(data, ends)].tobytes()
-        return [order[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+        order = pa.py_buffer(self.rank.take(pairs(data, ends)).tobytes())
+        starts = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32).tobytes())
+        return pa.Array.from_buffers(pa.binary(), len(ends), [None, starts, order])
 
 
 def shortest(counts: np.ndarray) -> dict[int, list[tuple[int, int]]]:
@@ -143,10 +149,25 @@ def closed(word: bytes) -> bytes:
     return word if word == END else word + SPACE
 
 
-def joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def bytes_of(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values of a binary array without nulls, and each value's size."""
+    _, starts, data = values.buffers()
+    if not len(values) or data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(values), np.int64)
+    starts = np.frombuffer(starts, np.int32)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(data, np.uint8)[starts[0] : starts[-1]], np.diff(starts).astype(np.int64)
+
+
+def joined(words: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all words, closed, and each word's end in them."""
-    whole = [closed(word) for word in words]
-    return np.frombuffer(b"".join(whole), np.uint8), np.cumsum(np.fromiter(map(len, whole), np.int64, len(whole)))
+    data, sizes = bytes_of(words if isinstance(words, pa.Array) else pa.array(words, pa.binary()))
+    sizes[(sizes != 1) | (data.take(np.cumsum(sizes) - 1) != END[0])] += 1
+    ends = np.cumsum(sizes)
+    whole = np.full(sizes.sum(), SPACE[0], np.uint8)
+    inner = np.ones(len(whole), bool)
+    inner[ends[(sizes != 1)] - 1] = False
+    whole[inner] = data
+    return whole, ends
 
 
 def pairs(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -161,7 +182,7 @@ def pairs(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
 class Spelled:
     """The bits of many words, one after the other, and the contexts they are predicted from."""
 
-    def __init__(self, words: list[bytes], code: Code):
+    def __init__(self, words: pa.Array | list[bytes], code: Code):
         self.data, ends = joined(words)
         #: Bytes, bits, and bits that the word's own table knows, of each word; ``begin``: its first bit.
         self.bytes = np.diff(ends, prepend=0)
@@ -176,12 +197,12 @@ class Spelled:
         shift = code.first[pair] - (np.cumsum(long) - long).astype(np.int32)
         step = np.arange(len(self.byte), dtype=np.int32) + shift[self.byte]
         self.bit = code.bit.take(step)
-        self.node = code.node.take(step)
+        self.node = NODES.take(code.node.take(step))
 
     def _hashed(self, context: np.ndarray, bits: int) -> np.ndarray:
         """A number of so many bits from the context of a bit's byte and the node of the code."""
-        mixed = mix(context)[self.byte]
-        mixed ^= NODES[self.node]
+        mixed = mix(context).take(self.byte)
+        mixed ^= self.node
         mixed *= ODD
         mixed >>= np.uint64(64 - bits)
         return mixed
@@ -218,12 +239,28 @@ def gate_of(seen: np.ndarray) -> np.ndarray:
 
 def own_byte(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     """Gate and log odds of the bit that comes, where ``before`` words share what precedes it and ``after`` also it."""
+    place = np.minimum(before, SMALL - 1)
+    place *= SMALL
+    place += np.minimum(after, SMALL - 1)
+    out = OWN_SMALL.take(place, mode="clip")
+    large = np.flatnonzero((before >= SMALL) | (before < 0))
+    out[large] = own_byte_of(before[large], after[large])
+    return out
+
+
+def own_byte_of(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The same for each pair by itself."""
     x = np.log((after + 0.4) / (before - after + 0.4))
     size = np.searchsorted((SIZES[1:] + SIZES[:-1]) / 2, np.abs(x)).astype(np.uint8)
     size[before == 0] = 0
     return (gate_of(before) << 5) | ((x < 0).astype(np.uint8) << 4) | size
 
 
+#: Such bytes by SMALL * before + after.
+SMALL = 128
+OWN_SMALL = own_byte_of(
+    np.repeat(np.arange(SMALL), SMALL), np.minimum(np.tile(np.arange(SMALL), SMALL), np.repeat(np.arange(SMALL), SMALL))
+)
 #: Log odds by the low five bits of such a byte, in units.
 OWN_ODDS = np.rint(np.concatenate([SIZES, -SIZES]) / UNIT).astype(np.int8)
 
@@ -231,14 +268,6 @@ OWN_ODDS = np.rint(np.concatenate([SIZES, -SIZES]) / UNIT).astype(np.int8)
 # --- words and blocks
 
 
-class Numbers(dict):
-    """Gives every new word the next number."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = len(self)
-        return self[word]
-
-
 TEXT, WORD = 0, 1
 READ = "kind int, block long, doc_id long, held_out boolean, number int, word binary, n long, body binary"
 READ_NAMES = [part.split()[0] for part in READ.split(", ")]
@@ -258,47 +287,66 @@ def unpacked_numbers(body: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int32)
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after the other, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, ends = lists.flatten(), np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+    some = pc.not_equal(pc.binary_length(words), 0)  # blanks at the ends of a text leave empty words
+    before = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    return words.filter(some), np.diff(before[ends], prepend=0)
+
+
 def read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of ``(doc_id, text)`` to numbered texts and the words of each block with their training counts."""
     task = TaskContext.get()
     block = (task.partitionId() if task else 0) << 24
-    numbers, texts, held = Numbers(), [], 0
+    ids, words, sizes, held = [], [], [], 0
 
     def flushed() -> Iterator[pa.RecordBatch]:
-        n, rest = (
-            np.bincount(np.concatenate([[], *(t[2] for t in texts if t[1] == out)]).astype(np.int64), minlength=len(numbers))
-            for out in (False, True)
-        )
-        order = np.argsort(-(n + rest), kind="stable")
-        place = np.empty(len(numbers), np.int64)  # frequent words get small numbers
-        place[order] = np.arange(len(numbers))
-        words = list(numbers)
-        full = len(texts)
-        for low in range(0, full, 512):
-            some = texts[low : low + 512]
+        coded = pa.chunked_array(words).combine_chunks().dictionary_encode()
+        found = pa.concat_arrays([coded.dictionary.cast(pa.binary()), pa.array([END], pa.binary())])
+        many = np.concatenate(sizes)
+        stop = np.cumsum(many + 1)  # each text closes with the end
+        numbers = np.full(stop[-1], len(found) - 1, np.int32)
+        inner = np.ones(len(numbers), bool)
+        inner[stop - 1] = False
+        numbers[inner] = coded.indices.to_numpy()
+        out = np.fromiter(map(is_held_out, ids), bool, len(ids))
+        n = np.bincount(numbers[np.repeat(~out, many + 1)], minlength=len(found))
+        order = np.argsort(-np.bincount(numbers, minlength=len(found)), kind="stable")
+        place = np.empty(len(found), np.int32)  # frequent words get small numbers
+        place[order] = np.arange(len(found))
+        numbers = place.take(numbers)
+        bodies = [packed_numbers(numbers[a:b]) for a, b in zip([0, *stop.tolist()], stop.tolist(), strict=False)]
+        for low in range(0, len(ids), 512):
+            some = slice(low, low + 512)
             yield record(
-                len(some), kind=TEXT, block=block, doc_id=[t[0] for t in some], held_out=[t[1] for t in some],
-                body=[packed_numbers(place[t[2]]) for t in some],
+                len(ids[some]), kind=TEXT, block=block, doc_id=ids[some], held_out=out[some], body=bodies[some]
             )
-        for low in range(0, len(words), 1 << 16):
-            some = order[low : low + (1 << 16)].tolist()
+        for low in range(0, len(found), 1 << 16):
+            some = order[low : low + (1 << 16)]
             yield record(
-                len(some), kind=WORD, block=block, number=range(low, low + len(some)), word=[words[i] for i in some], n=n[some]
-            )
+                len(some), kind=WORD, block=block, number=range(low, low + len(some)),
+                word=found.take(pa.array(some)), n=n[some],
+            )
 
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            data = text.as_buffer().to_pybytes().lower() if text.is_valid else b""
-            words = data.split()
-            words.append(END)
-            body = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
-            texts.append((doc_id, is_held_out(doc_id), body))
-            held += len(data)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
+        low, before = 0, 0
+        while low < len(batch):  # a block ends with the text that fills it
+            high = min(len(batch), int(np.searchsorted(ends, before + BLOCK_BYTES - held)) + 1)
+            part = batch.slice(low, high - low)
+            ids += part.column("doc_id").to_pylist()
+            some, many = words_of(part.column("text"))
+            words.append(some)
+            sizes.append(many)
+            held += int(ends[high - 1]) - before
+            low, before = high, int(ends[high - 1])
             if held >= BLOCK_BYTES:
                 yield from flushed()
                 block += 1
-                numbers, texts, held = Numbers(), [], 0
-    if texts:
+                ids, words, sizes, held = [], [], [], 0
+    if ids:
         yield from flushed()
 
 
@@ -314,7 +362,7 @@ def record(rows: int, **columns) -> pa.RecordBatch:
         value = columns.get(name)
         if value is None or isinstance(value, int):
             value = [value] * rows
-        arrays.append(pa.array(value, kind))
+        arrays.append(value if isinstance(value, pa.Array) else pa.array(value, kind))
     return pa.RecordBatch.from_arrays(arrays, READ_NAMES)
 
 
@@ -323,7 +371,7 @@ def histogram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
         n = batch.column("n").to_numpy()
-        data, ends = joined(batch.filter(pa.array(n > 0)).column("word").to_pylist())
+        data, ends = joined(batch.filter(pa.array(n > 0)).column("word"))
         if len(ends):
             np.add.at(total, pairs(data, ends), np.repeat(n[n > 0], np.diff(ends, prepend=0)))
     some = np.flatnonzero(total)
@@ -338,7 +386,7 @@ def slot_rows(code: Code):
         total = np.zeros(2 * slots, np.int64)
         for batch in batches:
             n = batch.column("n").to_numpy()
-            own = Spelled(batch.filter(pa.array(n > 0)).column("word").to_pylist(), code)
+            own = Spelled(batch.filter(pa.array(n > 0)).column("word"), code)
             n = np.repeat(n[n > 0], own.sizes)
             slot2, slot4 = own.slots()
             np.add.at(total, 2 * slot2 + own.bit, n)
@@ -426,11 +474,38 @@ def outside(ranges: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {key: (left[key], right[key]) for key in left}
 
 
-def in_order(table: pa.Table, code: Code) -> tuple[list[bytes], np.ndarray]:
+def in_order(table: pa.Table, code: Code) -> tuple[pa.Array, np.ndarray]:
     """A range's words in the order of their codes, with their counts."""
-    words, n = table.column("word").to_pylist(), table.column("n").to_numpy()
-    order = sorted(range(len(words)), key=code.keys(words).__getitem__)
-    return [words[i] for i in order], n[order]
+    words, n = pa.concat_arrays(table.column("word").chunks), table.column("n").to_numpy()
+    order = pc.array_sort_indices(code.places(words))
+    return words.take(order), n[order.to_numpy()]
+
+
+def sums_beside(words: pa.Array, n: np.ndarray, edge: int, code: Code) -> tuple[bytes, list[int]]:
+    """The known bits of one word, and for each number of them the count of all words that share so many.
+
+    These are the ``first`` or ``last`` sums of ``Beginnings``, without those of all other beginnings.
+    """
+    own = Spelled(words.slice(edge, 1), code)
+    bits, mine = own.bit[: own.known[0]].tobytes(), own.data[:KNOWN_BYTES]
+    data, ends = joined(words)
+    place = np.diff(ends, prepend=0)
+    place = np.minimum((ends - place)[:, None] + np.arange(len(mine)), len(data) - 1)
+    other = data.take(place)  # behind a word's end nothing is asked: its closing differs, or it is the same word
+    agree = (other == mine).cumprod(axis=1, dtype=np.uint8).sum(axis=1)
+    before = np.concatenate([[SPACE[0]], mine[:-1]]).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(code.length[256 * before + mine])])
+    level = begin[agree]
+    part = np.flatnonzero(agree < len(mine))  # bits of the first byte that differs
+    pair, found = np.unique(256 * agree[part] + other[part, agree[part]], return_inverse=True)
+    more = []
+    for at, byte in zip((pair >> 8).tolist(), (pair & 255).tolist(), strict=True):
+        first, size = code.first[256 * before[at] + byte], code.length[256 * before[at] + byte]
+        more.append(shared(code.bit[first : first + size].tobytes(), bits[begin[at] : begin[at + 1]]))
+    level[part] += np.array(more, np.int64)[found]
+    sums = np.zeros(len(bits) + 1, np.int64)
+    np.add.at(sums, level, n)
+    return bits, np.cumsum(sums[::-1])[::-1].tolist()
 
 
 def border_rows(code: Code):
@@ -438,14 +513,11 @@ def border_rows(code: Code):
 
     def each(key: tuple, table: pa.Table) -> pa.Table:
         words, n = in_order(table, code)
-        own = Spelled(words, code)
-        none = np.zeros(0, np.int64)
-        sums = Beginnings(own, n, none, none)
-        ends = [own.bit[own.begin[i] : own.begin[i] + own.known[i]].tobytes() for i in (0, -1)]
+        (first, first_sums), (last, last_sums) = (sums_beside(words, n, edge, code) for edge in (0, len(words) - 1))
         return pa.table(
             {
-                "range": pa.array([key[0].as_py()], pa.int32()), "first": pa.array(ends[:1], pa.binary()),
-                "last": pa.array(ends[1:], pa.binary()), "first_sums": [sums.first], "last_sums": [sums.last],
+                "range": pa.array([key[0].as_py()], pa.int32()), "first": pa.array([first], pa.binary()),
+                "last": pa.array([last], pa.binary()), "first_sums": [first_sums], "last_sums": [last_sums],
             }
         )
 
@@ -466,12 +538,14 @@ def cells_of_fit(own: Spelled, n: np.ndarray, sums: Beginnings, tables: tuple[np
     """Sums by (gate, three rounded log odds of the bit that came), each count less one for the word itself."""
     some = (np.repeat(n, own.sizes) > 0) & (sums.before > 0)
     found = own_byte(sums.before[some] - 1, sums.after[some] - 1)
-    sign = 2 * own.bit[some].astype(np.int64) - 1
+    sign = 2 * own.bit[some].astype(np.int8) - 1
     cell = (found >> 5).astype(np.int64)
+    near = np.rint(np.arange(256, dtype=np.uint8).view(np.int8) * UNIT)  # by such odds, as a byte
+    near = (np.clip(near, -CELL_HALF, CELL_HALF) + CELL_HALF).astype(np.int64)
     slot2, slot4 = own.slots()
-    for value in (tables[0][slot2[some]] * sign, tables[1][slot4[some]] * sign, OWN_ODDS[found & 31]):
-        near = np.clip(np.rint(value * UNIT), -CELL_HALF, CELL_HALF).astype(np.int64)
-        cell = cell * (2 * CELL_HALF + 1) + near + CELL_HALF
+    for value in (tables[0].take(slot2[some]) * sign, tables[1].take(slot4[some]) * sign, OWN_ODDS.take(found & 31)):
+        cell *= 2 * CELL_HALF + 1
+        cell += near.take(value.view(np.uint8))
     total = np.bincount(cell, np.repeat(n, own.sizes)[some])  # exact: whole numbers far below 2 ** 53
     found = np.flatnonzero(total)
     return found, total[found].astype(np.int64)
@@ -492,7 +566,7 @@ def known_rows(code: Code, tables: tuple[np.ndarray, np.ndarray], borders: dict)
         return pa.table(
             {
                 "kind": pa.array([WORD] * full + [TEXT] * more, pa.int32()),
-                "word": pa.array(words + [None] * more, pa.binary()),
+                "word": pa.concat_arrays([words, pa.nulls(more, pa.binary())]),
                 "n": pa.array(np.concatenate([n, weight]), pa.int64()),
                 "body": pa.array(own_predictions(own, n, sums) + [None] * more, pa.binary()),
                 "cell": pa.array([None] * full + found.tolist(), pa.int32()),
@@ -542,8 +616,9 @@ def next_states() -> tuple[np.ndarray, np.ndarray]:
 
 
 AFTER, VALUE = next_states()
-#: Lanes hold 2 * state.
+#: Lanes hold 2 * state, and lie so far from each other that their equal slots don't share lines of a cache.
 AFTER_TWICE = AFTER << 1
+SPAN = (1 << OWN_SLOTS) + 64
 
 
 class Lanes:
@@ -551,13 +626,14 @@ class Lanes:
 
     def __init__(self, lanes: int):
         cells = lanes * GATES * 2
-        #: By (lane, gate, met before): of the corpus's log odds, and of the text's own.
-        self.corpus, self.own = np.ones(cells, np.float32), np.full(cells, OWN_WEIGHT, np.float32)
+        #: By (lane, gate, met before): weights of the corpus's log odds, and of the text's own as the imaginary part, as both
+        #: are always looked up together.
+        self.weights = np.full(cells, 1 + 1j * OWN_WEIGHT, np.complex64)
         self.columns = 2 * MAP_HALF * MAP_STEP + 1
         line = 1 / (1 + np.exp(-(np.arange(self.columns) / MAP_STEP - MAP_HALF)))
         #: By (lane, gate, column).
         self.map = np.tile(line.astype(np.float32), lanes * GATES)
-        self.states = np.zeros(lanes << OWN_SLOTS, np.uint8)
+        self.states = np.zeros(lanes * SPAN, np.uint8)
         self.lane = np.arange(lanes)
 
     def read(self, odds_in: np.ndarray, bit: np.ndarray, gate: np.ndarray, slot: np.ndarray) -> np.ndarray:
@@ -566,72 +642,95 @@ class Lanes:
         ``odds_in`` are the corpus's log odds of the bit that came.
         """
         full = np.full(bit.shape[1], len(bit))
-        return self.steps(odds_in.T.copy(), bit.T.copy(), gate.T, slot.T, full).T
+        return self.steps(odds_in.T.astype(np.float32), bit.T.copy(), gate.T.astype(np.uint8), slot.T, full).T
 
     def steps(self, odds_in: np.ndarray, bit: np.ndarray, gate: np.ndarray, slot: np.ndarray, active: np.ndarray) -> np.ndarray:
-        """As ``read``, by (step, lane). Only the first ``active`` lanes have a bit at a step; others get 1."""
+        """As ``read``, by (step, lane). Only the first ``active`` lanes have a bit at a step; others get 1.
+
+        What a place holds depends on the bits alone, the weights on the places too, and the map on the mixed log odds. So the
+        three are followed one after the other. Lanes without a bit go on with zeros: they are not asked any more.
+        """
         lane = self.lane[: bit.shape[1]]
-        slot = slot + (lane << OWN_SLOTS)
-        cell = gate + lane * GATES
-        column = cell * self.columns
-        cell <<= 1
+        key = self._keys(slot + lane * SPAN, bit)
+        place = gate << np.uint8(1)
+        place |= key > 1
+        cell = place.astype(np.intp)
+        cell += lane * (2 * GATES)
         ones = bit.astype(np.float32)
-        sign = 2 * ones - 1
-        steep = sign * np.float32(MAP_STEP)
-        moved, refined = np.zeros(bit.shape, np.float32), ones.copy()  # where no bit is, both give 1 at the end
+        half = ones - np.float32(0.5)
+        mixed, moved = self._mixed(cell, odds_in, VALUE.take(key))
+        mixed *= half
+        mixed *= np.float32(2 * MAP_STEP)
+        mixed += np.float32(MAP_STEP * MAP_HALF + 0.5)
+        np.maximum(mixed, 0, out=mixed)
+        np.minimum(mixed, np.float32(self.columns - 0.5), out=mixed)
+        column = gate.astype(np.uint16)
+        column *= np.uint16(self.columns)
+        column += mixed.astype(np.uint16)
+        np.add(column, lane * (GATES * self.columns), out=cell)
         ones *= np.float32(MAP_RATE)
-        corpus, own, states, map_ = self.corpus, self.own, self.states, self.map
-        half, last, stay = np.float32(MAP_STEP * MAP_HALF + 0.5), np.float32(self.columns - 0.5), np.float32(1 - MAP_RATE)
-        low, high, rate, one = np.float32(-MOST_ODDS), np.float32(MOST_ODDS), np.float32(RATE), np.float32(1)
-        for t, k in enumerate(active.tolist()):
-            given, at = odds_in[t, :k], slot[t, :k]
-            key = states.take(at)
-            key |= bit[t, :k]
-            key = key.astype(np.intp)
-            states[at] = AFTER_TWICE.take(key)
-            value = VALUE.take(key)
-            at = cell[t, :k] + (key > 1)
-            weight, mine = corpus.take(at), own.take(at)
-            z = weight * given
-            z += mine * value
-            np.minimum(z, high, out=z)
-            np.maximum(z, low, out=z)
-            error = np.exp(z)
-            error += one
-            np.divide(rate, error, out=error)
-            moved[t, :k] = error
-            value *= error
-            value += mine
-            own[at] = value
-            error *= given
-            error += weight
-            corpus[at] = error
-            z *= steep[t, :k]
-            z += half
-            np.maximum(z, 0, out=z)
-            np.minimum(z, last, out=z)
-            at = z.astype(np.intp)
-            at += column[t, :k]
-            found = map_.take(at)
-            refined[t, :k] = found
-            found *= stay
-            found += ones[t, :k]
-            map_[at] = found
+        refined = self._shares(cell, ones, mixed)
         refined -= np.float32(0.5)
-        refined *= sign
-        refined += np.float32(0.5)
-        moved *= np.float32(-1 / RATE)
-        moved += one
+        refined *= half
+        moved *= np.float32(-0.5 / RATE)
         moved += refined
-        moved *= np.float32(0.5)
+        moved += np.float32(0.75)
+        if active[-1] < len(lane):
+            moved[np.arange(len(lane)) >= active[:, None]] = 1
         return moved
 
+    def _keys(self, slot: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """2 * (state of the bit's place) + bit; places learn."""
+        states, follow, both = self.states, AFTER_TWICE.take, np.bitwise_or
+        out = np.empty(bit.shape, np.uint8)
+        for at, one, key in zip(slot, bit, out, strict=True):
+            states.take(at, out=key, mode="clip")
+            both(key, one, key)
+            states[at] = follow(key)
+        return out
+
+    def _mixed(self, cell: np.ndarray, given: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The mixed log odds of the bit that came, and the rate times their error; weights learn. Takes the other arrays."""
+        weights = self.weights
+        low, high, rate, one = np.float32(-MOST_ODDS), np.float32(MOST_ODDS), np.float32(RATE), np.float32(1)
+        add, multiply, divide, exp, least, most = np.add, np.multiply, np.divide, np.exp, np.minimum, np.maximum
+        mixed, moved = np.empty(given.shape, np.float32), np.empty(given.shape, np.float32)
+        both = np.empty(given.shape[1], np.complex64)
+        weight, mine = both.real, both.imag
+        for at, x, y, z, error in zip(cell, given, value, mixed, moved, strict=True):
+            weights.take(at, out=both, mode="clip")
+            multiply(weight, x, z)
+            multiply(mine, y, error)
+            add(z, error, z)
+            least(z, high, z)
+            most(z, low, z)
+            exp(z, error)
+            add(error, one, error)
+            divide(rate, error, error)
+            multiply(x, error, x)
+            add(weight, x, weight)
+            multiply(y, error, y)
+            add(mine, y, mine)
+            weights[at] = both
+        return mixed, moved
+
+    def _shares(self, cell: np.ndarray, ones: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """What the map holds at each bit; it learns. Takes the other arrays."""
+        map_, stay, add, multiply = self.map, np.float32(1 - MAP_RATE), np.add, np.multiply
+        spare = np.empty(cell.shape[1], np.float32)
+        for at, one, found in zip(cell, ones, out, strict=True):
+            map_.take(at, out=found, mode="clip")
+            multiply(found, stay, spare)
+            add(spare, one, spare)
+            map_[at] = spare
+        return out
+
     def alone(self, lane: int) -> Generator[float, tuple, None]:
         """Goes on with one lane where few are left: takes parts of its bits, gives their costs. The same steps, by number."""
         cells = slice(lane * GATES * 2, (lane + 1) * GATES * 2)
-        corpus, own = self.corpus[cells].tolist(), self.own[cells].tolist()
+        corpus, own = self.weights.real[cells].tolist(), self.weights.imag[cells].tolist()
         map_ = self.map[lane * GATES * self.columns : (lane + 1) * GATES * self.columns].tolist()
-        states = bytearray(self.states[lane << OWN_SLOTS : (lane + 1) << OWN_SLOTS])
+        states = bytearray(self.states[lane * SPAN : (lane + 1) * SPAN])
         values, following, exp, log2, columns = VALUE.tolist(), AFTER_TWICE.tolist(), math.exp, math.log2, self.columns
         half, last = MAP_STEP * MAP_HALF + 0.5, columns - 0.5
         cost = 0.0
@@ -659,10 +758,10 @@ class Lanes:
 
 def parts_of(some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The corpus's log odds, the bit, the gate and the slot of a block's bits."""
-    cells = some.view(np.uint8).reshape(*some.shape, 4)
-    given = cells[..., 0].view(np.int8) * np.float32(UNIT)
+    given = some.astype(np.uint8).view(np.int8) * np.float32(UNIT)
+    gate = (some >> np.uint32(8)).astype(np.uint8)
     slot = (some >> np.uint32(32 - OWN_SLOTS)).astype(np.int64)
-    return given, cells[..., 1] & 1, (cells[..., 1] >> 1).astype(np.int64), slot
+    return given, gate & np.uint8(1), gate >> np.uint8(1), slot
 
 
 class Model:
@@ -693,64 +792,84 @@ class Block:
 
     def _bits(self, words: pa.Array, n: np.ndarray, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         model = self.model
-        own = Spelled(words.to_pylist(), model.code)
+        own = Spelled(words, model.code)
         # From where a word's beginning is its own, its count alone decides; nothing is known beyond its known bytes.
-        place = np.arange(len(own.bit), dtype=np.int32) - np.repeat(own.begin.astype(np.int32), own.sizes)
-        found = np.repeat(own_byte(n, n), own.sizes)
-        found[place >= np.repeat(own.known, own.sizes)] = 0
-        given = known.to_pylist()
-        sizes = np.fromiter(map(len, given), np.int64, len(given))
-        found[place < np.repeat(sizes, own.sizes)] = np.frombuffer(b"".join(given), np.uint8)
-        gate = found >> 5
-        weights = (model.weights * UNIT).astype(np.float32)
+        given, sizes = bytes_of(known)
+        parts = np.stack([sizes, own.known - sizes, own.sizes - own.known], axis=1).ravel()
+        part = np.zeros((len(sizes), 3), np.uint8)
+        part[:, 1] = own_byte(n, n)
+        found = np.repeat(part.ravel(), parts)
+        place = np.arange(sizes.sum()) + np.repeat(own.begin - (np.cumsum(sizes) - sizes), sizes)
+        found[place] = given
+        weights = (model.weights * UNIT).astype(np.float32)[np.arange(256) >> 5]  # by such a byte
         sign = 2 * own.bit.astype(np.int8) - 1
-        z = OWN_ODDS[found & 31] * weights[gate, 2]
+        z = (OWN_ODDS[np.arange(256) & 31] * weights[:, 2]).take(found)
         for k, slot in enumerate(own.slots()):
-            z += (model.tables[k][slot] * sign) * weights[gate, k]
-        out = np.empty((len(own.bit), 4), np.uint8)
-        out.view(np.int8)[:, 0] = np.rint(np.clip(z, -MOST_ODDS, MOST_ODDS) / np.float32(UNIT))
-        out[:, 1] = 2 * gate + own.bit
-        out[:, 2:] = own.beginnings()[:, None].view(np.uint8)[:, :2]
-        return out.view(np.uint32).ravel(), own.sizes, own.bytes
+            z += (model.tables[k].take(slot) * sign) * weights[:, k].copy().take(found)
+        np.clip(z, np.float32(-MOST_ODDS), np.float32(MOST_ODDS), out=z)
+        z /= np.float32(UNIT)
+        np.rint(z, out=z)
+        found >>= np.uint8(4)
+        found &= np.uint8(14)
+        found |= own.bit
+        out = own.beginnings()
+        out <<= np.uint32(8)
+        out |= found
+        out <<= np.uint32(8)
+        out |= z.astype(np.int8).view(np.uint8)
+        return out, own.sizes, own.bytes
 
     def costs(self, texts: list[np.ndarray]) -> np.ndarray:
         """Bits of each text."""
-        words = np.concatenate(texts)
-        ends = np.cumsum(self.sizes[words])  # of each word, in the bits of all texts one after the other
-        stop = ends[np.cumsum([len(numbers) for numbers in texts]) - 1]
-        start = np.concatenate([[0], stop[:-1]])
-        many = -(-(stop - start) // STRETCH)
+        full = np.fromiter((self.sizes[numbers].sum() for numbers in texts), np.int64, len(texts))
+        many = -(-full // STRETCH)
         text = np.repeat(np.arange(len(texts)), many)
-        low = start[text] + STRETCH * (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many))
-        high = np.minimum(low + STRETCH, stop[text])
-        order = np.argsort(low - high, kind="stable")  # the longest first
+        low = STRETCH * (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many))
+        sizes = np.minimum(STRETCH, full[text] - low)
+        order = np.argsort(-sizes, kind="stable")  # the longest first
         cost = np.zeros(len(text))
         for first in range(0, len(order), LANES):
             some = order[first : first + LANES]
-            cost[some] = self._read(words, ends, low[some], high[some])
+            cost[some] = self._read([texts[i] for i in text[some]], low[some], sizes[some])
         return np.bincount(text, cost, len(texts))
 
-    def _read(self, words: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Costs of stretches ``low`` to ``high`` of the bits of all texts, the longest first, read side by side."""
+    def _read(self, texts: list[np.ndarray], low: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Costs of stretches of texts, ``sizes`` bits from ``low`` on, the longest first, read side by side."""
+        words = np.concatenate(texts)
+        ends = np.cumsum(self.sizes[words])  # of each word, in the bits of all texts one after the other
+        low = low + np.concatenate([[0], ends[np.cumsum([len(numbers) for numbers in texts])[:-1] - 1]])
+        high = low + sizes
         lanes, cost = Lanes(len(low)), np.zeros(len(low))
-        sizes = high - low
-        longest = min(int(sizes[0]), LONG)
-        for begin in range(0, longest, PREPARED):
-            steps = min(PREPARED, longest - begin)
-            active = np.searchsorted(-sizes, -(begin + np.arange(steps)), "left")  # those longer than that
-            used = int(active[0])
+        begin, longest = 0, int(sizes[0])
+        while begin < longest:
+            used = int(np.searchsorted(-sizes, -begin, "left"))  # those longer than that
+            if begin >= LONG and used < FEW:
+                break
+            steps = min(max(1, GATHERED // used), longest - begin, LONG)
+            active = np.searchsorted(-sizes, -(begin + np.arange(steps)), "left")
             a = low[:used] + begin
             z = np.minimum(a + steps, high[:used])
             some = self._bits_between(words, ends, a, z)
-            if z[-1] - a[-1] < steps:
-                flat, some = some, np.zeros(used * steps, np.uint32)
-                some[(np.arange(steps) < (z - a)[:, None]).ravel()] = flat
-            p = lanes.steps(*parts_of(np.ascontiguousarray(some.reshape(used, steps).T)), active)
-            cost[:used] -= np.log2(p).sum(axis=0, dtype=np.float64)
-        for lane in range(int(np.searchsorted(-sizes, -LONG, "left"))):
+            whole = int(active[-1])
+            by_step = np.zeros((steps, used), np.uint32)
+            by_step[:, :whole] = some[: whole * steps].reshape(whole, steps).T
+            if whole < used:
+                rest = np.zeros((used - whole, steps), np.uint32)
+                rest[np.arange(steps) < (z - a)[whole:, None]] = some[whole * steps :]
+                by_step[:, whole:] = rest.T
+            rows = max(1, PREPARED // used)
+            for row in range(0, steps, rows):
+                part = slice(row, row + rows)
+                k = int(active[row])
+                p = lanes.steps(*parts_of(by_step[part, :k]), active[part])
+                fours = len(p) // 4  # four at a time: none is below 1e-6, so their product is a normal number
+                for some in (np.multiply.reduce(p[: 4 * fours].reshape(4, fours, k)), p[4 * fours :]):
+                    cost[:k] -= np.log2(some).sum(axis=0, dtype=np.float64)
+            begin += steps
+        for lane in range(used if begin < longest else 0):
             alone = lanes.alone(lane)
             next(alone)
-            for a in range(int(low[lane]) + LONG, int(high[lane]), LONG):
+            for a in range(int(low[lane]) + begin, int(high[lane]), LONG):
                 z = min(a + LONG, int(high[lane]))
                 cost[lane] += alone.send(parts_of(self._bits_between(words, ends, np.array([a]), np.array([z]))))
         return cost
@@ -843,7 +962,7 @@ def score_blocks(model: Model):
 def kept_by_kind(df: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     """Writes once; the rows of kinds TEXT and WORD as two tables."""
     path = work_folder(df.sparkSession, label)
-    df.write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     written = (df.sparkSession.read.schema(df.schema).parquet(path) for _ in range(2))
     return tuple(rows.where(F.col("kind") == kind) for rows, kind in zip(written, (TEXT, WORD), strict=True))
 
@@ -902,8 +1021,7 @@ def ranged(counted: DataFrame, code: Code, parts: int) -> DataFrame:
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            order = code.keys(batch.column("word").to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(order, pa.binary())], ["word", "n", "place"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, code.places(batch.column("word"))], ["word", "n", "place"])
 
     placed = counted.mapInArrow(keyed, "word binary, n long, place binary").repartitionByRange(parts, "place")
     placed.select(F.spark_partition_id().alias("range"), "word", "n").write.parquet(path)

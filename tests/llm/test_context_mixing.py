@@ -169,6 +169,64 @@ def test_learns_after_each_bit_to_the_end_of_a_text(monkeypatch):
     assert np.allclose(got[0], plain, rtol=2e-4) and np.allclose(got[1], plain, rtol=2e-4)
 
 
+def test_long_texts_are_read_side_by_side(monkeypatch):
+    """Only where few texts are as long are they read one at a time; reading by steps gives the same there."""
+    rng = random.Random(6)
+    texts = [" ".join(made_texts(rng, rng.randint(3, 9))) for _ in range(40)]
+    code = code_for(texts)
+    block, words, own, sums, model = block_of(texts, code, rng)
+    number = {w: i for i, w in enumerate(words)}
+    numbers = [np.array([number[w] for w in plain_words(t)]) for t in texts]
+    monkeypatch.setattr(cm, "LONG", 500)
+    one_by_one, seen = Lanes.alone, []
+    monkeypatch.setattr(Lanes, "alone", lambda self, lane: seen.append(lane) or one_by_one(self, lane))
+    got = block.costs(numbers)
+    sizes = sorted(int(own.sizes[body].sum()) for body in numbers)
+    assert sizes[0] > 500 and 0 < len(set(seen)) < cm.FEW and len(seen) < cm.FEW
+    plain = [plain_cost(body.tolist(), words, own, sums, model) for body in numbers]
+    assert np.allclose(got, plain, rtol=2e-4)
+
+
+def test_sums_beside_a_word_equal_those_of_all_beginnings():
+    rng = random.Random(7)
+    texts = made_texts(rng)
+    code = code_for(texts)
+    counts = Counter(w for t in texts for w in plain_words(t))
+    counts[b"a" * 60], counts[b"a" * 61], counts[b"a" * 24], counts[b"zz"] = 3, 4, 5, 0
+    for _ in range(50):
+        some = rng.sample(sorted(counts), rng.choice([1, 2, 5, 60]))
+        table = pa.table({"word": pa.array(some, pa.binary()), "n": pa.array([counts[w] for w in some], pa.int64())})
+        words, n = cm.in_order(table, code)
+        assert words.to_pylist() == sorted(some, key=lambda w: bits_of(w, code))
+        own, none = Spelled(words, code), np.zeros(0, np.int64)
+        sums = Beginnings(own, n, none, none)
+        for edge, plain in ((0, sums.first), (len(words) - 1, sums.last)):
+            bits, found = cm.sums_beside(words, n, edge, code)
+            assert found == plain and list(bits) == bits_of(words[edge].as_py(), code)[: own.known[edge]]
+
+
+@pytest.mark.parametrize("size", [32 << 20, 700])
+def test_texts_and_words_of_blocks(monkeypatch, size):
+    """Blanks at both ends, other white space, null and empty texts, and blocks that end within a batch."""
+    monkeypatch.setattr(cm, "BLOCK_BYTES", size)
+    rng = random.Random(8)
+    texts = [*made_texts(rng), None, "", " \t ", " A\x0b\x0cb\r\nB\t", "É é\x1cx\x85y a", "x\x00y", *made_texts(rng)]
+    rows = pa.table({"doc_id": pa.array([*range(len(texts) - 1), None], pa.int64()), "text": pa.array(texts, pa.string())})
+    found = pa.Table.from_batches(list(cm.read_rows(iter(rows.to_batches(max_chunksize=17)))))
+    kind = found.column("kind").to_numpy()
+    words = [r for r in found.filter(pa.array(kind == cm.WORD)).to_pylist()]
+    name = {(r["block"], r["number"]): r["word"] for r in words}
+    got, plain = [], Counter()
+    for r in found.filter(pa.array(kind == cm.TEXT)).to_pylist():
+        read = [name[r["block"], i] for i in cm.unpacked_numbers(r["body"]).tolist()]
+        got.append((r["doc_id"], r["held_out"], read))
+        if not r["held_out"]:
+            plain.update((r["block"], w) for w in read)
+    assert got == [(i, cm.is_held_out(i), plain_words(t)) for i, t in zip(rows.column("doc_id").to_pylist(), texts, strict=True)]
+    assert {(r["block"], r["word"]): r["n"] for r in words if r["n"]} == dict(plain)
+    assert (len({r["block"] for r in words}) > 5) == (size == 700)
+
+
 def test_both_bits_share_all_probability():
     """Whatever was read before, the probabilities of a zero and a one add up to one."""
     rng = np.random.default_rng(3)
