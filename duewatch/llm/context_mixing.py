@@ -289,11 +289,13 @@ def unpacked_numbers(body: bytes) -> np.ndarray:
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts, one after the other, and how many each text has."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-    words, ends = lists.flatten(), np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
-    some = pc.not_equal(pc.binary_length(words), 0)  # blanks at the ends of a text leave empty words
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+    words, many = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    some = pc.not_equal(pc.binary_length(words), 0)  # a blank text leaves an empty word
+    if pc.all(some).as_py() is not False:
+        return words, many
     before = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
-    return words.filter(some), np.diff(before[ends], prepend=0)
+    return words.filter(some), np.diff(before[np.cumsum(many)], prepend=0)
 
 
 def read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,8 +362,10 @@ def record(rows: int, **columns) -> pa.RecordBatch:
     arrays = []
     for name, kind in READ_TYPES.items():
         value = columns.get(name)
-        if value is None or isinstance(value, int):
-            value = [value] * rows
+        if value is None:
+            value = pa.nulls(rows, kind)
+        elif isinstance(value, int):
+            value = pa.repeat(pa.scalar(value, kind), rows)
         arrays.append(value if isinstance(value, pa.Array) else pa.array(value, kind))
     return pa.RecordBatch.from_arrays(arrays, READ_NAMES)
 
@@ -731,29 +735,34 @@ class Lanes:
         corpus, own = self.weights.real[cells].tolist(), self.weights.imag[cells].tolist()
         map_ = self.map[lane * GATES * self.columns : (lane + 1) * GATES * self.columns].tolist()
         states = bytearray(self.states[lane * SPAN : (lane + 1) * SPAN])
-        values, following, exp, log2, columns = VALUE.tolist(), AFTER_TWICE.tolist(), math.exp, math.log2, self.columns
-        half, last = MAP_STEP * MAP_HALF + 0.5, columns - 0.5
+        values, following, exp, log2 = VALUE.tolist(), AFTER_TWICE.tolist(), math.exp, math.log2
+        half, last = MAP_STEP * MAP_HALF + 0.5, self.columns - 0.5
         cost = 0.0
         while True:
-            parts = yield cost
-            cost = 0.0
-            for given, bit, gate, slot in zip(*(part.tolist() for part in parts), strict=True):
+            given, bits, gate, slots = yield cost
+            cost, product = 0.0, 1.0
+            parts = given, bits, gate.astype(np.int64) * 2, gate.astype(np.int64) * self.columns, slots
+            for given, bit, cell, line, slot in zip(*(part.tolist() for part in parts), strict=True):
                 key = states[slot] + bit
                 states[slot] = following[key]
                 value = values[key]
-                at = 2 * gate + (key > 1)
-                weight, mine = corpus[at], own[at]
+                if key > 1:
+                    cell += 1
+                weight, mine = corpus[cell], own[cell]
                 z = weight * given + mine * value
                 z = MOST_ODDS if z > MOST_ODDS else -MOST_ODDS if z < -MOST_ODDS else z
                 p = 1 / (1 + exp(-z))
                 error = (1 - p) * RATE
-                corpus[at] = weight + error * given
-                own[at] = mine + error * value
+                corpus[cell] = weight + error * given
+                own[cell] = mine + error * value
                 place = (z if bit else -z) * MAP_STEP + half
-                at = gate * columns + (0 if place < 0 else int(last) if place > last else int(place))
-                found = map_[at]
-                map_[at] = found + (bit - found) * MAP_RATE
-                cost -= log2((p + (found if bit else 1 - found)) / 2)
+                line += 0 if place < 0 else int(last) if place > last else int(place)
+                found = map_[line]
+                map_[line] = found + (bit - found) * MAP_RATE
+                product *= (p + (found if bit else 1 - found)) / 2
+                if product < 1e-200:
+                    cost, product = cost - log2(product), 1.0
+            cost -= log2(product)
 
 
 def parts_of(some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -939,16 +948,17 @@ def score_blocks(model: Model):
         unlike = [unpacked_numbers(body) for body in place]
         rows = [place[body] for body in packed]
         cost = block.costs(unlike)[rows]
-        bodies = [unlike[i] for i in rows]
-        base, size = model.base(n), block.bytes
-        held = np.array([len(b) for b in bodies], np.int64)
-        length = np.array([size[b].sum() for b in bodies], np.int64)
+        words, held = np.concatenate(unlike), np.fromiter(map(len, unlike), np.int64, len(unlike))
+        start = np.cumsum(held) - held
+        length = np.add.reduceat(block.bytes.take(words), start)[rows]
+        met = np.add.reduceat((n > 0).astype(np.int64).take(words), start)[rows]
+        base = model.base(n).take(words)
+        base = np.array([base[a : a + many].sum() for a, many in zip(start.tolist(), held.tolist(), strict=True)])[rows]
         return pa.table(
             {
                 "doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"),
-                "n_tokens": held, "n_known": np.array([(n[b] > 0).sum() for b in bodies], np.int64),
-                "train_tokens": np.full(len(bodies), model.tokens),
-                "base_score": np.array([base[b].sum() for b in bodies], np.float64), "score": -cost * math.log10(2),
+                "n_tokens": held[rows], "n_known": met, "train_tokens": np.full(len(rows), model.tokens),
+                "base_score": base, "score": -cost * math.log10(2),
                 "text_bytes": length, "bits_per_byte": cost / length,
             }
         )
