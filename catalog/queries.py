@@ -1003,10 +1003,7 @@ _tree_models: dict[tuple[str, str], str] = {}
 
 
 def _tree_model(spark, sf) -> models.TreeModel:
-    """The boosted trees of a table folder, fitted once in a session and read back from their store.
-
-    A fit grows its lineage with every tree; with ``spark.checkpoint.dir`` set, the estimator cuts it every ten.
-    """
+    """The boosted trees of a table folder, fitted once in a session and read back from their store."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _tree_models:
         path = staged_path(spark, "trees")

@@ -20,14 +20,14 @@ from pyspark.ml.classification import (
     LogisticRegressionModel,
 )
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import StudyConfig
-from ..functions import fill_missing_levels, row_count
+from ..functions import fill_missing_levels
 from ..session import fit_tasks, stage
-from . import newton
+from . import boosting, newton
 from .encoding import Encoder, fit_scaling, join_levels, scaled, stack_categories
+from .forest import Forest
 from .metrics import evaluate
 
 DIRECTIONS = ("increases untimely risk", "decreases untimely risk")
@@ -244,20 +244,22 @@ def _fold() -> Column:
 
 @dataclass(frozen=True)
 class TreeModel:
-    """Boosted trees over target-encoded categories and raw calendar numbers."""
+    """Boosted trees over target-encoded categories and raw calendar numbers; ``forest`` is the table of the same trees."""
 
     columns: tuple[str, ...]
     numeric: tuple[str, ...]
     rates: DataFrame
     prior: float
     trees: GBTClassificationModel
+    forest: Forest
 
     def score(self, df: DataFrame, *keep: str) -> DataFrame:
-        ready = _tree_features(
+        """P(late) as float for every row, as ``trees`` have it, with rows looked up in blocks."""
+        ready, inputs = _tree_inputs(
             df.withColumn("fold", F.lit(-1)), self.rates, self.prior, self.columns, self.numeric
         )
-        p = vector_to_array(F.col("probability"))[1]
-        return self.trees.transform(ready).select(*keep, p.cast("float").alias("score"))
+        found = boosting.margin_of(self.forest, ready, inputs, *keep)
+        return found.select(*found.columns[:-1], sigmoid(2.0 * F.col("_margin")).cast("float").alias("score"))
 
     def importance(self) -> DataFrame:
         """Share of the total split gain per feature, in percent."""
@@ -277,32 +279,34 @@ class TreeModel:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, cfg: StudyConfig) -> TreeModel:
-        return cls(
-            tuple(cfg.categorical),
-            tuple(cfg.numeric),
-            spark.read.parquet(f"{path}/rates"),
-            spark.read.parquet(f"{path}/numbers").first().prior,
-            GBTClassificationModel.load(f"{path}/trees"),
-        )
+        columns, numeric = tuple(cfg.categorical), tuple(cfg.numeric)
+        prior = spark.read.parquet(f"{path}/numbers").first().prior
+        return cls(columns, numeric, spark.read.parquet(f"{path}/rates"), prior, *_stored_trees(spark, f"{path}/trees", columns, numeric))
 
 
-def _tree_features(df, rates, prior, columns, numeric) -> DataFrame:
+def _stored_trees(spark, path, columns, numeric) -> tuple[GBTClassificationModel, Forest]:
+    names = [f"{c}_rate" for c in columns] + [f"{n}_num" for n in numeric]
+    return GBTClassificationModel.load(path), Forest.of_stored_trees(spark, path, names)
+
+
+def _tree_inputs(df, rates, prior, columns, numeric) -> tuple[DataFrame, list[str]]:
     filled = fill_missing_levels(df, columns)
     joined = join_levels(filled, rates, columns, "rate", "_rate", "fold")
     inputs = {f"{c}_rate": F.coalesce(F.col(f"{c}_rate"), F.lit(prior)) for c in columns}
     inputs |= {f"{n}_num": F.col(n).cast("double") for n in numeric}
-    return VectorAssembler(inputCols=list(inputs), outputCol="features").transform(
-        joined.withColumns(inputs)
-    )
+    return joined.withColumns(inputs), list(inputs)
+
+
+def _tree_features(df, rates, prior, columns, numeric) -> DataFrame:
+    ready, inputs = _tree_inputs(df, rates, prior, columns, numeric)
+    return VectorAssembler(inputCols=inputs, outputCol="features").transform(ready)
 
 
 def train_gbt(train: DataFrame, cfg: StudyConfig) -> TreeModel:
     columns, numeric = tuple(cfg.categorical), tuple(cfg.numeric)
     rates = stage(target_encoding(train, columns), "rates", partition_by=("feature",))
-    rows, prior = train.agg(row_count(), F.avg("target")).first()
-    vectors = _tree_features(
-        train.withColumn("fold", _fold()), rates, prior, columns, numeric
-    ).select("target", "features")
+    prior = train.agg(F.avg("target")).first()[0]
+    ready, inputs = _tree_inputs(train.withColumn("fold", _fold()), rates, prior, columns, numeric)
     estimator = GBTClassifier(
         featuresCol="features",
         labelCol="target",
@@ -311,7 +315,9 @@ def train_gbt(train: DataFrame, cfg: StudyConfig) -> TreeModel:
         stepSize=cfg.tree_step,
         seed=cfg.seed,
     )
-    return TreeModel(columns, numeric, rates, prior, fit_on(estimator, vectors, rows, cfg))
+    features = stage(ready.select("target", *inputs), "tree-features")
+    path = boosting.train(features, estimator, cfg.fit_rows_per_task)
+    return TreeModel(columns, numeric, rates, prior, *_stored_trees(train.sparkSession, path, columns, numeric))
 
 
 # --------------------------------------------------------------------------- year ablation
