@@ -219,21 +219,20 @@ def target_encoding(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     filled = fill_missing_levels(train, columns).withColumn("fold", _fold())
     prior = train.agg(F.avg("target")).scalar()
-    counts = stack_categories(filled, columns, "fold", "target").groupBy("feature", "level", "fold").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("target").alias("pos")
-    )
-    per_level = counts.groupBy("feature", "level").agg(
-        F.sum("n").alias("n"),
-        F.sum("pos").alias("pos"),
-        F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "pos")))).alias("folds"),
-    )
-    own = F.try_element_at("folds", F.col("fold"))
-    n = F.col("n") - F.coalesce(own["n"], F.lit(0))
-    pos = F.col("pos") - F.coalesce(own["pos"], F.lit(0))
-    every_fold = F.explode(F.array(*[F.lit(f) for f in range(-1, FOLDS)]))
-    return per_level.withColumn("fold", every_fold).select(
-        "feature", "level", "fold", ((pos + prior) / (n + 1)).alias("rate")
+    cells = stack_categories(filled, columns, "fold", "target")
+    within = lambda fold: F.when(F.col("fold") == fold, F.col("target"))
+    per_level = cells.groupBy("feature", "level").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("target").alias("pos"),
+        *(F.count_if(F.col("fold") == f).alias(f"n{f}") for f in range(FOLDS)),
+        *(F.coalesce(F.sum(within(f)), F.lit(0)).alias(f"pos{f}") for f in range(FOLDS)),
     )
+    own = {-1: (F.lit(0), F.lit(0))} | {f: (F.col(f"n{f}"), F.col(f"pos{f}")) for f in range(FOLDS)}
+    rates = [
+        F.struct(F.lit(f).alias("fold"), ((F.col("pos") - pos + prior) / (F.col("n") - n + 1)).alias("rate"))
+        for f, (n, pos) in own.items()
+    ]
+    return per_level.select("feature", "level", F.inline(F.array(*rates)))
 
 
 def _fold() -> Column:

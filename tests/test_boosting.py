@@ -170,3 +170,10 @@ def test_one_class_missing_numbers_and_empty(spark, train):
     for broken in (F.when(F.col("complaint_id") > 5, F.col("month")), F.lit(float("nan"))):
         with pytest.raises(Exception, match="missing values in month_num"):
             models.train_gbt(train.withColumn("month", broken), short)
+
+
+def test_rates_are_counted_in_one_aggregate(train):
+    """Counts by fold went through a second aggregate that collected them into maps."""
+    plan = models.target_encoding(train, CFG.categorical)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    assert plan.count("Aggregate [feature") == 1
